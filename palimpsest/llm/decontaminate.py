@@ -95,8 +95,12 @@ def _starts(words: Column, m: Column) -> Column:
     return F.filter(span, lambda s: F.slice(words, m["shift"] + s + 1, m["width"]) == F.slice(m["item_words"], s + 1, m["width"]))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` per row of ``docs``."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keyed: bool = False) -> DataFrame:
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` per row of ``docs``.
+
+    ``keyed`` adds ``text_hash``, which tells the texts of one doc_id apart.
+    """
+    key = ["doc_id", *["text_hash"] * keyed]
     documents = _documents(docs)
     items = materialize(_items(benchmark, window), "items")
     postings = store_postings(documents, items)
@@ -112,11 +116,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("occurring", lambda m: m["item_id"].cast("string")), lambda x: x.isNotNull())))
     return (
         documents.join(per_doc, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-        .select("doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.col("marks").isNotNull(), marks).alias("checked"))
-        .select("doc_id", "n_words", F.coalesce(occurring, F.array().cast("array<struct<item_id:long,shift:int,width:int,starts:array<int>>>")).alias("occurring"))
-        .select("doc_id", "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), ids.alias("ids"))
-        .select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        .select(*key, F.size("words").cast("long").alias("n_words"), F.when(F.col("marks").isNotNull(), marks).alias("checked"))
+        .select(*key, "n_words", F.coalesce(occurring, F.array().cast("array<struct<item_id:long,shift:int,width:int,starts:array<int>>>")).alias("occurring"))
+        .select(*key, "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), ids.alias("ids"))
+        .select(*key, "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no item window occurs."""
+    hit = materialize(
+        contamination(docs, benchmark, window, keyed=True).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), "contaminated"
     )
+    return docs.join(hit, (F.xxhash64(docs["text"].cast("string")) == F.col("h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("d")), "left_anti")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:
