@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.prefilter import KeyBitmap
 from ..storage import discard, materialize
 
 WINDOW = 10
@@ -36,7 +37,7 @@ def words_of(text: Column) -> Column:
 
 def _documents(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), words_of(text).alias("words"))
 
 
 def _items(items: DataFrame, window: int) -> DataFrame:
@@ -114,9 +115,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     occurring = F.filter("checked", lambda m: F.size(m["starts"]) > 0)
     covered = F.flatten(F.transform("occurring", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(m["shift"] + s, m["shift"] + s + m["width"] - 1)))))
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("occurring", lambda m: m["item_id"].cast("string")), lambda x: x.isNotNull())))
+    # only the texts of documents with an alignment go through the join
+    marked = KeyBitmap(per_doc, F.xxhash64("h", "d")).mark(documents, F.xxhash64("text_hash", "doc_id"))
+    slim = marked.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(F.col("maybe"), F.col("text")).alias("text"))
     return (
-        documents.join(per_doc, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-        .select(*key, F.size("words").cast("long").alias("n_words"), F.when(F.col("marks").isNotNull(), marks).alias("checked"))
+        slim.join(per_doc, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+        .select(*key, "n_words", "marks", F.when(F.col("marks").isNotNull(), words_of(F.col("text"))).alias("words"))
+        .select(*key, "n_words", F.when(F.col("marks").isNotNull(), marks).alias("checked"))
         .select(*key, "n_words", F.coalesce(occurring, F.array().cast("array<struct<item_id:long,shift:int,width:int,starts:array<int>>>")).alias("occurring"))
         .select(*key, "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), ids.alias("ids"))
         .select(*key, "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -128,7 +133,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     hit = materialize(
         contamination(docs, benchmark, window, keyed=True).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), "contaminated"
     )
-    return docs.join(hit, (F.xxhash64(docs["text"].cast("string")) == F.col("h")) & docs["doc_id"].cast("long").eqNullSafe(F.col("d")), "left_anti")
+    text_hash, doc_id = F.xxhash64(F.col("text").cast("string")), F.col("doc_id").cast("long")
+    marked = KeyBitmap(hit, F.xxhash64("h", "d")).mark(docs, F.xxhash64(text_hash, doc_id))
+    doubtful = marked.filter("maybe").join(hit, (text_hash == F.col("h")) & doc_id.eqNullSafe(F.col("d")), "left_anti")
+    return marked.filter("not maybe").unionByName(doubtful).select(*docs.columns)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:

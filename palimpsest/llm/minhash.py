@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.prefilter import KeyBitmap
 from ..storage import discard, materialize
 from .common import WordHashes, column_bytes, mix, odd_constants
 
@@ -339,7 +340,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     )
     members = family.join(size, "component").select(F.col("component").alias("key"), "node", "blocks")
-    texts = members.join(docs, F.col("node") == F.col("doc_id")).select("key", "node", "blocks", "text")
+    wanted = KeyBitmap(family, F.xxhash64("node")).mark(docs, F.xxhash64("doc_id")).filter("maybe")
+    texts = members.join(wanted, F.col("node") == F.col("doc_id")).select("key", "node", "blocks", "text")
     links = materialize(
         _in_blocks(texts, "blocks").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").mapInArrow(_confirmed(bound, percent), "a long, b long"),
         "links",
@@ -364,8 +366,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, and one row of a repeated doc_id."""
-    found = materialize(near_duplicates(docs, percent).filter("kept"), "kept")
-    once = docs.join(found.filter("not repeated and doc_id is not null").select("doc_id"), "doc_id", "left_semi")
+    found = near_duplicates(docs, percent).filter("doc_id is not null and (repeated or not kept)")
+    special = materialize(found.select(F.col("doc_id").alias("d"), "kept").distinct(), "special")
+    marked = KeyBitmap(special, F.xxhash64("d")).mark(docs, F.xxhash64(F.col("doc_id").cast("long")))
+    looked = marked.filter("maybe").join(special, F.col("doc_id").cast("long") == F.col("d"), "left")
     others = [c for c in docs.columns if c != "doc_id"]
-    several = docs.join(found.filter("repeated").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
-    return once.unionByName(several).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    several = looked.filter("kept").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    plain = marked.filter("not maybe").select(*docs.columns).unionByName(looked.filter("kept is null").select(*docs.columns))
+    return plain.unionByName(several.select(*docs.columns))
