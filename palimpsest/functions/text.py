@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CJK = "[一-鿿]"
 #: Roman numerals and their numbers, and texts that mean no phase.
@@ -89,7 +90,7 @@ def clean_markup(text: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_markup(text: pd.Series) -> pd.Series:
     """HTML entities and backslash escapes undone until nothing changes."""
 

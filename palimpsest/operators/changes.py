@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .versions import first_seen
 
@@ -87,7 +88,7 @@ def _canonical(value: str | None, unordered: bool, loose: bool) -> str:
     return json.dumps(walk(parsed), sort_keys=True, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical_value(value: pd.Series, field: pd.Series) -> pd.Series:
     """Canonical text of nested JSON by the field's rules; only for rows that differ as text."""
     return pd.Series([_canonical(v, f in ORDER_INSENSITIVE, f in SEMANTIC_TEXT) for v, f in zip(value, field)])

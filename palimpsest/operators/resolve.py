@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import trigrams
 from .components import connected_components
@@ -99,7 +100,7 @@ def decide(queue: DataFrame, decisions: DataFrame, key: Sequence[str]) -> DataFr
     return queue.join(d, list(key), "left").withColumn("state", state).drop("__d")
 
 
-def trigram_candidates(texts: DataFrame, key: str, text: str, least: int, k: int = 200, common: int = 1000) -> DataFrame:
+def trigram_candidates(texts: DataFrame, key: str, text: str, least: int, k: int = 200) -> DataFrame:
     """``(a, b, shared)``: pairs of ``a > b`` that share at least ``least`` trigrams, the best ``k`` per ``a``.
 
     A pair with ``least`` common trigrams out of at most ``g`` keeps one among the
@@ -119,7 +120,7 @@ def trigram_candidates(texts: DataFrame, key: str, text: str, least: int, k: int
     return shared.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))).filter(F.col("rank") <= k).drop("rank")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two lower-cased texts; not symmetric, so the order is the caller's."""
     return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])

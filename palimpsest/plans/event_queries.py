@@ -105,9 +105,9 @@ def category_histogram(spark, sf_dir):
     return intel.histogram(table(spark, sf_dir, "events"), changes.field_category(F.col("event_type"), _CATEGORY), "category", "other")
 
 
-@query(f"""SELECT event_type, last_seen, (epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen)) / 3600.0 AS age_hours_raw,
+@query(f"""SELECT event_type, last_seen, CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) AS BIGINT) AS age_seconds,
 CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) <= 3600 * 7 THEN 'fresh' WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) <= 3600 * 3 THEN 'delayed' ELSE 'stale' END AS state
-FROM (SELECT event_type, date_trunc('second', max(ts)) AS last_seen FROM events GROUP BY 1)""".replace("(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_seen)) / 3600.0 AS age_hours_raw", "CAST(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last_seen) AS BIGINT) AS age_seconds"))
+FROM (SELECT event_type, date_trunc('second', max(ts)) AS last_seen FROM events GROUP BY 1)""")
 def freshness_by_source(spark, sf_dir):
     seen = table(spark, sf_dir, "events").groupBy("event_type").agg(F.date_trunc("second", F.max("ts")).cast("timestamp_ntz").alias("last_seen"))
     aged = intel.freshness(seen, "event_type", "last_seen", AS_OF, F.lit(1))
