@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import event_queries, table_queries  # noqa: F401
+from . import document_queries, event_queries, table_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
