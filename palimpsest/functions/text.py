@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .columns import let
+
 CJK = "[一-鿿]"
 #: Roman numerals and their numbers, and texts that mean no phase.
 _ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "ⅰ": "1", "ⅱ": "2", "ⅲ": "3", "ⅳ": "4"}
@@ -222,7 +224,8 @@ def eligibility_parts(text: Column, limit: int = 2000) -> Column:
 def criteria_items(text: Column) -> Column:
     """Numbered, bulleted or plain lines as items, those of equal first 50 characters once."""
     lines = F.filter(F.transform(F.split(text, r"\n|(?<=[.;])\s+(?=\d+[.)]\s)"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:\d+[.)、]|[-*•·])\s*", ""))), lambda x: x != "")
-    return F.filter(lines, lambda x: F.array_position(F.transform(lines, lambda y: F.substring(y, 1, 50)), F.substring(x, 1, 50)) == F.array_position(lines, x))
+    heads = lambda ls: F.transform(ls, lambda y: F.substring(y, 1, 50))
+    return let(lines, lambda ls: let(heads(ls), lambda hs: F.filter(ls, lambda x: F.array_position(hs, F.substring(x, 1, 50)) == F.array_position(ls, x))))
 
 
 def outcome_parts(text: Column, primary: str = "primary", secondary: str = "secondary") -> Column:
@@ -250,22 +253,25 @@ def title_prefix(code: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct three-character pieces of the lower-cased text."""
-    low = F.lower(text)
-    n = F.length(low)
-    return F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    pieces = lambda low: F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))
+    return F.when(F.length(text) >= 3, let(F.lower(text), lambda low: F.array_distinct(pieces(low)))).otherwise(F.array().cast("array<string>"))
 
 
 def word_ngrams(text: Column, low: int, high: int, stop: Sequence[str] = (), longest: int = 60) -> Column:
     """Distinct word n-grams without stop words, of 3 to ``longest`` characters."""
     words = F.filter(F.transform(F.split(F.lower(text), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[.,;:()\[\]/\"']+|[.,;:()\[\]/\"']+$", "")), lambda w: w != "")
-    parts = []
-    for n in range(low, high + 1):
-        span = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams = F.transform(span, _slice_of(words, n))
-        if stop:
-            grams = F.filter(grams, lambda g: ~F.arrays_overlap(g, F.array(*[F.lit(s) for s in stop])))
-        parts.append(F.transform(grams, lambda g: F.array_join(g, " ")))
-    return F.array_distinct(F.filter(F.concat(*parts), lambda p: F.length(p).between(3, longest)))
+
+    def grams_of(w: Column) -> Column:
+        parts = []
+        for n in range(low, high + 1):
+            span = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+            grams = F.transform(span, _slice_of(w, n))
+            if stop:
+                grams = F.filter(grams, lambda g: ~F.arrays_overlap(g, F.array(*[F.lit(s) for s in stop])))
+            parts.append(F.transform(grams, lambda g: F.array_join(g, " ")))
+        return F.array_distinct(F.filter(F.concat(*parts), lambda p: F.length(p).between(3, longest)))
+
+    return let(words, grams_of)
 
 
 def _slice_of(words: Column, n: int):

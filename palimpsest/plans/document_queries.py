@@ -103,9 +103,9 @@ def ngram_mining(spark, sf_dir):
     return glossary.mine_phrases(docs, "doc_id", F.col("t"), 2, 2, ("the", "of", "and"), 12)
 
 
-@query("""SELECT page_id, i AS n, id FROM (SELECT page_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM (SELECT page_id, regexp_extract_all(url, '([A-Za-z]+[0-9]+)', 1) AS ids FROM pages))""")
+@query("""SELECT page_id, i AS n, id FROM (SELECT page_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM (SELECT page_id, regexp_extract_all(url, '([0-9]+)', 1) AS ids FROM pages))""")
 def identifier_extract(spark, sf_dir):
-    ids = F.regexp_extract_all("url", F.lit("([A-Za-z]+[0-9]+)"), F.lit(1))
+    ids = F.regexp_extract_all("url", F.lit("([0-9]+)"), F.lit(1))
     return table(spark, sf_dir, "pages").select("page_id", F.posexplode(ids).alias("n", "id")).select("page_id", (F.col("n") + 1).cast("long").alias("n"), "id")
 
 
