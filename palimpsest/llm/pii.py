@@ -27,6 +27,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
+
 ROUNDS = 10
 
 EMAIL = r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
@@ -41,11 +43,6 @@ CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}])"
 PATTERN = "|".join([EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, CARD])
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
