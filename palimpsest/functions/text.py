@@ -118,7 +118,7 @@ def list_items(text: Column) -> Column:
 
 def to_json_array(text: Column) -> Column:
     """JSON array text of the non-blank lines; null where there are none."""
-    items = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(items) > 0, F.to_json(items))
 
 
@@ -215,7 +215,7 @@ def eligibility_parts(text: Column, limit: int = 2000) -> Column:
     """Struct of inclusion and exclusion criteria, split at the exclusion label."""
     label = r"(?is)exclusion criteria\s*:?|(?is)排除标准\s*[:：]?"
     at = F.regexp_instr(text, F.lit(label))
-    strip = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"(?is)^\s*(inclusion criteria|入选标准)\s*[:：]?", ""), r"(?is)^\s*(exclusion criteria|排除标准)\s*[:：]?", ""))
+    strip = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?is)^\s*(inclusion criteria|exclusion criteria|入选标准|排除标准)\s*[:：]?", ""), r"^\s+|\s+$", "")
     inclusion = F.when(at > 0, F.substr(text, F.lit(1), at - 1)).otherwise(text)
     exclusion = F.when(at > 0, F.substr(text, at))
     return F.struct(F.substring(strip(inclusion), 1, limit).alias("inclusion"), F.substring(strip(exclusion), 1, limit).alias("exclusion"))
@@ -230,7 +230,7 @@ def criteria_items(text: Column) -> Column:
 
 def outcome_parts(text: Column, primary: str = "primary", secondary: str = "secondary") -> Column:
     """Struct of primary and secondary outcomes, by the marker that starts a line."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     pick = lambda mark: F.transform(F.filter(lines, lambda x: F.lower(x).startswith(mark)), lambda x: F.trim(F.regexp_replace(x, r"^[^:：]*[:：]", "")))
     return F.struct(pick(primary).alias("primary"), pick(secondary).alias("secondary"))
 

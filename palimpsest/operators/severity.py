@@ -52,7 +52,7 @@ def _result(severity: Column | str, change: Column | str, score: Column | float)
 
 def _items(value: Column) -> Column:
     parsed = F.from_json(value, "array<string>")
-    return F.transform(F.coalesce(parsed, F.array().cast("array<string>")), F.trim)
+    return F.transform(F.coalesce(parsed, F.array().cast("array<string>")), lambda x: F.trim(x))
 
 
 def classify_change(field: Column, old: Column, new: Column, category: Column | None = None, new_status: Column | None = None, terminal: str = TERMINAL_STATUS, status_field: str = "status_id", number_field: str = "enrollment") -> Column:
