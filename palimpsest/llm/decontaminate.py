@@ -131,12 +131,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs."""
     hit = materialize(
-        contamination(docs, benchmark, window, keyed=True).filter("contaminated").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h")).distinct(), "contaminated"
+        contamination(docs, benchmark, window, keyed=True).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated"
     )
     text_hash, doc_id = F.xxhash64(F.col("text").cast("string")), F.col("doc_id").cast("long")
-    marked = KeyBitmap(hit, F.xxhash64("h", "d")).mark(docs, F.xxhash64(text_hash, doc_id))
-    doubtful = marked.filter("maybe").join(hit, (text_hash == F.col("h")) & doc_id.eqNullSafe(F.col("d")), "left_anti")
-    return marked.filter("not maybe").unionByName(doubtful).select(*docs.columns)
+    marked = KeyBitmap(hit, F.xxhash64("__hash", "__id")).mark(docs, F.xxhash64(text_hash, doc_id), "__maybe")
+    doubtful = marked.filter("__maybe").join(hit, (text_hash == F.col("__hash")) & doc_id.eqNullSafe(F.col("__id")), "left_anti")
+    return marked.filter("not __maybe").unionByName(doubtful).select(*docs.columns)
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:

@@ -367,10 +367,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, and one row of a repeated doc_id."""
     found = near_duplicates(docs, percent).filter("doc_id is not null and (repeated or not kept)")
-    special = materialize(found.select(F.col("doc_id").alias("d"), "kept").distinct(), "special")
-    marked = KeyBitmap(special, F.xxhash64("d")).mark(docs, F.xxhash64(F.col("doc_id").cast("long")))
-    looked = marked.filter("maybe").join(special, F.col("doc_id").cast("long") == F.col("d"), "left")
+    special = materialize(found.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).distinct(), "special")
+    marked = KeyBitmap(special, F.xxhash64("__id")).mark(docs, F.xxhash64(F.col("doc_id").cast("long")), "__maybe")
+    looked = marked.filter("__maybe").join(special, F.col("doc_id").cast("long") == F.col("__id"), "left")
     others = [c for c in docs.columns if c != "doc_id"]
-    several = looked.filter("kept").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
-    plain = marked.filter("not maybe").select(*docs.columns).unionByName(looked.filter("kept is null").select(*docs.columns))
+    several = looked.filter("__kept").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "__row.*")
+    plain = marked.filter("not __maybe").select(*docs.columns).unionByName(looked.filter("__kept is null").select(*docs.columns))
     return plain.unionByName(several.select(*docs.columns))
