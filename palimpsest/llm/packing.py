@@ -140,7 +140,7 @@ def best_pattern(price: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(best[units]), pattern
 
 
-def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(demand: np.ndarray, rounds: int = 4000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often the linear program uses each.
 
     ``demand[i]``: pieces of ``i + 1`` units; a sequence holds ``len(demand)`` units.
@@ -153,11 +153,25 @@ def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray,
     patterns[np.arange(len(used)), used] = units // (used + 1)
     inverse = np.diag(1.0 / patterns[np.arange(len(used)), used])
     amount = inverse @ demand[used]
+    # Prices that fill a sequence by size alone are feasible and bound the optimum from below.
+    center = np.zeros(units)
+    center[used] = (used + 1) / units
+    bound = float(center @ demand)
     for _ in range(rounds):
         price = np.zeros(units)
         price[used] = np.maximum(0.0, inverse.sum(axis=0))
-        value, pattern = best_pattern(price, units)
-        if value <= 1 + 1e-7:
+        if amount.sum() <= bound * (1 + gap):
+            break
+        # Columns are priced near the best bound's prices first; prices of the basis alone swing.
+        for weight in (0.9, 0.0):
+            mixed = weight * center + (1 - weight) * price
+            value, pattern = best_pattern(mixed, units)
+            if value > 0 and mixed @ demand / value > bound:
+                bound, center = float(mixed @ demand / value), mixed / value
+            pattern[price <= 0] = 0  # a smaller pattern is one, too
+            if price @ pattern > 1 + 1e-7:
+                break
+        else:
             break
         move = inverse @ pattern[used]
         ratio = np.where(move > 1e-9, amount / np.where(move > 1e-9, move, 1), np.inf)
