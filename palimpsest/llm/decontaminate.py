@@ -167,3 +167,27 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     exact = (at >= 0) & (F.slice("words", F.greatest(at, F.lit(0)) + 1, F.col("width")) == phrase)
     inside = F.size(F.array_except(phrase, around)) == 0
     return joined.filter(inside).select("doc_id", "item_id", "start", at.alias("doc_start"), exact.alias("exact")).distinct()
+
+
+CONTAMINATION_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), iw AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS p
+  FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s FROM iw WHERE len(w) > 0)
+), dwin AS (
+  SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS p
+  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
+), hits AS (
+  SELECT doc_id, item_id, k, s FROM dwin JOIN win USING (k, p)
+), spots AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, s + unnest(generate_series(0, k - 1)) AS spot FROM hits) GROUP BY doc_id
+), ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

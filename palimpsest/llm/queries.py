@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import CHAT_SQL, chat_texts
 from .common import table
-from .decontaminate import contamination
+from .decontaminate import CONTAMINATION_SQL, contamination
 from .licenses import license_scan
 from .minhash import near_duplicates
 from .packing import pack
@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": CHAT_SQL}
+    return {"op6_chat": CHAT_SQL, "op10_decontaminate": CONTAMINATION_SQL}
