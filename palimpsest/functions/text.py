@@ -253,8 +253,9 @@ def title_prefix(code: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct three-character pieces of the lower-cased text."""
-    pieces = lambda low: F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substr(low, i, F.lit(3)))
-    return F.when(F.length(text) >= 3, let(F.lower(text), lambda low: F.array_distinct(pieces(low)))).otherwise(F.array().cast("array<string>"))
+    # by the array of characters: a substring of a long UTF-8 text would be searched from its start
+    pieces = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+    return F.when(F.length(text) >= 3, let(F.split(F.lower(text), ""), lambda c: F.array_distinct(pieces(c)))).otherwise(F.array().cast("array<string>"))
 
 
 def word_ngrams(text: Column, low: int, high: int, stop: Sequence[str] = (), longest: int = 60) -> Column:
