@@ -225,7 +225,7 @@ def criteria_items(text: Column) -> Column:
     """Numbered, bulleted or plain lines as items, those of equal first 50 characters once."""
     lines = F.filter(F.transform(F.split(text, r"\n|(?<=[.;])\s+(?=\d+[.)]\s)"), lambda x: F.trim(F.regexp_replace(x, r"^\s*(?:\d+[.)、]|[-*•·])\s*", ""))), lambda x: x != "")
     heads = lambda ls: F.transform(ls, lambda y: F.substring(y, 1, 50))
-    return let(lines, lambda ls: let(heads(ls), lambda hs: F.filter(ls, lambda x: F.array_position(hs, F.substring(x, 1, 50)) == F.array_position(ls, x))))
+    return let(F.array_distinct(lines), lambda ls: let(heads(ls), lambda hs: F.filter(ls, lambda x: F.array_position(hs, F.substring(x, 1, 50)) == F.array_position(ls, x))))
 
 
 def outcome_parts(text: Column, primary: str = "primary", secondary: str = "secondary") -> Column:

@@ -237,3 +237,30 @@ def test_freshness_boundaries(spark, rows):
     df = spark.createDataFrame([("a", "2024-01-30 17:00:00"), ("b", "2024-01-30 16:59:59"), ("c", "2024-01-30 00:00:00"), ("d", None)], "s string, t string")
     got = intel.freshness(df, "s", "t", "2024-01-31 00:00:00", F.lit(1.0) * 8).select("s", "state")
     assert rows(got) == [("a", "fresh"), ("b", "fresh"), ("c", "delayed"), ("d", "unknown")]
+
+
+def test_record_operators(spark, rows):
+    from palimpsest.operators import records
+
+    assert tuple(one(spark, records.id_origin(F.col("a")), a="nct123")) == ("ClinicalTrials.gov", "United States")
+    assert one(spark, records.native_or_mirror(F.lit("ICTRP"), F.col("a"), "ICTRP", "ChiCTR"), a="ChiCTR1") == "ICTRP_ChiCTR"
+    got = one(spark, records.sites(F.col("a")), a="Clinic, Paris, France; Lab")
+    assert [tuple(s) for s in got] == [("Clinic", "Paris", "France"), ("Lab", None, None)]
+    assert one(spark, records.investigator(F.col("a")), a='{"officials":[{"name":"A","role":"CHAIR"},{"name":"B","role":"PRINCIPAL_INVESTIGATOR"}]}') == "B"
+    assert one(spark, records.wrap_legacy_list(F.col("a")), a="x; y") == '["x","y"]'
+    assert one(spark, records.wrap_legacy_list(F.col("a")), a='["x"]') == '["x"]'
+    assert one(spark, records.numbered_rows(F.col("a")), a="1\nA\nb\n2\nC\n") == [["A", "b"], ["C"]]
+    assert one(spark, records.translate_terms(F.col("a"), {"heart": "h", "heart failure": "hf"}), a="heart failure, heart") == "hf, h"
+    assert records.query_intent("Acme Pharma") == "sponsor" and records.query_intent("myocarditis") == "condition" and records.query_intent("car-t") == "text"
+    pages = spark.createDataFrame([("w", 1, "a"), ("w", 2, "k1"), ("w", 3, "k2"), ("w", 4, "b")], "w string, p long, id string")
+    known = spark.createDataFrame([("k1",), ("k2",)], "id string")
+    assert rows(records.seen_pages(pages, known, "w", "p", "id").select("p")) == [(1,), (2,), (3,)]
+    texts = spark.createDataFrame([(1, "Heart failure"), (2, "lung"), (3, None)], "id long, t string")
+    post = records.trigram_postings(texts, "id", F.col("t"))
+    for phrase in ("heart", "rt f", "ng", "zzz"):
+        scan = texts.filter(F.lower("t").contains(phrase))
+        assert rows(records.trigram_search(texts, post, "id", F.col("t"), phrase)) == rows(scan)
+    runs = spark.createDataFrame([("r", "running", "c0", None)], "run_id string, status string, cursor_before string, cursor_after string")
+    assert records.finish_run(runs, "r", True, "c1").first()["cursor_after"] == "c1"
+    assert records.finish_run(runs, "r", False, "c1").first()["cursor_after"] == "c0"
+    assert rows(records.mixed_language_pairs(spark.createDataFrame([("g", 1, "心"), ("g", 2, "x"), ("h", 3, "y")], "g string, k long, t string"), "g", "k", "t")) == [("g", 1, 2)]
