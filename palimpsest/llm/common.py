@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 
 
 class WordHashes(dict):
