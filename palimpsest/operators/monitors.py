@@ -48,9 +48,9 @@ def next_due_column(anchor: Column, interval_seconds: Column, now: Column) -> Co
     return F.when(now < anchor, anchor).otherwise(anchor + (F.floor((now - anchor) / interval_seconds) + 1) * interval_seconds)
 
 
-def reconcile_outbox(events: DataFrame, channels: DataFrame, existing: DataFrame, key: Sequence[str], activated: Column) -> DataFrame:
+def reconcile_outbox(events: DataFrame, channels: Sequence[str], existing: DataFrame, key: Sequence[str], activated: Column) -> DataFrame:
     """Notifications still to be written: one per event and enabled channel, none twice, none before activation."""
-    wanted = events.filter(activated).crossJoin(F.broadcast(channels.filter("enabled").select("channel")))  # channels: a handful of rows of configuration
+    wanted = events.filter(activated).withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
     return wanted.dropDuplicates([*key, "channel"]).join(existing.select(*key, "channel"), [*key, "channel"], "left_anti")
 
 

@@ -76,8 +76,8 @@ def confidence_histogram(df: DataFrame, value: Column, bounds: Sequence[float])
 def payload_size(df: DataFrame, group: Sequence[str], payload: str) -> DataFrame:
     """Characters of payload per group and its share of all."""
     per = df.groupBy(*group).agg(F.sum(F.length(payload)).alias("chars"), F.count("*").alias("n"))
-    whole = df.agg(F.sum(F.length(payload)).alias("all_chars"))
-    return per.crossJoin(F.broadcast(whole))  # whole: one row
+    whole = df.agg(F.sum(F.length(payload))).first()[0]
+    return per.withColumn("all_chars", F.lit(whole).cast("long"))
 
 
 def canary(text: Column, labels: Sequence[str], least: int) -> Column:

@@ -215,9 +215,8 @@ def schedule_next_due(spark, sf_dir):
 SELECT event_id, channel FROM e CROSS JOIN c WHERE NOT (channel = 'app' AND event_type = 'click')""")
 def outbox_reconcile(spark, sf_dir):
     e = table(spark, sf_dir, "events").filter("value >= 90")
-    channels = spark.createDataFrame([("app", True), ("mail", True), ("hook", False)], "channel string, enabled boolean")
     sent = e.filter("event_type = 'click'").select("event_id", F.lit("app").alias("channel"))
-    return monitors.reconcile_outbox(e.select("event_id", "ts"), channels, sent, ["event_id"], F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id", "channel")
+    return monitors.reconcile_outbox(e.select("event_id", "ts"), ["app", "mail"], sent, ["event_id"], F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz")).select("event_id", "channel")
 
 
 @query("SELECT event_type, CAST(sum(length(props)) AS BIGINT) AS chars, count(*) AS n, CAST((SELECT sum(length(props)) FROM events) AS BIGINT) AS all_chars FROM events GROUP BY 1")
