@@ -47,57 +47,64 @@ def piece_scores(path: str) -> dict[str, int]:
     }
 
 
+#: A segmentation's value: score times 2**32, less the tokens; the larger value is the better one.
+SHIFT = 32
+
+
 class TrieCounts(dict):
-    """Word bytes -> (tokens, score); bounded, as the trie behind it."""
+    """Word bytes -> value of its best segmentation; bounded, as the trie behind it."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces = pieces
+        self.pieces = {p: (s << SHIFT) - 1 for p, s in pieces.items()}
         self.longest = max(map(len, pieces))
         self._fresh()
 
     def _fresh(self) -> None:
         self.clear()
         self.child: dict[tuple[int, str], int] = {}
-        self.score = [0]
-        self.tokens = [0]
-        self.made = 0
+        self.value = [0]
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self.score) > NODES:
-            self._fresh()
+    def __missing__(self, word: bytes) -> int:
         text = MARK + word.decode("utf-8", "replace")
         if len(text) > 200:
-            return self._long(text)
-        path = [0]
-        child, score, tokens, pieces = self.child, self.score, self.tokens, self.pieces
+            return self._forward(text)
+        if len(self.value) > NODES:
+            self._fresh()
+        child, value = self.child, self.value
+        node, forward = 0, [0]
         for end, char in enumerate(text, 1):
-            node = child.get((path[-1], char))
+            step = (node, char)
+            node = child.get(step)
             if node is None:
-                size = len(char.encode())
-                best = (score[path[-1]] + BYTE * size, -(tokens[path[-1]] + size))
-                for begin in range(max(0, end - self.longest), end):
-                    s = pieces.get(text[begin:end])
-                    if s is not None:
-                        best = max(best, (score[path[begin]] + s, -(tokens[path[begin]] + 1)))
-                node = child[(path[-1], char)] = len(score)
-                score.append(best[0])
-                tokens.append(-best[1])
-            path.append(node)
-        out = self[word] = (tokens[path[-1]], score[path[-1]])
-        return out
-
-    def _long(self, text: str) -> tuple[int, int]:
+                node = child[step] = len(value)
+                value.append(self._best(text, end, forward))
+            forward.append(value[node])
+        self[word] = forward[-1]
+        return forward[-1]
+
+    def _best(self, text: str, end: int, forward: list[int]) -> int:
+        """Best value of the first ``end`` characters, from those of shorter prefixes."""
+        pieces = self.pieces
+        best = forward[end - 1] + len(text[end - 1].encode()) * ((BYTE << SHIFT) - 1)
+        for begin in range(max(0, end - self.longest), end):
+            gain = pieces.get(text[begin:end])
+            if gain is not None and forward[begin] + gain > best:
+                best = forward[begin] + gain
+        return best
+
+    def _forward(self, text: str) -> int:
         """A pre-token too long to keep in the trie: the same recurrence on its own."""
-        best = [(0, 0)]
-        for end, char in enumerate(text, 1):
-            size = len(char.encode())
-            here = (best[-1][0] + BYTE * size, best[-1][1] - size)
-            for begin in range(max(0, end - self.longest), end):
-                s = self.pieces.get(text[begin:end])
-                if s is not None:
-                    here = max(here, (best[begin][0] + s, best[begin][1] - 1))
-            best.append(here)
-        return -best[-1][1], best[-1][0]
+        forward = [0]
+        for end in range(1, len(text) + 1):
+            forward.append(self._best(text, end, forward))
+        return forward[-1]
+
+    def text(self, text: bytes | None) -> tuple[int, int, int]:
+        """Words, tokens and score of a whole text."""
+        words = text.split() if text else []
+        value = sum(map(self.__getitem__, words))
+        tokens = -value % (1 << SHIFT)
+        return len(words), tokens, (value + tokens) >> SHIFT
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -107,11 +114,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = TrieCounts(piece_scores(path))
         for batch in batches:
-            rows = []
-            for text in column_bytes(batch, "text"):
-                words = text.split() if text else []
-                found = list(map(counts.__getitem__, words))
-                rows.append((len(words), sum(f[0] for f in found), sum(f[1] for f in found)))
+            rows = [counts.text(t) for t in column_bytes(batch, "text")]
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n_words", "n_tokens", "score"])
 
