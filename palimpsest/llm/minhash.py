@@ -16,8 +16,8 @@ low bits of minima of one hash family.
 * Confirmation.  Within a family the full sets are intersected.  Pairs that are
   connected already are skipped; what is emitted spans all true links.
 
-Equal sets are collapsed first.  A key or family of more than ``BLOCK`` members is
-cut into blocks and each pair of blocks is a task of its own.
+Equal sets are collapsed first.  A key of more than ``KEY_BLOCK`` members and a family
+of more than ``FAMILY_BLOCK`` are cut into blocks; each pair of blocks is a task of its own.
 
 Defined results.  Null, empty or blank text: no shingles, linked with nothing,
 kept.  Rows that share a doc_id count as one document.  A null doc_id is linked
@@ -42,8 +42,8 @@ from .common import WordHashes, column_bytes, mix, odd_constants
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, FINE = 8, 5, 1, 128
 INDEX = CHUNKS * WIDTH
-BLOCK = 4096
-BLOCK_SHINGLES = 4_000_000
+#: Members of a key, members of a family, and shingles of a family, beyond which it is cut into blocks.
+KEY_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 4096, 512, 1_000_000
 _POSITION = odd_constants(SHINGLE, 11)
 _FAMILY = odd_constants(max(INDEX, FINE), 29)
 _NIBBLES = np.uint64(0x1111111111111111)
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     )
     keys = materialize(nodes.select("node", "symbols").mapInArrow(_keys, "key long, node long"), "keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    in_key = keys.join(shared, "key").select("key", "node", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    in_key = keys.join(shared, "key").select("key", "node", F.ceil(F.col("c") / KEY_BLOCK).alias("blocks"))
     signed = _in_blocks(in_key.join(nodes.select("node", "n", "fine"), "node"), "blocks")
     close = materialize(
         signed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").mapInArrow(_close_pairs(bound, percent), "a long, b long").distinct(),
@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     size = (
         family.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node")
         .groupBy("component")
-        .agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+        .agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).alias("blocks"))
     )
     members = family.join(size, "component").select(F.col("component").alias("key"), "node", "blocks")
     wanted = KeyBitmap(family, F.xxhash64("node")).mark(docs, F.xxhash64("doc_id")).filter("maybe")

@@ -53,7 +53,8 @@ def corpus(seed=1):
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_equals_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "KEY_BLOCK", block)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", block)
     docs = corpus()
     got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     want = brute(docs)
