@@ -45,6 +45,11 @@ def severity_rank(severity: Column) -> Column:
     return out
 
 
+def _lookup(values: dict, key: Column) -> Column:
+    """The value of a constant map; null for other keys."""
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
+
+
 def _result(severity: Column | str, change: Column | str, score: Column | float) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(as_column(severity).alias("severity"), as_column(change).alias("change_type"), as_column(score).cast("double").alias("importance_score"))
@@ -71,18 +76,8 @@ def classify_change(field: Column, old: Column, new: Column, category: Column |
         .otherwise(_result("normal", direction, 30.0))
     )
 
-    severity, extra = F.lit(None).cast("string"), F.lit(0)
-    for name, (level, more) in FIELD_RULES.items():
-        severity = F.when(field == name, level).otherwise(severity)
-        extra = F.when(field == name, more).otherwise(extra)
-    fallback = F.lit("normal")
-    for name, level in CATEGORY_RULES.items():
-        fallback = F.when(category == name, level).otherwise(fallback)
-    severity = F.coalesce(severity, fallback)
-    base = F.lit(0.0)
-    for name, score in BASE_SCORE.items():
-        base = F.when(severity == name, score).otherwise(base)
-    score = base + extra
+    severity = F.coalesce(_lookup({k: v[0] for k, v in FIELD_RULES.items()}, field), _lookup(CATEGORY_RULES, category), F.lit("normal"))
+    score = _lookup(BASE_SCORE, severity) + F.coalesce(_lookup({k: v[1] for k, v in FIELD_RULES.items()}, field), F.lit(0))
 
     listed = F.when(F.size(F.array_except(_items(new), _items(old))) > 0, "list_item_added").when(F.size(F.array_except(_items(old), _items(new))) > 0, "list_item_removed").otherwise("modified")
     plain = F.when(F.coalesce(old, F.lit("")) == "", "added").when(F.coalesce(new, F.lit("")) == "", "removed").otherwise("modified")
