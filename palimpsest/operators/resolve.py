@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import lru_cache
+from math import ceil, floor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 from ..functions.text import trigrams
 from .components import connected_components
@@ -126,8 +129,115 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, (x or "").lower(), (y or "").lower()).ratio() for x, y in zip(a, b)])
 
 
-def similar_titles(texts: DataFrame, key: str, text: str, ratio: float = 0.85, least: int = 10) -> DataFrame:
-    """``(a, b, ratio)`` of candidate pairs whose texts are similar enough."""
-    pairs = trigram_candidates(texts, key, text, least)
-    left, right = texts.select(F.col(key).alias("a"), F.col(text).alias("ta")), texts.select(F.col(key).alias("b"), F.col(text).alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", sequence_ratio("ta", "tb").alias("ratio")).filter(F.col("ratio") >= ratio)
+@F.pandas_udf(StringType())
+def _lowered(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else x.lower())
+
+
+@F.pandas_udf(DoubleType())
+def _either_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The larger ratio of both orders, null if it is below ``least``; cheap upper bounds come first."""
+
+    def one(x: str | None, y: str | None, floor_: float) -> float | None:
+        if x is None or y is None:
+            return None
+        m = SequenceMatcher(None, x, y)
+        if m.real_quick_ratio() < floor_ or m.quick_ratio() < floor_:
+            return None
+        best = max(m.ratio(), SequenceMatcher(None, y, x).ratio())
+        return best if best >= floor_ else None
+
+    return pd.Series([one(x, y, z) for x, y, z in zip(a, b, least)], dtype="float64")
+
+
+def _partners(n: int, ratio: float) -> range:
+    """Lengths that a text may have to reach the ratio with one of length ``n``."""
+    return range(ceil(n * ratio / (2 - ratio) - 1e-9), floor(n * (2 - ratio) / ratio + 1e-9) + 1)
+
+
+def shared_bound(n: int, m: int, ratio: float, q: int) -> int:
+    """Least number of common ``q``-grams, repeats counted, of texts of ``n`` and ``m`` characters that reach the ratio.
+
+    ``k`` matched characters leave ``u = n + m - 2k`` others, hence at most ``u + 1`` blocks,
+    and a block of ``x`` characters has ``x - q + 1`` grams.
+    """
+    k = ceil(ratio * (n + m) / 2 - 1e-9)
+    return k - (q - 1) * (n + m - 2 * k + 1)
+
+
+@lru_cache(maxsize=65536)
+def _least_shared(n: int, ratio: float, q: int) -> int:
+    return min((shared_bound(n, m, ratio, q) for m in _partners(n, ratio)), default=1)
+
+
+def _short_below(ratio: float) -> int | None:
+    """From this length on, two texts that reach the ratio share a pair of characters; None if that is never sure."""
+    if 1.5 * ratio - 1 <= 1e-6:
+        return None
+    top = ceil(2 / (1.5 * ratio - 1)) + 1
+    return max([n + 1 for n in range(1, top) for m in _partners(n, ratio) if shared_bound(n, m, ratio, 2) < 1], default=0)
+
+
+def _gram_pairs(texts: DataFrame, ratio: float, q: int) -> DataFrame:
+    """``(a, b)`` of texts ``(rep, t)`` that share a gram within the prefixes that the bound leaves."""
+
+    def numbered(t: str | None) -> list[str]:
+        t = t or ""
+        seen, out = Counter(), []
+        for i in range(len(t) - q + 1):
+            g = t[i : i + q]
+            out.append(f"{seen[g]}:{g}")
+            seen[g] += 1
+        return out
+
+    @F.pandas_udf("array<string>")
+    def grams(text: pd.Series) -> pd.Series:
+        return text.map(numbered)
+
+    @F.pandas_udf("struct<n:int,low:int,high:int,keep:int>")
+    def sizes(text: pd.Series) -> pd.DataFrame:
+        n = [len(x or "") for x in text]  # the optimizer may ask before nulls are filtered
+        reach = [_partners(x, ratio) for x in n]
+        return pd.DataFrame({"n": n, "low": [r.start for r in reach], "high": [r.stop - 1 for r in reach], "keep": [x - q + 2 - _least_shared(x, ratio, q) for x in n]})
+
+    long = texts.select("rep", sizes("t").alias("x"), grams("t").alias("g")).select("rep", "x.*", F.explode("g").alias("gram"))
+    df = long.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = long.join(df, "gram").withColumn("nth", F.row_number().over(Window.partitionBy("rep").orderBy("df", "gram")))
+    prefix = ranked.filter(F.col("nth") <= F.col("keep"))
+    a = prefix.select("gram", F.col("rep").alias("a"), "low", "high")
+    b = prefix.select("gram", F.col("rep").alias("b"), "n")
+    return a.join(b, "gram").filter("a > b AND n BETWEEN low AND high").select("a", "b").distinct()
+
+
+def _title_pairs(texts: DataFrame, ratio: float) -> DataFrame:
+    """``(a, b)`` of texts ``(rep, t)``: every pair that can reach the ratio is among them.
+
+    Texts that are long enough meet by pairs of characters, the others by single characters.
+    """
+    short = _short_below(ratio)
+    if short is None:
+        return _gram_pairs(texts, ratio, 1)
+    found = _gram_pairs(texts.filter(F.length("t") >= short), ratio, 2)
+    if short:
+        found = found.union(_gram_pairs(texts.filter(F.length("t") < _partners(short, ratio).stop), ratio, 1)).distinct()
+    return found
+
+
+def similar_titles(texts: DataFrame, key: str, text: str, ratio: float = 0.85, least: int = 0) -> DataFrame:
+    """``(a, b, ratio)``: whole texts that are similar enough, without a limit on the number of partners.
+
+    Texts that are equal in lower case are one group, named by its smallest key: each other member
+    is linked with that key at 1.0, and groups are linked by their keys (``a > b``), so that a group
+    of ``n`` copies gives ``n - 1`` rows.  The ratio of two groups is the larger of both orders.
+    Candidates follow from the ratio (``shared_bound``); ``least`` asks for so many common trigrams
+    on top.  Null texts link with nothing.
+    """
+    rows = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("a"), _lowered(F.col(text).cast("string")).alias("t"))
+    groups = rows.groupBy("t").agg(F.min("a").alias("rep"))
+    members = rows.join(groups, "t").filter("a > rep").select("a", F.col("rep").alias("b"), F.lit(1.0).alias("ratio"))
+    left, right = groups.select(F.col("rep").alias("a"), F.col("t").alias("ta")), groups.select(F.col("rep").alias("b"), F.col("t").alias("tb"))
+    pairs = _title_pairs(groups, ratio).join(left, "a").join(right, "b")
+    if least > 0:
+        pairs = pairs.filter(F.size(F.array_intersect(trigrams(F.col("ta")), trigrams(F.col("tb")))) >= least)
+    links = pairs.select("a", "b", _either_ratio("ta", "tb", F.lit(float(ratio))).alias("ratio")).filter("ratio IS NOT NULL AND NOT isnan(ratio)")
+    return members.unionByName(links)

@@ -87,12 +87,14 @@ def _titles(spark, sf_dir):
 
 @query(_GRAMS)
 def trigram_candidates(spark, sf_dir):
+    """A top-k report over the openings of texts: the best 200 partners of a row."""
     return resolve.trigram_candidates(_titles(spark, sf_dir), "doc_id", "title", 40).select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
 @query()
 def title_similarity(spark, sf_dir):
-    return resolve.similar_titles(_titles(spark, sf_dir), "doc_id", "title", ratio=0.85, least=40)
+    """Similar part names: whole values of a short column, every pair of distinct names."""
+    return resolve.similar_titles(table(spark, sf_dir, "part"), "p_partkey", "p_name", ratio=0.85)
 
 
 @query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'),

@@ -206,6 +206,28 @@ def test_trigram_candidates_equal_brute_force(spark, rows):
     assert rows(resolve.similar_titles(df, "id", "t", 0.9, 6).select("a", "b")) == [(1, 0)]
 
 
+def test_similar_titles_miss_no_pair(spark, rows):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    head = "a study of the same opening words for all the "
+    titles = [head + f"{i:03d}" for i in range(230)] + ["ab", "abc", "abcd", "abce", "Copy", "copy", "copy", "", "", None]
+    titles += ["".join(rng.choice("abc ") for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    low = {}
+    for i, t in enumerate(titles):
+        if t is not None:
+            low.setdefault(t.lower(), []).append(i)
+    ratio = lambda x, y: max(SequenceMatcher(None, x, y).ratio(), SequenceMatcher(None, y, x).ratio())
+    df = spark.createDataFrame(list(enumerate(titles)), "id long, t string")
+    for least in (0.85, 0.6):
+        want = {(i, ids[0]) for ids in low.values() for i in ids[1:]}
+        want |= {(max(i[0], j[0]), min(i[0], j[0])) for x, i in low.items() for y, j in low.items() if x < y and ratio(x, y) >= least}
+        got = [tuple(r) for r in resolve.similar_titles(df, "id", "t", least).select("a", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert sum(b < 230 for a, b in got if a == 229) == 229  # more partners than 200
+
+
 def test_review_decisions(spark, rows):
     queue = spark.createDataFrame([(1, "pending"), (2, "approved"), (3, "pending")], "id long, state string")
     said = spark.createDataFrame([(1, "approve"), (2, "reject")], "id long, decision string")
