@@ -152,3 +152,15 @@ def content_canary(spark, sf_dir):
 @query("SELECT doc_id, regexp_replace(text, '(?i)((?:token|secret|password|api[_-]?key)\\s*[=:]\\s*)\\S+', '\\1***', 'g') AS text FROM documents WHERE contains(text, 'token')")
 def redacted_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("text").contains("token")).select("doc_id", tx.redact(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '(?i)((?:token|secret|password|api[_-]?key)\\s*[=:]\\s*)\\S+', '\\1***', 'g') AS text FROM documents")
+def redacted_documents(spark, sf_dir):
+    """Every text, whatever secret it names."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact(F.col("text")).alias("text"))
+
+
+@query()
+def phrase_mining(spark, sf_dir):
+    """Phrases of 1 to 4 words of all texts, with the operator's own stop words and evidence bound."""
+    return glossary.mine_phrases(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))

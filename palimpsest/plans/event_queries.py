@@ -192,6 +192,21 @@ def upsert(spark, sf_dir):
     return writes.upsert(e.filter("ts < timestamp_ntz'2024-01-10'"), e.filter("ts >= timestamp_ntz'2024-01-25'"), KEY, ORDER).select("user_id", "event_id", "value")
 
 
+@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15') e
+WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events o WHERE o.ts < TIMESTAMP '2024-01-15' AND o.user_id = e.user_id AND o.event_type = e.event_type)""")
+def insert_ignore_all(spark, sf_dir):
+    """All events on one side or the other of a date."""
+    e = table(spark, sf_dir, "events")
+    return writes.insert_ignore(e.filter("ts < timestamp_ntz'2024-01-15'"), e.filter("ts >= timestamp_ntz'2024-01-15'"), ["user_id", "event_type"], ORDER).select("user_id", "event_type", "event_id")
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def upsert_all(spark, sf_dir):
+    """All events on one side or the other of a date."""
+    e = table(spark, sf_dir, "events")
+    return writes.upsert(e.filter("ts < timestamp_ntz'2024-01-15'"), e.filter("ts >= timestamp_ntz'2024-01-15'"), KEY, ORDER).select("user_id", "event_id", "value")
+
+
 @query("""SELECT event_id, CAST(n AS BIGINT) AS attempts, CASE WHEN event_type = 'error' AND n >= 3 THEN 'failed' ELSE 'pending' END AS state
 FROM (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) % 4 + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS n FROM events)""")
 def attempt_counter(spark, sf_dir):

@@ -208,3 +208,11 @@ def rollup_counts(spark, sf_dir):
 def id_range_candidates(spark, sf_dir):
     known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     return scopes.outside(spark.range(1, 20001), known, "id")
+
+
+@query("""SELECT id FROM (SELECT unnest(generate_series(1, (SELECT max(o_orderkey) FROM orders))) AS id) WHERE id NOT IN (SELECT o_orderkey FROM orders)""")
+def id_gaps(spark, sf_dir):
+    """Free ids up to the largest that is taken."""
+    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    last = known.agg(F.max("id")).first()[0] or 0
+    return scopes.outside(spark.range(1, last + 1), known, "id")
