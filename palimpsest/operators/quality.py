@@ -89,7 +89,7 @@ def false_merges(records: DataFrame, master: str, sets: Sequence[str], id_col: s
     """Masters whose records differ in a listed column, or in the alphabetic prefix of their id."""
     prefix = F.regexp_extract(F.col(id_col).cast("string"), r"^([A-Za-z]*)", 1)
     agg = records.groupBy(master).agg(F.count("*").alias("n_records"), *[F.count_distinct(c).alias(f"n_{c}") for c in sets], F.count_distinct(prefix).alias("n_prefixes"))
-    return agg.filter((F.col("n_records") > 1) & reduce(lambda a, b: a | b, [F.col(f"n_{c}") > 1 for c in sets]))
+    return agg.filter((F.col("n_records") > 1) & reduce(lambda a, b: a | b, [F.col(f"n_{c}") > 1 for c in [*sets, "prefixes"]]))
 
 
 def ratio_outliers(records: DataFrame, master: str, value: str, ratio: float) -> DataFrame:

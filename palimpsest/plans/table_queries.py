@@ -164,6 +164,14 @@ def false_merge_check(spark, sf_dir):
     return quality.false_merges(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_returnflag", "l_linestatus"], "l_orderkey")
 
 
+@query("""SELECT o_custkey, count(*) AS n_records, count(DISTINCT o_orderstatus) AS n_o_orderstatus, count(DISTINCT lower(substr(o_orderpriority, 3, 1))) AS n_prefixes FROM orders
+GROUP BY 1 HAVING count(*) > 1 AND (count(DISTINCT o_orderstatus) > 1 OR count(DISTINCT lower(substr(o_orderpriority, 3, 1))) > 1)""")
+def false_merge_prefixes(spark, sf_dir):
+    """Customers whose orders differ in status or in the letters that their id begins with."""
+    o = table(spark, sf_dir, "orders").withColumn("id", F.concat(F.lower(F.substring("o_orderpriority", 3, 1)), F.col("o_orderkey").cast("string")))
+    return quality.false_merges(o, "o_custkey", ["o_orderstatus"], "id")
+
+
 @query("SELECT o_custkey, min(o_totalprice) AS low, max(o_totalprice) AS high, count(*) AS n_records FROM orders GROUP BY 1 HAVING count(*) > 1 AND min(o_totalprice) > 0 AND max(o_totalprice) >= 1.5 * min(o_totalprice)")
 def enrollment_ratio_outliers(spark, sf_dir):
     return quality.ratio_outliers(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice", 1.5)

@@ -286,3 +286,10 @@ def test_record_operators(spark, rows):
     assert records.finish_run(runs, "r", True, "c1").first()["cursor_after"] == "c1"
     assert records.finish_run(runs, "r", False, "c1").first()["cursor_after"] == "c0"
     assert rows(records.mixed_language_pairs(spark.createDataFrame([("g", 1, "心"), ("g", 2, "x"), ("h", 3, "y")], "g string, k long, t string"), "g", "k", "t")) == [("g", 1, 2)]
+
+
+def test_false_merges_by_id_prefix_alone(spark, rows):
+    data = [(1, "NCT1", "a"), (1, "CTR1", "a"), (2, "NCT2", "a"), (2, "NCT3", "a"), (3, "NCT4", "a"), (3, "NCT5", "b"), (4, "NCT6", "a"), (5, None, "a"), (5, "NCT7", None)]
+    df = spark.createDataFrame(data, "master long, id string, phase string")
+    assert rows(quality.false_merges(df, "master", ["phase"], "id")) == [(1, 2, 1, 2), (3, 2, 2, 1)]
+    assert rows(quality.false_merges(df, "master", [], "id").select("master")) == [(1,)]
