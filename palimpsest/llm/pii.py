@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal numbers, dates and addresses.
 
-Values are found by one pattern and checked: payment cards by the Luhn sum, IBANs
+Values are found by their patterns and checked: payment cards by the Luhn sum, IBANs
 modulo 97, social security numbers and IPv4 addresses by their ranges, dates by the
 calendar.  A checked value goes through an unbalanced Feistel network over its own
 domain (two residues ``l < a`` and ``r < b``), keyed and tweaked by kind and length,
@@ -12,6 +12,12 @@ keyed digest of 64 bits or more is written in the place of the name or the value
 Everything is DataFrame functions; the network's rounds are an ``aggregate`` over a
 sequence, so that no expression is copied.
 
+Cards and IBANs have no sure end: the number or word after them looks like one more
+group.  What the other kinds leave is cut into runs of groups, and every stretch of
+groups that has the form and passes the check is a candidate.  Stretches in a usual
+card layout, and IBANs, come first, then the leftmost, then the longest; none overlap.
+In lists of numbers some stretches pass the Luhn sum by chance and are replaced, too.
+
 Dates: the years 1601-1900, 1901-2000 and 2001-2099 are three domains; other years
 stay.  With slashes the month comes first where that is a date, else the day; with
 dots the day comes first.
@@ -37,10 +43,14 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,
 IP = r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])"
 DATE = r"(?<![\p{L}\p{N}/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{L}\p{N}/\-]|\.[0-9])"
 SSN = r"(?<![\p{L}\p{N}\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}\-])"
-PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![\p{L}\p{N}])|\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.\-])[0-9]{3}([.\-])[0-9]{3}\1[0-9]{4}(?![\p{L}\p{N}])"
+PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\+[0-9](?:[ .\-]?\(?[0-9]\)?){7,14}(?![\p{L}\p{N}])|\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}.\-])[0-9]{3}([.\-])[0-9]{3}\1[0-9]{4}(?![\p{L}\p{N}])"
 CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}])"
 #: The one group of PHONE's last form is the first of the whole pattern, too.
-PATTERN = "|".join([EMAIL, SECRET, IBAN, IP, DATE, SSN, PHONE, CARD])
+PATTERN = "|".join([EMAIL, SECRET, IP, DATE, SSN, PHONE])
+#: Runs of groups in which cards and IBANs may stand; the classes repeat without recursion.
+RUN = r"(?<![\p{L}\p{N}])(?:[A-Z]{2}[0-9]{2}|[0-9])[0-9A-Z \-]{11,}(?<=[0-9A-Z])(?![\p{L}\p{N}])"
+USUAL = r"^(?:[A-Z].*|[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
+MOST_GROUPS = 19
 
 
 def whole(pattern: str) -> str:
@@ -205,7 +215,8 @@ def _secret(m: Column, key: str) -> Column:
     return let(F.element_at(F.split(m, '"'), 2), body)
 
 
-_KINDS = (("email", EMAIL, _email), ("secret", SECRET, _secret), ("ip", IP, _ip), ("date", DATE, _date), ("ssn", SSN, _ssn), ("iban", IBAN, _iban), ("phone", PHONE, _phone), ("card", CARD, _card))
+_KINDS = (("email", EMAIL, _email), ("secret", SECRET, _secret), ("ip", IP, _ip), ("date", DATE, _date), ("ssn", SSN, _ssn), ("phone", PHONE, _phone))
+_NO_KINDS = "array<string>"
 
 
 def _marked(kind: str) -> Callable[[Column], Column]:
@@ -221,22 +232,74 @@ def replacement(m: Column, key: str) -> Column:
     return out
 
 
+def _passes(c: Column) -> Column:
+    """Whether a stretch of groups is a card or an IBAN."""
+    plain = F.replace(c, F.lit(" "), F.lit(""))
+    card = F.when(c.rlike(whole(CARD)), luhn_sum(digits_of(c)) == 0)
+    iban = F.when(c.rlike(whole(IBAN)) & F.length(plain).between(15, 34), mod97(plain) == 1)
+    return F.coalesce(card, iban, F.lit(False))
+
+
+def _run(m: Column, key: str) -> Column:
+    """Struct ``(text, kinds)``: a run of groups with its cards and IBANs replaced."""
+
+    def of(groups: Column) -> Column:
+        n = F.size(groups)
+        join = lambda first, count: F.array_join(F.slice(groups, first, count), "")
+        stretch = lambda s, e: F.regexp_replace(join(s, e - s + 1), r"[ \-]+$", "")
+
+        def ends(s: Column) -> Column:
+            each = F.transform(F.sequence(F.least(s + MOST_GROUPS - 1, n), s, F.lit(-1)), lambda e: F.struct(e.alias("e"), stretch(s, e).alias("c")))
+            good = F.filter(each, lambda x: _passes(x["c"]))
+            return F.transform(good, lambda x: F.struct(F.when(x["c"].rlike(USUAL), 0).otherwise(1).alias("tier"), s.alias("s"), (-x["e"]).alias("less"), x["e"].alias("e")))
+
+        starts = F.filter(F.sequence(F.lit(1), n), lambda k: F.get(groups, k - 1).rlike("^(?:[0-9]|[A-Z]{2}[0-9]{2})"))
+        ordered = F.array_sort(F.flatten(F.transform(starts, ends)))
+        free = lambda acc, c: ~F.exists(acc, lambda x: (c["s"] <= x["e"]) & (x["s"] <= c["e"]))
+        taken = F.aggregate(
+            ordered, F.array().cast("array<struct<s:int,e:int>>"), lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(F.struct(c["s"].alias("s"), c["e"].alias("e"))))).otherwise(acc)
+        )
+
+        def written(acc: Column, x: Column) -> Column:
+            c = stretch(x["s"], x["e"])
+            fresh = let(c, lambda v: F.concat(F.when(v.rlike("^[0-9]"), _card(v, key)).otherwise(_iban(v, key)), F.substr(join(x["s"], x["e"] - x["s"] + 1), F.length(v) + 1)))
+            return F.struct(F.concat(acc["t"], join(acc["k"], x["s"] - acc["k"]), fresh).alias("t"), (x["e"] + 1).alias("k"))
+
+        kinds = lambda t: F.transform(t, lambda x: F.when(F.get(groups, x["s"] - 1).rlike("^[0-9]"), "card").otherwise("iban"))
+        text = lambda t: F.aggregate(t, F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), written, lambda acc: F.concat(acc["t"], join(acc["k"], n - acc["k"] + 1)))
+        return let(F.array_sort(taken), lambda t: F.struct(text(t).alias("text"), kinds(t).alias("kinds")))
+
+    return let(F.regexp_extract_all(m, F.lit(r"[0-9A-Z]+[ \-]*"), F.lit(0)), of)
+
+
+def _numbers(piece: Column, key: str) -> Column:
+    """Struct ``(text, kinds)``: a text between other values, with its cards and IBANs replaced."""
+    runs = F.transform(F.regexp_extract_all(piece, F.lit(RUN), F.lit(0)), lambda m: _run(m, key))
+    text = lambda r: F.array_join(F.zip_with(F.split(piece, RUN, -1), r, lambda a, b: F.concat(a, F.coalesce(b["text"], F.lit("")))), "")
+    plain = F.struct(piece.alias("text"), F.array().cast(_NO_KINDS).alias("kinds"))
+    return F.when(piece.rlike(RUN), let(runs, lambda r: F.struct(text(r).alias("text"), F.flatten(F.transform(r, lambda x: x["kinds"])).alias("kinds")))).otherwise(plain)
+
+
 def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with checked values replaced, ``n_replaced`` (long) and ``kinds`` (sorted, comma-joined)."""
-    kept = [c for c in docs.columns if c not in ("n_replaced", "kinds", "__found", "__fresh")]
+    kept = [c for c in docs.columns if c not in ("n_replaced", "kinds", "__found", "__fresh", "__between", "__kinds")]
     body = F.col(text)
-    found = F.when(body.rlike("[0-9]{2}|[0-9]\\.[0-9]|@|\""), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
+    some = F.coalesce(body.rlike("[0-9]{2}|[0-9]\\.[0-9]|[0-9][ \\-][0-9]|@|\""), F.lit(False))
+    found = F.when(some, F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
     fresh = F.transform("__found", lambda m: replacement(m, key))
-    written = F.array_join(F.zip_with(F.split(body, PATTERN, -1), F.zip_with("__found", "__fresh", lambda m, r: F.coalesce(r["value"], m)), lambda piece, m: F.concat(piece, F.coalesce(m, F.lit("")))), "")
-    hits = F.filter("__fresh", lambda r: r["kind"].isNotNull())
-    some = F.size("__found") > 0
+    between = F.when(some, F.transform(F.split(body, PATTERN, -1), lambda p: _numbers(p, key)))
+    written = F.array_join(F.zip_with("__between", F.zip_with("__found", "__fresh", lambda m, r: F.coalesce(r["value"], m)), lambda piece, m: F.concat(piece["text"], F.coalesce(m, F.lit("")))), "")
+    others = F.transform(F.filter("__fresh", lambda r: r["kind"].isNotNull()), lambda r: r["kind"])
+    hits = F.concat(others, F.flatten(F.transform("__between", lambda p: p["kinds"])))
     return (
         docs.select(*kept)
         .withColumn("__found", found)
-        .withColumn("__fresh", F.when(some, fresh))
-        .withColumn("n_replaced", F.when(some, F.size(hits).cast("long")).otherwise(F.lit(0).cast("long")))
-        .withColumn("kinds", F.when(some, F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda r: r["kind"]))), ",")).otherwise(F.lit("")))
+        .withColumn("__fresh", fresh)
+        .withColumn("__between", between)
+        .withColumn("__kinds", F.coalesce(hits, F.array().cast(_NO_KINDS)))
+        .withColumn("n_replaced", F.size("__kinds").cast("long"))
+        .withColumn("kinds", F.array_join(F.array_sort(F.array_distinct("__kinds")), ","))
         .withColumn(text, F.when(F.col("n_replaced") > 0, written).otherwise(body))
-        .drop("__found", "__fresh")
+        .drop("__found", "__fresh", "__between", "__kinds")
         .select(*kept, "n_replaced", "kinds")
     )

@@ -127,6 +127,29 @@ def test_pseudonyms(spark):
     assert pii.pseudonyms(df, "other").filter("doc_id = 0").first()["text"] != got[0]["text"]
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    cases = {  # text, values that must go, what must stay, kinds
+        "4111 1111 1111 1111 12/25": (["4111 1111 1111 1111"], "12/25", "card"),
+        "4111111111111111 123": (["4111111111111111"], " 123", "card"),
+        "378282246310005 4111 1111 1111 1111 99": (["378282246310005", "4111 1111 1111 1111"], " 99", "card"),
+        "7 4111-1111-1111-1111 7": (["4111-1111-1111-1111"], "7 ", "card"),
+        "4111 1111 1111 1111 123-45-6789": (["4111 1111 1111 1111", "123-45-6789"], "", "card,ssn"),
+        "4111 1111 1111 1111 12/25/2024 x": (["4111 1111 1111 1111", "12/25/2024"], " x", "card,date"),
+        "ES91 2100 0418 4502 0005 1332 I paid": (["2100 0418 4502 0005 1332"], " I paid", "iban"),
+        "BE68 5390 0754 7034 OK then": (["5390 0754 7034"], " OK then", "iban"),
+        "ES91 2100 0418 4502 0005 1332 BE68 5390 0754 7034 4111-1111-1111-1111": (["2100 0418 4502", "5390 0754 7034", "4111-1111-1111-1111"], "BE", "card,iban"),
+        "+44 20 7946 0958 now": (["7946 0958"], " now", "phone"),
+        "+49 30 12345678": (["12345678"], "+", "phone"),
+        "+33 1 42 68 53 00.": (["42 68 53 00"], ".", "phone"),
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonyms(df, "k").collect()}
+    for i, (text, (gone, stays, kinds)) in enumerate(cases.items()):
+        out = got[i]["text"]
+        assert got[i]["kinds"] == kinds and got[i]["n_replaced"] == len(gone), (text, got[i])
+        assert not any(v in out for v in gone) and stays in out and re.sub("[0-9]", "0", out) == re.sub("[0-9]", "0", text), (text, out)
+
+
 def test_dates_are_permuted_within_their_span(spark):
     days = spark.range(0, 36525, 5).select(F.date_add(F.lit("1901-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     out = days.select(pii._permuted_date(F.col("d"), "k").alias("p"))
