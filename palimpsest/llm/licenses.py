@@ -7,6 +7,13 @@ coefficient ``t`` only with units of ``b*t/(2-t)`` to ``b*(2-t)/t`` bigrams, so
 templates are kept sorted by size and only that range is compared.  Texts without
 any template's bigram are left after one lookup.
 
+A license may also share its unit with other words.  So a template that no unit
+reaches is looked for in the runs of words of the text (copyright lines first taken
+out), and the run with the largest coefficient is one more unit.  Such a run may begin and
+end with bigrams of the template, since others at the ends only lower the coefficient,
+and is at most ``b*(2-t)/t`` distinct bigrams long.  Only stretches with enough of the
+template's bigrams are tried.
+
 The templates travel with the task; their number and size are a parameter of a few
 kilobytes.  One pass, no shuffle, memory of one text.
 
@@ -29,6 +36,7 @@ from .common import WordHashes, column_bytes, mix, odd_constants
 
 THRESHOLD = 0.8
 _C = odd_constants(2, 303)
+_COPYRIGHT = re.compile(rb"(?im)^[^\w\n]*(?:copyright\b|\(c\)|\xc2\xa9)[^\n]{0,200}$")
 _BLANK = re.compile(rb"\n[ \t\r\x0b\x0c]*\n")
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -75,6 +83,16 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
 }
 
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_HOLDERS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_AUTHOR = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+#: Whole texts without title and copyright line; those of Apache, GPL and MPL contain their header or notice.
+TEMPLATES |= {
+    "BSD-2-Clause-text": f"{TEMPLATES['BSD-2-Clause']} {_HOLDERS}",
+    "ISC-text": f"{TEMPLATES['ISC']} {_AUTHOR}",
+    "MIT-text": f"{TEMPLATES['MIT']} {_AS_IS}",
+}
+
 
 def bigrams(text: bytes, words: WordHashes) -> tuple[np.ndarray, int]:
     """Sorted distinct bigram hashes and the number of words."""
@@ -115,6 +133,64 @@ class Scanner:
                 out.append((dice, self.names[k]))
         return out
 
+    def _enough(self, distinct: np.ndarray, known: set[str]) -> list[int]:
+        """Templates outside ``known`` of which the bigrams hold as many as the threshold asks of any run."""
+        at = np.searchsorted(self.any, distinct)
+        at[at == len(self.any)] = 0
+        distinct = distinct[self.any[at] == distinct]
+        out = []
+        for k, (name, grams) in enumerate(zip(self.names, self.sets)):
+            need = len(grams) * self.threshold / (2 - self.threshold) - 1e-9
+            if name not in known and len(distinct) >= need and len(np.intersect1d(distinct, grams, assume_unique=True)) >= need:
+                out.append(k)
+        return out
+
+    def runs(self, text: bytes, grams_of_text: np.ndarray, known: set[str]) -> list[tuple[float, str]]:
+        """Templates that a run of words reaches and no whole unit does, with the run's coefficient."""
+        t, out = self.threshold, {}
+        plain = _COPYRIGHT.sub(b" ", text)
+        if plain == text and not self._enough(grams_of_text, known):
+            return []
+        for body in [text] if plain == text else [text, plain]:
+            h = self.words.array(body.translate(_KEEP).split())
+            if len(h) < 2:
+                continue
+            grams = mix(h[:-1] * _C[0] + h[1:] * _C[1])
+            at = np.searchsorted(self.any, grams)
+            at[at == len(self.any)] = 0
+            where = np.flatnonzero(self.any[at] == grams)
+            hits = grams[where]
+            distinct = np.unique(hits)
+            for k in self._enough(distinct, known):
+                dice = self._best_run(grams, where[np.isin(hits, self.sets[k])], len(self.sets[k]))
+                if dice >= t and dice > out.get(self.names[k], 0.0):
+                    out[self.names[k]] = dice
+        return [(dice, name) for name, dice in out.items()]
+
+    def _best_run(self, grams: np.ndarray, hits: np.ndarray, m: int) -> float:
+        """Largest coefficient of runs that begin and end at ``hits``, the places of a template's ``m`` bigrams."""
+        most, best = m * (2 - self.threshold) / self.threshold + 1e-9, 0.0
+        new = np.zeros(len(grams), bool)
+        new[hits] = True
+        for start in hits.tolist():
+            seen, both, first = set(), 0, int(grams[start])
+            # where the first bigram comes again, a run from there is as good
+            for at in range(start, len(grams)):
+                g = int(grams[at])
+                if g in seen:
+                    if g == first:
+                        break
+                    continue
+                seen.add(g)
+                if len(seen) > most:
+                    break
+                if new[at]:
+                    both += 1
+                    best = max(best, 2 * both / (len(seen) + m))
+                    if both == m:
+                        break
+        return best
+
     def text(self, text: bytes | None) -> tuple[int, int, float, str | None, str]:
         """Units, matching units, best coefficient, its template, and all templates found."""
         if not text:
@@ -126,11 +202,14 @@ class Scanner:
         if not len(grams) or not len(self.any) or not self._known(grams):
             return len(units), 0, 0.0, None, ""
         found = [f for f in map(self.unit, units) if f]
+        within = [[x] for x in self.runs(text, grams, {name for f in found for _, name in f})]
+        found += within
         each = [x for f in found for x in f]
         if not each:
             return len(units), 0, 0.0, None, ""
+        n_units = len(units) + len(within)
         best = min(each, key=lambda x: (-x[0], x[1]))
-        return len(units), len(found), best[0], best[1], ",".join(sorted({x[1] for x in each}))
+        return n_units, len(found), best[0], best[1], ",".join(sorted({x[1] for x in each}))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -289,3 +289,36 @@ def test_license_scan_equals_brute_force(spark):
     for r in got:
         assert r["licenses"] == brute_licenses(texts[r["doc_id"]]), r
         assert (r["n_matches"] > 0) == bool(r["licenses"]) == (r["best_license"] is not None)
+
+
+def test_licenses_inside_other_words():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    bsd = "Copyright (c) 2020 Jane Doe\nAll rights reserved.\n\n" + licenses.TEMPLATES["BSD-2-Clause-text"]
+    mit = licenses.TEMPLATES["MIT-text"].replace(". ", ".\nCopyright 2021 John Roe\n", 1)
+    cases = {
+        "Copyright 2020 Jane Doe. All rights reserved.": {"AllRightsReserved"},
+        "Released under the MIT License. See the LICENSE file.": {"MIT-line"},
+        "some prose says that this was released under the MIT License by its owner in a long line": {"MIT-line"},
+        bsd: {"AllRightsReserved", "BSD-2-Clause", "BSD-2-Clause-text"},
+        "prose " * 300 + bsd.replace("\n", " ") + " more prose" * 300: {"BSD-2-Clause", "BSD-2-Clause-text"},
+        "words before " * 50 + mit: {"MIT", "MIT-text"},
+    }
+    for text, names in cases.items():
+        n_units, n_matches, best, _, found = scanner.text(text.encode())
+        assert names <= set(found.split(",")) and 0 < n_matches <= n_units and best >= licenses.THRESHOLD, (text[:60], found)
+    assert scanner.text(b"rights reserved " * 20000 + b"all rights")[1] == 1
+    assert scanner.text(b"the rights of all were reserved under the law of the land")[1] == 0
+
+
+def test_license_runs_equal_brute_force():
+    import random
+
+    rng = random.Random(3)
+    scanner = licenses.Scanner({"T": "a b c d e f"}, licenses.THRESHOLD)
+    want = {p for p in zip("abcde", "bcdef")}
+    for _ in range(400):
+        w = [rng.choice("abcdefx") if rng.random() < 0.4 else "abcdef"[i % 6] for i in range(rng.randint(2, 24))]
+        sets = [set(zip(w[i:j], w[i + 1 : j])) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+        best = max(2 * len(s & want) / (len(s) + 5) for s in sets)
+        got = dict((n, d) for d, n in scanner.runs(" ".join(w).encode(), licenses.bigrams(" ".join(w).encode(), scanner.words)[0], set()))
+        assert got == ({"T": best} if best >= licenses.THRESHOLD else {}), w
