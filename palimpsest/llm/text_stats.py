@@ -12,6 +12,9 @@ _C = odd_constants(3, 77)
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _SPACE = b" \t\n\r\x0b\x0c"
+_ASCII = bytes(range(0x80))
+_UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = _UPPER.lower()
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 #: Base counts, then the statistics that the trees see, in order.
@@ -58,14 +61,21 @@ def base_counts(text: bytes | None, words: WordHashes) -> tuple[list[int], np.nd
     return [len(parts), chars, symbols, again, repeated], h, parts
 
 
+def letter_cases(text: bytes) -> tuple[int, int]:
+    """Upper-case and lower-case letters, of all scripts."""
+    upper = len(text) - len(text.translate(None, _UPPER))
+    lower = len(text) - len(text.translate(None, _LOWER))
+    other = text.translate(None, _ASCII).decode("utf-8", "ignore")
+    return upper + sum(map(str.isupper, other)), lower + sum(map(str.islower, other))
+
+
 def statistics(text: bytes | None, words: WordHashes) -> tuple[list[int], np.ndarray]:
     """The counts of BASE and the row of STATISTICS."""
     counts, h, parts = base_counts(text, words)
     n = counts[0]
     if not n:
         return counts, np.zeros(len(STATISTICS))
-    upper = sum(text.count(c) for c in (b"A", b"E", b"I", b"O", b"U", b"N", b"S", b"T", b"R"))
-    lower = sum(text.count(c) for c in (b"a", b"e", b"i", b"o", b"u", b"n", b"s", b"t", b"r"))
+    upper, lower = letter_cases(text)
     digits = len(text) - len(text.translate(None, b"0123456789"))
     letters = sum(1 for w in parts if _LETTER.search(w))
     marked = sum(1 for w in parts if w[-2:] in (b"!!", b"??", b"**", b"$$", b"%%", b"&&", b"##"))

@@ -322,3 +322,11 @@ def test_license_runs_equal_brute_force():
         best = max(2 * len(s & want) / (len(s) + 5) for s in sets)
         got = dict((n, d) for d, n in scanner.runs(" ".join(w).encode(), licenses.bigrams(" ".join(w).encode(), scanner.words)[0], set()))
         assert got == ({"T": best} if best >= licenses.THRESHOLD else {}), w
+
+
+def test_upper_share_counts_all_letters():
+    at = text_stats.STATISTICS.index("upper_share")
+    share = lambda t: text_stats.statistics(t.encode(), text_stats.WordHashes())[1][at]
+    assert share("BCD xyz") == 0.5 and share("ÄÖ Жж é") == 0.6 and share("12 漢字") == 0.0
+    letters = [c for c in "The QUICK brown Fox, ÜBER alles" if c.isupper() or c.islower()]
+    assert share("The QUICK brown Fox, ÜBER alles") == sum(map(str.isupper, letters)) / len(letters)
