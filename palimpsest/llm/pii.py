@@ -37,8 +37,10 @@ from ..functions.columns import let
 
 ROUNDS = 10
 
-EMAIL = r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
-SECRET = r"(?i:token|secret|api_?key|password)\s*[=:]\s*\"[0-9A-Za-z+/_\-]{16,}\""
+# Loops over one class repeat without recursion; those with a fixed left boundary start once a run.
+_NAME = r"\p{L}\p{N}._%+\-"
+EMAIL = rf"(?:(?<![{_NAME}])|\G)[{_NAME}]++@(?!\.)[A-Za-z0-9.\-]*(?<!\.)\.[A-Za-z]{{2,}}"
+SECRET = r"(?i:token|secret|api_?key|password)\s*[=:]\s*\"[0-9A-Za-z+/_\-]{16,}+\""
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?![\p{L}\p{N}])"
 IP = r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])"
 DATE = r"(?<![\p{L}\p{N}/.\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\p{L}\p{N}/\-]|\.[0-9])"
@@ -47,10 +49,11 @@ PHONE = r"\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![\p{
 CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ \-]?[0-9]){12,18}(?![\p{L}\p{N}])"
 #: The one group of PHONE's last form is the first of the whole pattern, too.
 PATTERN = "|".join([EMAIL, SECRET, IP, DATE, SSN, PHONE])
-#: Runs of groups in which cards and IBANs may stand; the classes repeat without recursion.
-RUN = r"(?<![\p{L}\p{N}])(?:[A-Z]{2}[0-9]{2}|[0-9])[0-9A-Z \-]{11,}(?<=[0-9A-Z])(?![\p{L}\p{N}])"
+#: Runs of groups, one separator between two, in which cards and IBANs may stand; the loop never backtracks.
+_GROUP = r"[0-9A-Z]++(?![\p{L}\p{N}])"
+RUN = rf"(?<![\p{{L}}\p{{N}}])(?=[0-9]|[A-Z]{{2}}[0-9]{{2}})(?=[0-9A-Z \-]{{13}}){_GROUP}(?:[ \-]{_GROUP})*+"
 USUAL = r"^(?:[A-Z].*|[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
-MOST_GROUPS = 19
+MOST_GROUPS, LONGEST = 19, 60
 
 
 def whole(pattern: str) -> str:
@@ -209,7 +212,8 @@ def _email(m: Column, key: str) -> Column:
 
 def _secret(m: Column, key: str) -> Column:
     def body(v: Column) -> Column:
-        fresh = F.substr(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), v), 256), 64), F.lit(1), F.least(F.length(v), F.lit(4096)))
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), v), 256)
+        fresh = F.substr(F.repeat(digest, F.ceil(F.length(v) / 64).cast("int")), F.lit(1), F.length(v))
         return F.concat(F.substring_index(m, '"', 1), F.lit('"'), fresh, F.lit('"'))
 
     return let(F.element_at(F.split(m, '"'), 2), body)
@@ -246,30 +250,59 @@ def _run(m: Column, key: str) -> Column:
     def of(groups: Column) -> Column:
         n = F.size(groups)
         join = lambda first, count: F.array_join(F.slice(groups, first, count), "")
-        stretch = lambda s, e: F.regexp_replace(join(s, e - s + 1), r"[ \-]+$", "")
+        stretch = lambda s, e: F.rtrim(join(s, e - s + 1), F.lit(" -"))
 
         def ends(s: Column) -> Column:
             each = F.transform(F.sequence(F.least(s + MOST_GROUPS - 1, n), s, F.lit(-1)), lambda e: F.struct(e.alias("e"), stretch(s, e).alias("c")))
-            good = F.filter(each, lambda x: _passes(x["c"]))
-            return F.transform(good, lambda x: F.struct(F.when(x["c"].rlike(USUAL), 0).otherwise(1).alias("tier"), s.alias("s"), (-x["e"]).alias("less"), x["e"].alias("e")))
+            good = F.filter(each, lambda x: (F.length(x["c"]) <= LONGEST) & _passes(x["c"]))
+            return F.transform(good, lambda x: F.struct(s.alias("s"), (-x["e"]).alias("less"), x["e"].alias("e"), x["c"].rlike(USUAL).alias("usual")))
 
         starts = F.filter(F.sequence(F.lit(1), n), lambda k: F.get(groups, k - 1).rlike("^(?:[0-9]|[A-Z]{2}[0-9]{2})"))
-        ordered = F.array_sort(F.flatten(F.transform(starts, ends)))
-        free = lambda acc, c: ~F.exists(acc, lambda x: (c["s"] <= x["e"]) & (x["s"] <= c["e"]))
-        taken = F.aggregate(
-            ordered, F.array().cast("array<struct<s:int,e:int>>"), lambda acc, c: F.when(free(acc, c), F.concat(acc, F.array(F.struct(c["s"].alias("s"), c["e"].alias("e"))))).otherwise(acc)
-        )
+        # by start, the longest first: a stretch can only meet the one taken before it
+        found = F.flatten(F.transform(starts, ends))
+        usual = lambda all_: _apart(F.filter(all_, lambda x: x["usual"]))
+
+        def with_others(all_: Column, first: Column) -> Column:
+            rest = F.filter(all_, lambda x: ~x["usual"])
+            held = lambda flags: _apart(F.filter(rest, lambda x: ~F.exists(F.slice(flags, x["s"], x["e"] - x["s"] + 1), lambda f: f)))
+            return F.array_sort(F.concat(first, let(_taken_flags(first, n), held)))
+
+        def written(taken: Column) -> Column:
+            def piece(x: Column, before: Column) -> Column:
+                c = stretch(x["s"], x["e"])
+                fresh = let(c, lambda v: F.concat(F.when(v.rlike("^[0-9]"), _card(v, key)).otherwise(_iban(v, key)), F.substr(join(x["s"], x["e"] - x["s"] + 1), F.length(v) + 1)))
+                return F.concat(join(before + 1, x["s"] - before - 1), fresh)
+
+            last = F.coalesce(F.try_element_at(taken, F.lit(-1))["e"], F.lit(0))
+            text = F.concat(F.array_join(F.zip_with(taken, _ends_before(taken), piece), ""), join(last + 1, n - last))
+            kinds = F.transform(taken, lambda x: F.when(F.get(groups, x["s"] - 1).rlike("^[0-9]"), "card").otherwise("iban"))
+            return F.struct(text.alias("text"), kinds.alias("kinds"))
+
+        return let(found, lambda all_: let(usual(all_), lambda first: let(with_others(all_, first), written)))
+
+    return let(F.regexp_extract_all(m, F.lit(r"[0-9A-Z]+[ \-]?"), F.lit(0)), of)
+
+
+_SPAN = "struct<s:int,e:int>"
+
+
+def _apart(stretches: Column) -> Column:
+    """Of stretches sorted by start, each that begins after the last one taken."""
+    free = lambda acc, x: x["s"] > F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0))
+    return F.aggregate(stretches, F.array().cast(f"array<{_SPAN}>"), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e"))))).otherwise(acc))
+
 
-        def written(acc: Column, x: Column) -> Column:
-            c = stretch(x["s"], x["e"])
-            fresh = let(c, lambda v: F.concat(F.when(v.rlike("^[0-9]"), _card(v, key)).otherwise(_iban(v, key)), F.substr(join(x["s"], x["e"] - x["s"] + 1), F.length(v) + 1)))
-            return F.struct(F.concat(acc["t"], join(acc["k"], x["s"] - acc["k"]), fresh).alias("t"), (x["e"] + 1).alias("k"))
+def _ends_before(taken: Column) -> Column:
+    """For each stretch the end of the one before it, 0 for the first."""
+    return F.concat(F.array(F.lit(0)), F.transform(F.slice(taken, 1, F.greatest(F.size(taken) - 1, F.lit(0))), lambda x: x["e"]))
 
-        kinds = lambda t: F.transform(t, lambda x: F.when(F.get(groups, x["s"] - 1).rlike("^[0-9]"), "card").otherwise("iban"))
-        text = lambda t: F.aggregate(t, F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), written, lambda acc: F.concat(acc["t"], join(acc["k"], n - acc["k"] + 1)))
-        return let(F.array_sort(taken), lambda t: F.struct(text(t).alias("text"), kinds(t).alias("kinds")))
 
-    return let(F.regexp_extract_all(m, F.lit(r"[0-9A-Z]+[ \-]*"), F.lit(0)), of)
+def _taken_flags(taken: Column, n: Column) -> Column:
+    """A boolean per group: whether a stretch holds it."""
+    run = lambda x, before: F.concat(F.array_repeat(F.lit(False), x["s"] - before - 1), F.array_repeat(F.lit(True), x["e"] - x["s"] + 1))
+    last = F.coalesce(F.try_element_at(taken, F.lit(-1))["e"], F.lit(0))
+    spans = F.filter(F.zip_with(taken, _ends_before(taken), lambda x, before: F.when(x.isNotNull(), run(x, before))), lambda a: a.isNotNull())
+    return F.concat(F.flatten(spans), F.array_repeat(F.lit(False), n - last))
 
 
 def _numbers(piece: Column, key: str) -> Column:
