@@ -5,8 +5,10 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -15,23 +17,48 @@ from .columns import let
 
 CJK = "[一-鿿]"
 #: Roman numerals and their numbers, and texts that mean no phase.
-_ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "ⅰ": "1", "ⅱ": "2", "ⅲ": "3", "ⅳ": "4"}
+_ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4"}
 _NO_PHASE = ("n/a", "na", "not applicable", "not selected", "unknown", "")
-_NUM = "(iv|iii|ii|i|ⅳ|ⅲ|ⅱ|ⅰ|[0-4])"
+#: What follows the word: one number, or two that a sign or "to" joins.
+_NUMBERS = r"^\s*([ivx]{1,3}|[0-4])(?:\s*(?:[-/,&]|to\b)\s*([ivx]{1,3}|[0-4]))?(?![\p{L}\p{N}_])"
+_BEFORE_CJK = r"([0-4])\s*期"
 
 
 def has_cjk(text: Column) -> Column:
     return F.coalesce(text.rlike(CJK), F.lit(False))
 
 
+_EDGE = r"[\p{L}\p{N}]"
+
+
+def _escaped(key: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", key)
+
+
 def keyword_matches(text: Column, keyword: str) -> Column:
     """A CJK keyword anywhere, another one between characters that are no letters or digits."""
     low = F.lower(F.coalesce(text, F.lit("")))
     key = keyword.lower()
     if re.search(CJK, key):
         return low.contains(key)
-    escaped = re.sub(r"([^\w\s])", r"\\\1", key)
-    return low.rlike(r"(^|[^\p{L}\p{N}])" + escaped + r"([^\p{L}\p{N}]|$)")
+    return low.contains(key) & low.rlike(f"(?<!{_EDGE}){_escaped(key)}(?!{_EDGE})")
+
+
+def keywords_found(text: Column, keywords: Sequence[str]) -> Column:
+    """Array of the keywords that match, once each.
+
+    Keywords of letters and digits cannot overlap, so one pattern finds all of them in one
+    reading; the others are looked for one by one.
+    """
+    names = {k.lower(): k for k in keywords}
+    plain = [k for k in names if re.fullmatch(r"[^\W_]+", k) and not re.search(CJK, k)]
+    parts = [F.array_compact(F.array(*[F.when(keyword_matches(text, names[k]), F.lit(names[k])) for k in names if k not in plain])).cast("array<string>")]
+    if plain:
+        known = F.create_map(*[F.lit(x) for k in plain for x in (k, names[k])])
+        pattern = f"(?<!{_EDGE})(?:{'|'.join(sorted(plain, key=len, reverse=True))})(?!{_EDGE})"
+        found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+        parts.append(F.transform(F.array_distinct(found), lambda k: F.element_at(known, k)))
+    return F.concat(*parts)
 
 
 def keyword_profile(columns: Sequence[Column], keywords: Sequence[str], ambiguous: Sequence[str] = (), context: Sequence[str] = ()) -> Column:
@@ -52,32 +79,27 @@ def keyword_profile(columns: Sequence[Column], keywords: Sequence[str], ambiguou
 def phase_bucket(raw: Column) -> Column:
     """``Phase n``, ``Phase a/b``, ``N/A`` or ``Other``: numbers in order of appearance, once each.
 
-    Members of a combination ("Phase 1/2", "Phase II-III") are joined back to the word
-    first; numbers before the CJK word for phase are read after those.
+    The text is cut at the word "phase", and each part is read from its start (``_NUMBERS``);
+    numbers before the CJK word for phase are read after those.
     """
-    text = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    follows = rf"(?={_NUM}\b|phase\s*{_NUM})"
-    joined = text
-    for _ in range(3):
-        joined = F.regexp_replace(joined, rf"(?U)(phase\s*{_NUM})\s*(?:/|&|,|-|to\b)\s*{follows}", "$1 phase ")
-    western = F.regexp_extract_all(joined, F.lit(rf"(?U)phase\s*{_NUM}\b"), F.lit(1))
-    eastern = F.regexp_extract_all(text, F.lit(r"([ⅳⅲⅱⅰ0-4])\s*期"), F.lit(1))
-    names = F.create_map(*[F.lit(x) for kv in _ROMAN.items() for x in kv])
-    numbers = F.array_distinct(F.transform(F.concat(western, eastern), lambda t: F.coalesce(F.element_at(names, t), t)))
+    text = F.translate(F.lower(F.trim(F.coalesce(raw, F.lit("")))), "ⅰⅱⅲⅳ", "1234")
+    parts = F.slice(F.split(text, "phase"), 2, F.size(F.split(text, "phase")))
+    read = F.flatten(F.transform(parts, lambda p: F.array(*[F.regexp_extract(p, _NUMBERS, k) for k in (1, 2)])))
+    names = F.create_map(*[F.lit(x) for n in range(5) for x in (str(n), str(n))], *[F.lit(x) for kv in _ROMAN.items() for x in kv])
+    found = F.transform(F.concat(read, F.regexp_extract_all(text, F.lit(_BEFORE_CJK), F.lit(1))), lambda t: F.element_at(names, t))
+    numbers = F.array_distinct(F.array_compact(found))
     return F.when(text.isin(*_NO_PHASE), "N/A").when(F.size(numbers) == 0, "Other").otherwise(F.concat(F.lit("Phase "), F.array_join(numbers, "/")))
 
 
 def phase_bucket_of(term: str) -> str:
-    """``phase_bucket`` of one constant, on the driver."""
-    text = term.strip().lower()
+    """``phase_bucket`` of one constant, at the driver."""
+    text = term.strip().lower().translate(str.maketrans("ⅰⅱⅲⅳ", "1234"))
     if text in _NO_PHASE:
         return "N/A"
-    joined = text
-    for _ in range(3):
-        joined = re.sub(rf"(phase\s*{_NUM})\s*(?:/|&|,|-|to\b)\s*(?={_NUM}\b|phase\s*{_NUM})", r"\1 phase ", joined)
-    found = [m[1] for m in re.finditer(rf"phase\s*{_NUM}\b", joined)] + re.findall(r"([ⅳⅲⅱⅰ0-4])\s*期", text)
-    numbers = list(dict.fromkeys(_ROMAN.get(t, t) for t in found))
-    return "Phase " + "/".join(numbers) if numbers else "Other"
+    read = [m for part in text.split("phase")[1:] for m in regex.findall(_NUMBERS, part)]
+    numbers = [_ROMAN.get(t, t) for pair in [*read, *re.findall(_BEFORE_CJK, text)] for t in pair]
+    kept = list(dict.fromkeys(n for n in numbers if n.isdigit()))
+    return "Phase " + "/".join(kept) if kept else "Other"
 
 
 def phase_label(raw: Column) -> Column:
@@ -183,20 +205,22 @@ def ordered_map(text: Column, exact: dict[str, str], partial: Sequence[tuple[str
     return out
 
 
-#: Display bucket of a status, negative forms first.
-STATUS_BUCKETS = (
-    ("not yet|not_yet|尚未", "not_yet"),
-    ("not recruiting|non recruit|active", "active"),
-    ("recruit|招募|open", "recruiting"),
-    ("complet|完成", "completed"),
-    ("terminat|withdrawn|suspend|终止|中止|暂停", "terminated"),
+#: Words of a status and its display bucket; an earlier line wins.
+STATUS_WORDS = (
+    ("other", ("not yet recruiting", "active, not recruiting", "active,not recruiting", "尚未招募", "未开始招募", "不再招募", "招募结束", "招募完成", "招募停止", "招募暂停")),
+    ("recruiting", ("recruiting", "招募", "正在进行")),
+    ("completed", ("completed", "完成")),
+    ("terminated", ("terminat", "终止", "停止")),
 )
 
 
 def status_bucket(label: Column) -> Column:
+    """``recruiting``, ``completed``, ``terminated`` or ``other``; not yet or no longer recruiting is other."""
+    low = F.regexp_replace(F.lower(F.coalesce(label, F.lit(""))), r",\s+", ", ")
     out = F.lit("other")
-    for pattern, bucket in reversed(STATUS_BUCKETS):
-        out = F.when(label.rlike("(?i)" + pattern), bucket).otherwise(out)
+    for bucket, words in reversed(STATUS_WORDS):
+        hit = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+        out = F.when(hit, bucket).otherwise(out)
     return out
 
 

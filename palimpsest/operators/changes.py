@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import NumericType, StringType
 
 from .versions import first_seen
 
@@ -54,11 +54,19 @@ def canonical_json(value: Column) -> Column:
     return F.to_json(F.try_parse_json(value))
 
 
+_LOOKS_LIKE_JSON = r"^[\[{\"]"
+
+
 def values_differ(old: Column, new: Column) -> Column:
-    """Null and empty are equal; JSON compares by canonical form, else trimmed text."""
+    """Whether two texts differ: null and empty are equal; lists, objects and quoted strings compare by canonical form."""
     a, b = F.trim(F.coalesce(old, F.lit(""))), F.trim(F.coalesce(new, F.lit("")))
-    ja, jb = canonical_json(a), canonical_json(b)
-    return F.when(a == b, False).when(ja.isNotNull() & jb.isNotNull(), ja != jb).otherwise(a != b)
+    parsed = a.rlike(_LOOKS_LIKE_JSON) & b.rlike(_LOOKS_LIKE_JSON)
+    return F.when(a == b, False).when(parsed, F.coalesce(canonical_json(a) != canonical_json(b), F.lit(True))).otherwise(True)
+
+
+def numbers_differ(old: Column, new: Column) -> Column:
+    """Whether two numbers differ: null and 0 are equal."""
+    return F.coalesce(old, F.lit(0)) != F.coalesce(new, F.lit(0))
 
 
 def _canonical(value: str | None, unordered: bool, loose: bool) -> str:
@@ -97,14 +105,19 @@ def canonical_value(value: pd.Series, field: pd.Series) -> pd.Series:
 def detect_changes(versions: DataFrame, keys: Sequence[str], order: Sequence[str | Column], fields: Sequence[str], carry: Sequence[str] = (), nested: bool = False) -> DataFrame:
     """``(keys, carry, field_name, old_value, new_value)``: one row per changed field of a version.
 
-    One window per key gives the row before; fields are unpivoted after it.  ``nested``
-    also compares JSON lists by their field's rules (an Arrow function on rows that
-    differ as text only).
+    One window per key gives the row before; of its fields only the changed ones become rows.
+    Numeric columns compare as numbers, others as text.  ``nested`` also compares JSON lists by
+    their field's rules (an Arrow function on rows that differ as text only).
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    before = versions.withColumn("__old", F.lag(F.struct(*[F.col(f).cast("string").alias(f) for f in fields])).over(w)).filter("__old is not null")
-    rows = before.select(*keys, *carry, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"__old.{f}").alias("old_value"), F.col(f).cast("string").alias("new_value")) for f in fields])).alias("__c"))
-    out = rows.select(*keys, *carry, "__c.*").filter(values_differ(F.col("old_value"), F.col("new_value")))
+    before = versions.withColumn("__old", F.lag(F.struct(*fields)).over(w)).filter("__old is not null")
+
+    def change(f: str) -> Column:
+        old, new = F.col(f"__old.{f}"), F.col(f)
+        differ = numbers_differ(old, new) if isinstance(versions.schema[f].dataType, NumericType) else values_differ(old.cast("string"), new.cast("string"))
+        return F.when(differ, F.struct(F.lit(f).alias("field_name"), old.cast("string").alias("old_value"), new.cast("string").alias("new_value")))
+
+    out = before.select(*keys, *carry, F.explode(F.array_compact(F.array(*[change(f) for f in fields]))).alias("__c")).select(*keys, *carry, "__c.*")
     if nested:
         out = out.filter(canonical_value("old_value", "field_name") != canonical_value("new_value", "field_name"))
     return out

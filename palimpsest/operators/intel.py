@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .versions import top_k
-
 
 def totals(events: DataFrame, entity: str) -> DataFrame:
     return events.agg(F.count("*").alias("events"), F.count_distinct(entity).alias("entities"))
@@ -80,8 +78,23 @@ def pairwise_conflicts(records: DataFrame, master: str, source: str, fields: Seq
 
 def canonical_record(records: DataFrame, entity: str, priority: Column, tie: str) -> DataFrame:
     """One record per entity: the source of the highest priority, then the smallest id."""
-    ranked = records.withColumn("__priority", priority)
-    return top_k(ranked, [entity], ["__priority", tie], 1, "__rank").drop("__priority", "__rank")
+    rest = [c for c in records.columns if c != entity]
+    first = F.min_by(F.struct(*rest), F.struct(priority.alias("p"), F.col(tie).alias("t")))
+    return records.groupBy(entity).agg(first.alias("__first")).select(entity, "__first.*").select(*records.columns)
+
+
+def conflict_counts(records: DataFrame, master: str, source: str, fields: Sequence[str]) -> DataFrame:
+    """``(field_name, source_a, source_b, masters, pairs)``: how often two sources disagree about a field.
+
+    The distinct values of a master and field are one array, as long as there are sources and
+    values; pairs of it are counted, so no join multiplies records.
+    """
+    long = records.select(master, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(source).alias("s"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x"))
+    known = long.filter("x.v is not null").groupBy(master, "x.field_name").agg(F.collect_set(F.struct("x.s", "x.v")).alias("held")).filter(F.size("held") > 1)
+    later = lambda held, a: F.filter(held, lambda b: (b["s"] > a["s"]) & (b["v"] != a["v"]))
+    pairs = F.flatten(F.transform("held", lambda a: F.transform(later(F.col("held"), a), lambda b: F.struct(a["s"].alias("source_a"), b["s"].alias("source_b")))))
+    counted = known.select("field_name", F.explode(pairs).alias("p"), master).groupBy("field_name", "p", master).agg(F.count("*").alias("n"))
+    return counted.groupBy("field_name", "p.source_a", "p.source_b").agg(F.count("*").alias("masters"), F.sum("n").alias("pairs"))
 
 
 def source_priority(source: Column, order: Sequence[str]) -> Column:

@@ -28,8 +28,13 @@ def missing_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str], ids: Column, separator: str = ",") -> DataFrame:
-    """Keys of several rows, with their ids in order."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(ids)), lambda x: x.cast("string")), separator).alias("ids")).filter("n > 1")
+    """Keys of several rows, with their ids in order; only rows of such keys are collected."""
+    rows = df.select(*keys, ids.alias("__id"))
+    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
+    joined = rows.alias("r").join(several.alias("s"), same).select(*[F.col(f"s.{k}").alias(k) for k in keys], "n", "__id")
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list("__id")), lambda x: x.cast("string")), separator)
+    return joined.groupBy(*keys, "n").agg(listed.alias("ids")).select(*keys, "n", "ids")
 
 
 def several_partners(df: DataFrame, key: Sequence[str], partner: str) -> DataFrame:
@@ -74,10 +79,11 @@ def confidence_histogram(df: DataFrame, value: Column, bounds: Sequence[float])
 
 
 def payload_size(df: DataFrame, group: Sequence[str], payload: str) -> DataFrame:
-    """Characters of payload per group and its share of all."""
+    """Characters of payload per group, beside those of all."""
     per = df.groupBy(*group).agg(F.sum(F.length(payload)).alias("chars"), F.count("*").alias("n"))
-    whole = df.agg(F.sum(F.length(payload))).first()[0]
-    return per.withColumn("all_chars", F.lit(whole).cast("long"))
+    # a row per group is left, so their sum needs no second scan of the payloads
+    whole = per.agg(F.sum("chars").cast("long").alias("all_chars")).withColumn("__one", F.lit(1))
+    return per.withColumn("__one", F.lit(1)).join(whole, "__one").drop("__one")
 
 
 def canary(text: Column, labels: Sequence[str], least: int) -> Column:

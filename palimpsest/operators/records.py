@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
-from ..functions.text import has_cjk, keyword_matches, trigrams
+from ..functions.text import has_cjk, keywords_found, trigrams
 
 #: Prefix of an id, and the registry and region it comes from.
 ORIGINS = (("NCT", "ClinicalTrials.gov", "United States"), ("ChiCTR", "ChiCTR", "China"), ("CTR", "CTR", "China"), ("ISRCTN", "ISRCTN", "United Kingdom"), ("ACTRN", "ANZCTR", "Australia"), ("JPRN", "JPRN", "Japan"), ("EUCTR", "EUCTR", "Europe"), ("DRKS", "DRKS", "Germany"))
@@ -145,12 +145,17 @@ def daily_view(events: DataFrame, ts: str, entity: str, item: Column) -> DataFra
     return events.groupBy(F.to_date(ts).alias("day"), entity).agg(F.count("*").alias("n_changes"), F.array_join(F.array_sort(F.collect_list(item)), ",").alias("items"))
 
 
-def watch_keywords(docs: DataFrame, key: str, text: Column, keywords: Sequence[str], recent: Column, first: int = 5) -> DataFrame:
-    """Per keyword: documents, recent ones, and the first ids; one pass over the texts."""
-    hits = F.array_compact(F.array(*[F.when(keyword_matches(text, k), F.lit(k)) for k in keywords]))
-    rows = docs.select(key, recent.alias("recent"), F.explode(hits).alias("keyword"))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("keyword").orderBy(key)))
-    return ranked.groupBy("keyword").agg(F.count("*").alias("total"), F.count_if("recent").alias("recent"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") <= first, F.col(key)))), ",").alias("first_ids"))
+def watch_keywords(docs: DataFrame, key: str, text: Column, keywords: Sequence[str], recent: Column, first: int = 5, salts: int = 64) -> DataFrame:
+    """Per keyword: documents, recent ones, and the first ids; one pass over the texts.
+
+    The first ids are ranked within ``salts`` parts of a keyword, then among the parts' first ones.
+    """
+    rows = docs.select(F.col(key).alias("id"), recent.alias("recent"), F.explode(keywords_found(text, keywords)).alias("keyword"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    ranked = salted.withColumn("n", F.row_number().over(Window.partitionBy("keyword", "salt").orderBy("id")))
+    parts = ranked.groupBy("keyword", "salt").agg(F.count("*").alias("total"), F.count_if("recent").alias("recent"), F.collect_list(F.when(F.col("n") <= first, F.col("id"))).alias("ids"))
+    ids = F.array_join(F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, first), lambda x: x.cast("string")), ",")
+    return parts.groupBy("keyword").agg(F.sum("total").alias("total"), F.sum("recent").alias("recent"), ids.alias("first_ids"))
 
 
 def segment_ranking(records: DataFrame, key: str, text: Column, parts: Sequence[str]) -> DataFrame:

@@ -16,8 +16,7 @@ _KEYWORD_SQL = " UNION ALL ".join(f"SELECT '{k}' AS keyword, count(*) AS n_docs
 
 @query(_KEYWORD_SQL)
 def keyword_word_boundary(spark, sf_dir):
-    hits = F.array_compact(F.array(*[F.when(tx.keyword_matches(F.col("text"), k), k) for k in _KEYWORDS]))
-    return table(spark, sf_dir, "documents").select(F.explode(hits).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n_docs"))
+    return table(spark, sf_dir, "documents").select(F.explode(tx.keywords_found(F.col("text"), _KEYWORDS)).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n_docs"))
 
 
 @query("""SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}])scum([^\\p{L}\\p{N}]|$)')
@@ -75,20 +74,17 @@ def document_facets(spark, sf_dir):
     return rules.facets(table(spark, sf_dir, "documents"), {"lang": F.col("lang"), "source": F.col("source")}, {})
 
 
-_GRAMS = """WITH t AS (SELECT doc_id, lower(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 60)) AS s FROM documents),
-g AS (SELECT DISTINCT doc_id, substr(s, i, 3) AS gram FROM t, LATERAL (SELECT unnest(generate_series(1, length(s) - 2)) AS i)),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id > b.doc_id GROUP BY ALL HAVING count(*) >= 40)
+_GRAMS = """WITH t AS (SELECT min(p_partkey) AS k, lower(p_name) AS s FROM part GROUP BY p_name),
+g AS (SELECT DISTINCT k, substr(s, i, 3) AS gram FROM t, LATERAL (SELECT unnest(generate_series(1, length(s) - 2)) AS i))
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.k > b.k GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 200"""
 
 
-def _titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", r"[\t\n\f\r ]+", " "), 1, 60).alias("title"))
-
-
 @query(_GRAMS)
 def trigram_candidates(spark, sf_dir):
-    """A top-k report over the openings of texts: the best 200 partners of a row."""
-    return resolve.trigram_candidates(_titles(spark, sf_dir), "doc_id", "title", 40).select("a", "b", F.col("shared").cast("long").alias("shared"))
+    """A top-k report over distinct part names, each by its smallest key: the best 200 partners of a name."""
+    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"))
+    return resolve.trigram_candidates(names, "p_partkey", "p_name", 5).select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
 @query()
@@ -97,12 +93,13 @@ def title_similarity(spark, sf_dir):
     return resolve.similar_titles(table(spark, sf_dir, "part"), "p_partkey", "p_name", ratio=0.85)
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents WHERE lang = 'en'),
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM w, LATERAL (SELECT unnest(generate_series(1, len(w) - 1)) AS i) WHERE w[i] NOT IN ('the', 'of', 'and') AND w[i + 1] NOT IN ('the', 'of', 'and'))
-SELECT phrase, count(DISTINCT doc_id) AS n_texts FROM g WHERE length(phrase) BETWEEN 3 AND 60 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 12""")
+SELECT phrase, count(DISTINCT doc_id) AS n_texts FROM g WHERE length(phrase) BETWEEN 3 AND 60 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""")
 def ngram_mining(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").withColumn("t", F.array_join(F.array_remove(F.split(F.lower("text"), "[^a-z]+"), ""), " "))
-    return glossary.mine_phrases(docs, "doc_id", F.col("t"), 2, 2, ("the", "of", "and"), 12)
+    """Word pairs (runs of a-z) of two texts or more."""
+    docs = table(spark, sf_dir, "documents").withColumn("t", F.array_join(F.array_remove(F.split(F.lower("text"), "[^a-z]+"), ""), " "))
+    return glossary.mine_phrases(docs, "doc_id", F.col("t"), 2, 2, ("the", "of", "and"), 2)
 
 
 @query("""SELECT page_id, i AS n, id FROM (SELECT page_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM (SELECT page_id, regexp_extract_all(url, '([0-9]+)', 1) AS ids FROM pages))""")
@@ -149,9 +146,9 @@ def content_canary(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", quality.canary(F.col("text"), ["License", "@mail", "token"], 1).alias("page_ok"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?i)((?:token|secret|password|api[_-]?key)\\s*[=:]\\s*)\\S+', '\\1***', 'g') AS text FROM documents WHERE contains(text, 'token')")
+@query("SELECT doc_id, regexp_replace(text, '(?i)((?:token|secret|password|api[_-]?key)\\s*[=:]\\s*)\\S+', '\\1***', 'g') AS text FROM documents")
 def redacted_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").contains("token")).select("doc_id", tx.redact(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.redact(F.col("text")).alias("text"))
 
 
 @query("SELECT doc_id, regexp_replace(text, '(?i)((?:token|secret|password|api[_-]?key)\\s*[=:]\\s*)\\S+', '\\1***', 'g') AS text FROM documents")

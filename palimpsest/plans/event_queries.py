@@ -34,17 +34,19 @@ WITH v AS (
 """
 
 
-def field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def field_changes(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("status_id", "enrollment")) -> DataFrame:
     """Changes of type and value with severity."""
     chain = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("status_id"), F.col("value").alias("enrollment"))
-    found = changes.detect_changes(chain, KEY, ORDER, ["status_id", "enrollment"], carry=["event_id", "ts"])
+    found = changes.detect_changes(chain, KEY, ORDER, list(fields), carry=["event_id", "ts"])
     graded = classify_change(F.col("field_name"), F.col("old_value"), F.col("new_value"), terminal="^error$")
     return found.withColumn("g", graded).select("event_id", "user_id", "ts", "field_name", "old_value", "new_value", "g.*")
 
 
 @query(_PAIRS + "SELECT CAST(ts AS DATE) AS day, severity, count(*) AS n_events, count(DISTINCT user_id) AS n_users FROM k GROUP BY ALL")
 def change_severity_by_day(spark, sf_dir):
-    return field_changes(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), "severity").agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users"))
+    # a user's changes of a day and severity combine before users are counted
+    each = field_changes(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), "severity", "user_id").agg(F.count("*").alias("n"))
+    return each.groupBy("day", "severity").agg(F.sum("n").alias("n_events"), F.count("*").alias("n_users"))
 
 
 @query(_PAIRS + "SELECT event_id, field_name, old_value, new_value, severity, change_type, CAST(importance_score AS DOUBLE) AS importance_score FROM k")
@@ -67,20 +69,20 @@ def unchanged_version_skip(spark, sf_dir):
 r AS (SELECT *, row_number() OVER (PARTITION BY event_hash ORDER BY ts, event_id) AS n FROM h)
 SELECT event_hash, event_id, user_id, old_value, new_value FROM r WHERE n = 1""")
 def event_hash_first_seen(spark, sf_dir):
-    found = field_changes(spark, sf_dir).filter("field_name = 'status_id'")
+    found = field_changes(spark, sf_dir, ("status_id",))
     hashed = found.withColumn("event_hash", changes.event_hash(["user_id"], F.col("field_name"), F.col("new_value")))
     return changes.first_events(hashed, ["ts", "event_id"]).select("event_hash", "event_id", "user_id", "old_value", "new_value")
 
 
 @query(_PAIRS + "SELECT old_value AS from_value, new_value AS to_value, count(*) AS n, count(DISTINCT user_id) AS entities FROM k WHERE field_name = 'status_id' GROUP BY ALL")
 def status_transition_matrix(spark, sf_dir):
-    return intel.transition_matrix(field_changes(spark, sf_dir).filter("field_name = 'status_id'"), "old_value", "new_value", "user_id")
+    return intel.transition_matrix(field_changes(spark, sf_dir, ("status_id",)), "old_value", "new_value", "user_id")
 
 
 @query(_PAIRS + """SELECT event_id, user_id, old_value, new_value, TRY_CAST(new_value AS DOUBLE) - TRY_CAST(old_value AS DOUBLE) AS delta FROM k
 WHERE field_name = 'enrollment' ORDER BY abs(TRY_CAST(new_value AS DOUBLE) - TRY_CAST(old_value AS DOUBLE)) DESC, event_id LIMIT 20""")
 def numeric_delta_topk(spark, sf_dir):
-    found = intel.numeric_deltas(field_changes(spark, sf_dir).filter("field_name = 'enrollment'"), "old_value", "new_value")
+    found = intel.numeric_deltas(field_changes(spark, sf_dir, ("enrollment",)), "old_value", "new_value")
     return found.orderBy(F.desc(F.abs("delta")), "event_id").limit(20).select("event_id", "user_id", "old_value", "new_value", "delta")
 
 
@@ -114,6 +116,16 @@ def freshness_by_source(spark, sf_dir):
     return aged.select("event_type", "last_seen", F.round(F.col("age_hours") * 3600).cast("long").alias("age_seconds"), "state")
 
 
+@query(f"""SELECT user_id, last_seen, CAST(epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) AS BIGINT) AS age_seconds,
+CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) <= 3600 * 14 THEN 'fresh' WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(last_seen) <= 3600 * 24 THEN 'delayed' ELSE 'stale' END AS state
+FROM (SELECT user_id, date_trunc('second', max(ts)) AS last_seen FROM events GROUP BY 1)""")
+def freshness_by_user(spark, sf_dir):
+    """A cadence of 8 hours, at which all three states occur."""
+    seen = table(spark, sf_dir, "events").groupBy("user_id").agg(F.date_trunc("second", F.max("ts")).cast("timestamp_ntz").alias("last_seen"))
+    aged = intel.freshness(seen, "user_id", "last_seen", AS_OF, F.lit(8))
+    return aged.select("user_id", "last_seen", F.round(F.col("age_hours") * 3600).cast("long").alias("age_seconds"), "state")
+
+
 @query("SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN 'faults' WHEN value >= 50 THEN 'large' END AS profile FROM events WHERE event_id > 500 AND (event_type = 'error' OR value >= 50)")
 def digest_after_watermark(spark, sf_dir):
     found = monitors.digest(table(spark, sf_dir, "events"), "event_id", 500, [("faults", F.col("event_type") == "error"), ("large", F.col("value") >= 50)])
@@ -179,32 +191,38 @@ def version_compare(spark, sf_dir):
     return versions.version_pairs(chain, KEY, 1, 3, ["event_type", "value"]).withColumn("delta", F.col("value_to") - F.col("value_from"))
 
 
-@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15') e
-WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events o WHERE o.ts < TIMESTAMP '2024-01-05' AND o.user_id = e.user_id AND o.event_type = e.event_type)""")
-def insert_ignore(spark, sf_dir):
+def _insert_ignore_sql(day: str) -> str:
+    return f"""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE ts >= TIMESTAMP '{day}') e
+WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events o WHERE o.ts < TIMESTAMP '{day}' AND o.user_id = e.user_id AND o.event_type = e.event_type)"""
+
+
+_UPSERT_SQL = "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+
+
+def _sides(spark: SparkSession, sf_dir: str, day: str) -> tuple[DataFrame, DataFrame]:
+    """All events, on one side or the other of a day."""
     e = table(spark, sf_dir, "events")
-    return writes.insert_ignore(e.filter("ts < timestamp_ntz'2024-01-05'"), e.filter("ts >= timestamp_ntz'2024-01-15'"), ["user_id", "event_type"], ORDER).select("user_id", "event_type", "event_id")
+    return e.filter(f"ts < timestamp_ntz'{day}'"), e.filter(f"ts >= timestamp_ntz'{day}'")
 
 
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts < TIMESTAMP '2024-01-10' OR ts >= TIMESTAMP '2024-01-25') WHERE n = 1")
+@query(_insert_ignore_sql("2024-01-05"))
+def insert_ignore(spark, sf_dir):
+    return writes.insert_ignore(*_sides(spark, sf_dir, "2024-01-05"), ["user_id", "event_type"], ORDER).select("user_id", "event_type", "event_id")
+
+
+@query(_UPSERT_SQL)
 def upsert(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return writes.upsert(e.filter("ts < timestamp_ntz'2024-01-10'"), e.filter("ts >= timestamp_ntz'2024-01-25'"), KEY, ORDER).select("user_id", "event_id", "value")
+    return writes.upsert(*_sides(spark, sf_dir, "2024-01-25"), KEY, ORDER).select("user_id", "event_id", "value")
 
 
-@query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15') e
-WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events o WHERE o.ts < TIMESTAMP '2024-01-15' AND o.user_id = e.user_id AND o.event_type = e.event_type)""")
+@query(_insert_ignore_sql("2024-01-15"))
 def insert_ignore_all(spark, sf_dir):
-    """All events on one side or the other of a date."""
-    e = table(spark, sf_dir, "events")
-    return writes.insert_ignore(e.filter("ts < timestamp_ntz'2024-01-15'"), e.filter("ts >= timestamp_ntz'2024-01-15'"), ["user_id", "event_type"], ORDER).select("user_id", "event_type", "event_id")
+    return writes.insert_ignore(*_sides(spark, sf_dir, "2024-01-15"), ["user_id", "event_type"], ORDER).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@query(_UPSERT_SQL)
 def upsert_all(spark, sf_dir):
-    """All events on one side or the other of a date."""
-    e = table(spark, sf_dir, "events")
-    return writes.upsert(e.filter("ts < timestamp_ntz'2024-01-15'"), e.filter("ts >= timestamp_ntz'2024-01-15'"), KEY, ORDER).select("user_id", "event_id", "value")
+    return writes.upsert(*_sides(spark, sf_dir, "2024-01-15"), KEY, ORDER).select("user_id", "event_id", "value")
 
 
 @query("""SELECT event_id, CAST(n AS BIGINT) AS attempts, CASE WHEN event_type = 'error' AND n >= 3 THEN 'failed' ELSE 'pending' END AS state

@@ -114,6 +114,13 @@ def pairwise_conflicts(spark, sf_dir):
     return intel.pairwise_conflicts(rows, "l_orderkey", "n_name", ["returnflag", "linestatus"])
 
 
+@query(f"""WITH d AS (SELECT DISTINCT * FROM {_FIELDS}) SELECT a.field_name, a.n_name AS source_a, b.n_name AS source_b, count(DISTINCT a.l_orderkey) AS masters, count(*) AS pairs
+FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.field_name = b.field_name AND a.n_name < b.n_name AND a.value <> b.value GROUP BY ALL""")
+def conflict_counts(spark, sf_dir):
+    rows = _lines(spark, sf_dir).select("l_orderkey", "n_name", F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"))
+    return intel.conflict_counts(rows, "l_orderkey", "n_name", ["returnflag", "linestatus"])
+
+
 @query(f"SELECT l_orderkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS sources, count(DISTINCT n_name) AS n_sources, count(DISTINCT l_linenumber) AS n_records FROM {_LINE} GROUP BY 1 HAVING count(DISTINCT n_name) > 1")
 def mirror_groups(spark, sf_dir):
     return intel.mirror_groups(_lines(spark, sf_dir), "l_orderkey", "n_name", "l_linenumber")
@@ -212,10 +219,12 @@ def rollup_counts(spark, sf_dir):
     return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).rollup("r_name", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id FROM (SELECT unnest(generate_series(1, 20000)) AS id) WHERE id NOT IN (SELECT o_orderkey FROM orders)""")
+@query("""SELECT id FROM (SELECT unnest(generate_series(1, (SELECT max(c_custkey) FROM customer))) AS id) WHERE id NOT IN (SELECT o_custkey FROM orders)""")
 def id_range_candidates(spark, sf_dir):
-    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    return scopes.outside(spark.range(1, 20001), known, "id")
+    """Ids of the customers' range that no order names."""
+    last = table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] or 0
+    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
+    return scopes.outside(spark.range(1, last + 1), known, "id")
 
 
 @query("""SELECT id FROM (SELECT unnest(generate_series(1, (SELECT max(o_orderkey) FROM orders))) AS id) WHERE id NOT IN (SELECT o_orderkey FROM orders)""")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import changes, components, glossary, intel, monitors, prefilter, quality, resolve, rules, scopes, severity, versions, writes
+from palimpsest.operators import changes, components, glossary, interpret, intel, monitors, prefilter, quality, resolve, rules, scopes, severity, versions, writes
 
 
 def one(spark, column, **values):
@@ -28,6 +28,12 @@ def one(spark, column, **values):
         ("Not Applicable", "N/A"),
         ("pilot", "Other"),
         ("Phase 1 - see protocol", "Phase 1"),
+        ("Phase 1b", "Other"),
+        ("phase 1 to 2, Ⅲ期", "Phase 1/2/3"),
+        ("Phase 1/Phase 2/Phase 3", "Phase 1/2/3"),
+        ("unknown", "N/A"),
+        ("Ⅱ/Ⅲ", "Other"),
+        ("phase iv", "Phase 4"),
     ],
 )
 def test_phase_bucket(spark, raw, bucket):
@@ -105,14 +111,59 @@ def test_rules(spark, rows):
             rules.validate_rules(bad)
 
 
-def test_interpret():
-    got = rules.interpret("recruiting phase 2 trials in China for myocarditis on NCT")
-    assert got["rule"] == {"registries": ["NCT"], "statuses": ["Recruiting"], "phase": ["Phase 2"], "country": ["China"], "query": ["myocarditis"]}
-    assert got["confidence"] == "high"
-    assert rules.interpret("active promising studies")["confidence"] == "low"
-    assert rules.interpret("phase II or III")["rule"] == {"phase": ["Phase 2", "Phase 3"]}
-    with pytest.raises(ValueError):
-        rules.interpret(" ")
+@pytest.mark.parametrize(
+    ("text", "rule"),
+    [
+        ("recruiting phase 2 trials in China for myocarditis on NCT", {"registries": ["NCT"], "statuses": ["Recruiting"], "phase": ["Phase 2"], "country": ["China"], "query": ["myocarditis"]}),
+        ("phase II or III", {"phase": ["Phase 2", "Phase 3"]}),
+        ("Phase 1 / 2 lupus", {"phase": ["Phase 1/Phase 2"], "query": ["lupus"]}),
+        ("中国正在招募的II期心肌炎临床试验", {"query": ["心肌炎"], "country": ["China"], "statuses": ["Recruiting"], "phase": ["Phase 2"]}),
+        ("ChiCTR 心肌炎试验", {"query": ["心肌炎"], "registries": ["ChiCTR"]}),
+        ("Phase 3 heart failure studies sponsored by Novartis", {"query": ["heart failure"], "phase": ["Phase 3"], "sponsor": ["Novartis"]}),
+        ("Observational troponin studies in the United States", {"query": ["troponin"], "study_types": ["Observational"], "country": ["United States"]}),
+        ("intervention: CAR-T trials", {"intervention": ["CAR-T"]}),
+        ("ClinicalTrials.gov CAR-T myocarditis trials", {"query": ["CAR-T myocarditis"], "registries": ["NCT"]}),
+        ("EudraCT 5-FU trials", {"query": ["5-FU"], "registries": ["EUCTR"]}),
+        ("active, not recruiting asthma", {"statuses": ["Active, not recruiting"], "query": ["asthma"]}),
+        ("a mediator of China syndrome", {"query": ["a mediator China syndrome"]}),
+    ],
+)
+def test_interpret(text, rule):
+    got = interpret.interpret(text)
+    assert got["rule"] == rule and got["confidence"] == "high"
+    assert interpret.validate_proposal(got["rule"]) == rule
+
+
+@pytest.mark.parametrize(
+    ("text", "unclear", "unsupported", "rule"),
+    [
+        ("recent myocarditis trials", ["recent"], [], {"query": ["myocarditis"]}),
+        ("most promising myocarditis trials", [], ["promising"], {"query": ["myocarditis"]}),
+        ("myocarditis trials updated in the last 6 months", [], ["update window"], {"query": ["myocarditis"]}),
+        ("active myocarditis since May 2024 in Europe", ["active"], ["update window", "Europe"], {"query": ["myocarditis"]}),
+        ("Chinese registry asthma", ["Chinese registry"], [], {"query": ["asthma"]}),
+        ("自2024年5月以来 哮喘", [], ["update window"], {"query": ["哮喘"]}),
+        ("最近一个月 哮喘 成功率高", [], ["update window", "likely to succeed"], {"query": ["哮喘"]}),
+        (
+            "过去半年中国开展的、仍在招募的 II/III 期心肌炎药物干预试验",
+            [],
+            ["update window"],
+            {"country": ["China"], "statuses": ["Recruiting"], "phase": ["Phase 2", "Phase 3"], "query": ["心肌炎"], "study_types": ["Interventional"]},
+        ),
+    ],
+)
+def test_interpret_names_what_it_cannot_say(text, unclear, unsupported, rule):
+    got = interpret.interpret(text)
+    assert (got["ambiguities"], got["unsupported"], got["rule"], got["confidence"]) == (unclear, unsupported, rule, "low")
+
+
+def test_proposals_are_checked():
+    for bad in (" ", "x" * 501, 3):
+        with pytest.raises(ValueError):
+            interpret.interpret(bad)
+    for bad in ({"registries": ["Fake"]}, {"statuses": ["Active"]}, {"phase": ["Phase 8"]}, {"updated_since": ["today"]}, {"query": "x"}, {"country": [42]}, {"query": []}):
+        with pytest.raises(ValueError):
+            interpret.validate_proposal(bad)
 
 
 def test_keywords_and_cleaning(spark):
@@ -133,7 +184,9 @@ def test_keywords_and_cleaning(spark):
     parts = one(spark, tx.eligibility_parts(F.col("a")), a="Inclusion Criteria:\nadult\nExclusion Criteria:\nchild")
     assert (parts["inclusion"], parts["exclusion"]) == ("adult", "child")
     assert one(spark, tx.criteria_items(F.col("a")), a="1. one\n2. two\n- one") == ["one", "two"]
-    assert one(spark, tx.status_bucket(F.col("a")), a="Not yet recruiting") == "not_yet"
+    buckets = {"Not yet recruiting": "other", "Active,  not recruiting": "other", "招募完成": "other", "未开始招募": "other", "Recruiting": "recruiting", "正在招募": "recruiting", "Completed": "completed", "已完成": "completed", "Terminated": "terminated", "Suspended": "other", "open": "other", None: "other"}
+    for label, bucket in buckets.items():
+        assert one(spark, tx.status_bucket(F.col("a")), a=label) == bucket, label
     assert tx.merge_queries(["a OR b c", "B C OR d"]) == 'a OR "b c" OR d'
 
 
