@@ -75,7 +75,7 @@ def document_facets(spark, sf_dir):
 
 
 _GRAMS = """WITH t AS (SELECT min(p_partkey) AS k, lower(p_name) AS s FROM part GROUP BY p_name),
-g AS (SELECT DISTINCT k, substr(s, i, 3) AS gram FROM t, LATERAL (SELECT unnest(generate_series(1, length(s) - 2)) AS i))
+g AS (SELECT DISTINCT k, substr(s, i, 3) AS gram FROM t, LATERAL (SELECT unnest(generate_series(1, length(s) - 2)) AS i)),
 p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.k > b.k GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT a, b, shared FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) <= 200"""
 
