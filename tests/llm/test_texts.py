@@ -168,6 +168,47 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat.chat_texts(df.limit(0)).count() == 0
 
 
+def test_chat_rows_without_conversation(spark):
+    data = [(1, 0, "user", "a"), (1, 1, "user", "b"), (None, 0, "user", "a"), (None, 0, "user", "z"), (None, 0, "user", "z"), (None, 5, "user", None), (2, 0, "user", "q"), (None, 0, "user", "q")]
+    got = chat.chat_texts(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"))
+    assert sorted((str(r["conv_id"]), r["n_turns"], r["rendered"]) for r in got.collect()) == [
+        ("1", 2, "<|user|>\na<|end|>\n<|user|>\nb<|end|>\n"),
+        ("2", 1, "<|user|>\nq<|end|>\n"),
+        ("None", 1, "<|user|>\n<|end|>\n"),
+        ("None", 1, "<|user|>\nz<|end|>\n"),
+    ]
+
+
+def brute_chat(data):
+    """Maximal conversations by comparing lists of turns."""
+    by = {}
+    for k, (c, turn, role, text) in enumerate(dict.fromkeys(data)):
+        by.setdefault(c if c is not None else ("row", k), set()).add((turn, role or "", text or "", role is None, text is None))
+    lists = {c: sorted(t) for c, t in by.items()}
+    cut = lambda t: [t[:i] for i in range(1, len(t) + 1) if i == len(t) or t[i][0] != t[i - 1][0]]
+    prefixes = {str(p) for t in lists.values() for p in cut(t)[:-1]}
+    best = {}
+    for c, t in lists.items():
+        if str(t) not in prefixes:
+            best[str(t)] = min(best.get(str(t), c), c) if not isinstance(c, tuple) else best.get(str(t), c)
+    return sorted((None if isinstance(c, tuple) else c, "".join(f"<|{r}|>\n{t}<|end|>\n" for _, r, t, _, _ in lists[c])) for c in best.values())
+
+
+def test_chat_equals_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    r = random.Random(6)
+    data = []
+    for c in range(120):
+        start = r.randint(0, 2)
+        data += [(c, i, r.choice("ua") if r.random() < 0.1 else "u", f"t{i}" if r.random() < 0.93 else r.choice(["x", "", None])) for i in range(start, start + r.randint(1, 9))]
+    data += r.sample(data, 40) + [(c, 4, "a", "second at its number") for c in range(0, 120, 17)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = chat.whole_conversations(chat.chat_texts(df)).collect()
+    assert sorted((x["conv_id"], x["rendered"]) for x in got) == brute_chat(data)
+
+
 def test_chat_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK", 4)
     data = [(1, i, "u", f"t{i}") for i in range(23)] + [(2, i, "u", f"t{i}") for i in range(17)] + [(3, i, "u", f"t{i}" if i != 9 else "other") for i in range(17)]
