@@ -10,14 +10,19 @@ low bits of minima of one hash family.
   pigeonhole principle, on some chunk up to ``ERRORS`` symbols, so the keys of all
   ways to leave out one symbol of a chunk meet.  Pairs beyond that distance meet
   with the probability of the formula in ``miss_probability``.
-* Filter.  Rows of one key are compared on the fine symbols, with a bound more
-  than six standard deviations beyond what similarity 0.85 gives, and only a
-  spanning forest of the close pairs leaves a key.  Its components are families.
-* Confirmation.  Within a family the full sets are intersected.  Pairs that are
-  connected already are skipped; what is emitted spans all true links.
-
-Equal sets are collapsed first.  A key of more than ``KEY_BLOCK`` members and a family
-of more than ``FAMILY_BLOCK`` are cut into blocks; each pair of blocks is a task of its own.
+* Representatives.  Each row of a key is compared with the key's smallest row, on the fine
+  symbols, with a bound more than six standard deviations beyond what similarity 0.85
+  gives.  Of the representatives that pass, its smallest and its nearest are compared with
+  it on full sets.  A group of ``k`` near copies costs about ``k`` such comparisons, and
+  its members form one component.
+* The rest.  Keys whose rows are in one component by now are done.  In the others, rows of
+  different components are compared on the fine symbols; those that are close form
+  families, and within a family the full sets of rows of different components are
+  intersected.  What is emitted spans all true links.
+
+Equal sets are collapsed first.  In the last step a key's or family's largest component is
+cut into blocks that are sent once, and the few other rows are sent to each of them;
+``KEY_BLOCK``, ``FAMILY_BLOCK`` and ``FAMILY_SHINGLES`` size the tasks and change no result.
 
 Defined results.  Null, empty or blank text: no shingles, linked with nothing,
 kept.  Rows that share a doc_id count as one document.  A null doc_id is linked
@@ -42,7 +47,7 @@ from .common import WordHashes, column_bytes, mix, odd_constants
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, FINE = 8, 5, 1, 128
 INDEX = CHUNKS * WIDTH
-#: Members of a key, members of a family, and shingles of a family, beyond which it is cut into blocks.
+#: Rows of a block of a key, and rows and shingles of a block of a family.
 KEY_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 4096, 512, 1_000_000
 _POSITION = odd_constants(SHINGLE, 11)
 _FAMILY = odd_constants(max(INDEX, FINE), 29)
@@ -112,32 +117,23 @@ def distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & _NIBBLES).sum(axis=-1, dtype=np.int32)
 
 
-class Forest:
-    """Union by smallest index."""
+class Joined:
+    """Labels of rows that are connected so far, and the pairs that connected them."""
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label.copy()
+        self.pairs: list[tuple[int, int]] = []
 
-    def find(self, i: int) -> int:
-        up = self.up
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that are not connected with ``i`` yet."""
+        return others[self.label[others] != self.label[i]]
 
     def join(self, i: int, others: np.ndarray) -> None:
-        for j in others:
-            a, b = self.find(i), self.find(j)
-            if a != b:
-                self.up[max(a, b)] = min(a, b)
-
-    def roots(self) -> np.ndarray:
-        up = self.up
-        while True:
-            higher = up[up]
-            if np.array_equal(higher, up):
-                return up
-            up = self.up = higher
+        labels, first = np.unique(self.label[others], return_index=True)
+        fresh = labels != self.label[i]
+        if fresh.any():
+            self.pairs += [(i, int(j)) for j in others[first[fresh]]]
+            self.label[np.isin(self.label, labels[fresh])] = self.label[i]
 
 
 SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, fine binary, symbols binary"
@@ -201,14 +197,6 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _forest_rows(node: np.ndarray, forest: Forest) -> pa.RecordBatch | None:
-    root = forest.roots()
-    hung = np.flatnonzero(root != np.arange(len(root)))
-    if not len(hung):
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(node[hung], pa.int64()), pa.array(node[root[hung]], pa.int64())], names=["a", "b"])
-
-
 def _packed(batches: Iterator[pa.RecordBatch | None], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Join many small batches."""
     held, n = [], 0
@@ -224,90 +212,141 @@ def _packed(batches: Iterator[pa.RecordBatch | None], rows: int = 20_000) -> Ite
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
+def _with_representative(percent: int):
+    """Links of the rows of a block with its first ones, which hold the representative's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        held, leaders = None, []
+        for batch in batches:
+            pairs = []
+            keys, blocks, nodes, members = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "node", "member"))
+            for i, text in enumerate(column_bytes(batch, "text")):
+                if (keys[i], blocks[i]) != held:
+                    held, leaders = (keys[i], blocks[i]), []
+                found = shingle_set(text, words)
+                if not members[i]:
+                    leaders.append(found)
+                elif any(_linked(found, x, percent) for x in leaders):
+                    pairs.append((nodes[i], keys[i]))
+            yield _pair_batch(pairs)
+
+    return run
+
+
+def _pairs_to_compare(group: pa.Table):
+    """``(i, mask)``: each row outside the main component with the rows it is to be compared with."""
+    main, comp, block = (group.column(c).to_numpy() for c in ("main", "comp", "block"))
+    across, first = group.column("t")[0].as_py() == 1, group.column("p")[0].as_py() == 0
+    at = np.arange(len(main))
+    for i in np.flatnonzero(~main):
+        later = (at > i) & ~main
+        mask = later & (block != block[i]) if across else main | (later & first)
+        yield int(i), mask & (comp != comp[i])
+
+
+def _like_sizes(size: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be linked with one of ``size``."""
+    return 100 * np.minimum(size, others) >= percent * np.maximum(size, others)
+
+
 def _close_pairs(bound: int, percent: int):
-    """Spanning forest of the pairs of one key that are close on their fine symbols."""
+    """Spanning forest of the rows of different components of one key that are close on their fine symbols."""
 
-    def pairs(group: pa.Table) -> pa.RecordBatch | None:
-        k = group.num_rows
+    def pairs(group: pa.Table) -> pa.RecordBatch:
         node, size = group.column("node").to_numpy(), group.column("n").to_numpy()
-        block = group.column("block").to_numpy()
-        fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint64).reshape(k, -1)
-        across = group.column("p")[0].as_py() != group.column("q")[0].as_py()
-        forest = Forest(k)
-        for i in range(k - 1):
-            near = distances(fine[i], fine[i + 1 :]) <= bound
-            near &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
-            if across:
-                near &= block[i + 1 :] != block[i]
-            forest.join(i, np.flatnonzero(near) + i + 1)
-        return _forest_rows(node, forest)
+        fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
+        joined = Joined(np.arange(len(node)))
+        for i, mask in _pairs_to_compare(group):
+            other = joined.apart(i, np.flatnonzero(mask & _like_sizes(size[i], size, percent)))
+            joined.join(i, other[distances(fine[i], fine[other]) <= bound])
+        return _pair_batch([(node[i], node[j]) for i, j in joined.pairs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in _packed(pairs(g) for g in _groups(batches, ["key", "p", "q"]) if g.num_rows > 1):
-            yield out
+        yield from _packed(pairs(g) for g in _groups(batches, ["key", "t", "p", "q"]) if g.num_rows > 1)
 
     return run
 
 
 def _confirmed(bound: int, percent: int):
-    """Spanning forest of the links of one family, by full sets."""
-
-    def links(group: pa.Table, words: WordHashes) -> pa.RecordBatch | None:
-        node = group.column("node").to_numpy()
-        block = group.column("block").to_numpy()
-        across = group.column("p")[0].as_py() != group.column("q")[0].as_py()
-        sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else None, words) for t in group.column("text").cast(pa.large_binary())]
-        k = len(sets)
-        forest = Forest(k)
-        if k == 2:
-            both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-            if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
-                forest.join(0, np.array([1]))
-            return _forest_rows(node, forest)
-        size = np.array([len(s) for s in sets])
-        at = np.zeros(k + 1, np.int64)
-        np.cumsum(size, out=at[1:])
+    """Links that join different components of one family, by full sets."""
+
+    def links(group: pa.Table, words: WordHashes) -> pa.RecordBatch:
+        node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
+        texts = (t.as_buffer().to_pybytes() if t.is_valid else None for t in group.column("text").cast(pa.large_binary()))
+        sets = [shingle_set(t, words) for t in texts]
+        size = np.array([len(x) for x in sets])
+        at = np.concatenate([[0], np.cumsum(size)])
         names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        fine = np.stack([fine_symbols(minima(s)) for s in sets])
+        fine = np.stack([fine_symbols(minima(x)) for x in sets])
         present = np.zeros(len(names), bool)
-        for i in range(k - 1):
-            near = distances(fine[i], fine[i + 1 :]) <= bound
-            near &= 100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])
-            if across:
-                near &= block[i + 1 :] != block[i]
-            other = np.flatnonzero(near) + i + 1
-            if len(other):
-                root = forest.roots()
-                other = other[root[other] != root[i]]
-            if not len(other):
-                continue
+        joined = Joined(np.unique(comp, return_inverse=True)[1])  # rows of one component are linked already
+        for i, mask in _pairs_to_compare(group):
+            other = joined.apart(i, np.flatnonzero(mask & _like_sizes(size[i], size, percent)))
+            other = other[distances(fine[i], fine[other]) <= bound]
             present[ids[at[i] : at[i + 1]]] = True
-            for start in range(0, len(other), 512):
-                some = other[start : start + 512]
+            while len(other):
+                some = other[:256]
                 spans = np.concatenate([ids[at[j] : at[j + 1]] for j in some])
                 both = np.add.reduceat(present[spans].astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
-                forest.join(i, some[100 * both >= percent * (size[i] + size[some] - both)])
+                joined.join(i, some[100 * both >= percent * (size[i] + size[some] - both)])
+                other = joined.apart(i, other[256:])
             present[ids[at[i] : at[i + 1]]] = False
-        return _forest_rows(node, forest)
+        return _pair_batch([(node[i], node[j]) for i, j in joined.pairs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for out in _packed(links(g, words) for g in _groups(batches, ["key", "p", "q"]) if g.num_rows > 1):
-            yield out
+        yield from _packed(links(g, words) for g in _groups(batches, ["key", "t", "p", "q"]) if g.num_rows > 1)
 
     return run
 
 
-def _in_blocks(members: DataFrame, blocks: str) -> DataFrame:
-    """Rows of (key, node, ...), once for each pair of blocks that its block takes part in."""
-    block = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
-    rest = [c for c in members.columns if c != blocks]
-    single = F.array(F.lit(0))
-    return (
-        members.withColumn("block", block)
-        .withColumn("other", F.explode(F.when(F.col(blocks) == 1, single).otherwise(F.sequence(F.lit(0), (F.col(blocks) - 1).cast("int")))))
-        .select(*rest, "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-    )
+def _near(bound: int):
+    """Rows whose two fine signatures are within the bound, with their distance ``d``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, FINE // 16) for c in ("fine", "lfine"))
+            d = distances(one, other)
+            columns = [batch.column(c) for c in ("node", "leader", "n", "ln")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(d, pa.int32())], names=["node", "leader", "n", "ln", "d"]).filter(pa.array(d <= bound))
+
+    return run
+
+
+def _tasks(members: DataFrame, rows: int, weight: int) -> DataFrame:
+    """Rows ``(key, node, comp, weight, ...)`` of keys with several components, dealt to tasks ``(t, p, q)``.
+
+    ``main`` marks the rows of the key's largest component.  Its blocks ``p`` meet the blocks ``q``
+    of the other rows at ``t = 0``; two different blocks of other rows meet at ``t = 1``.
+    """
+    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
+    one = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max(F.struct("c", "comp", "w")).alias("m"), F.sum("c").alias("c"), F.sum("w").alias("w")).filter("comps > 1")
+    blocks = lambda c, w: F.greatest(F.ceil(c / rows), F.ceil(w / weight), F.lit(1)).cast("int")
+    sized = one.select("key", "top", blocks(F.col("m.c"), F.col("m.w")).alias("ps"), blocks(F.col("c") - F.col("m.c"), F.col("w") - F.col("m.w")).alias("qs"))
+    placed = members.join(sized, "key").withColumn("main", F.col("comp") == F.col("top"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("ps")).otherwise(F.col("qs"))).cast("int"))
+    task = lambda t, p, q: F.struct(F.lit(t).alias("t"), p.alias("p"), q.alias("q"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = F.col("block")
+    with_others = F.transform(upto("qs"), lambda q: task(0, mine, q))
+    with_main = F.transform(upto("ps"), lambda p: task(0, p, mine))
+    among = F.transform(F.filter(upto("qs"), lambda o: o != mine), lambda o: task(1, F.least(mine, o), F.greatest(mine, o)))
+    dealt = F.when(F.col("main"), with_others).otherwise(F.concat(with_main, among))
+    return placed.withColumn("task", F.explode(dealt)).select(*members.columns, "main", "block", "task.*")
+
+
+def _in_tasks(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("key", "t", "p", "q").sortWithinPartitions("key", "t", "p", "q", "main", "node")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -318,50 +357,74 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bound = fine_bound(percent / 100)
-    sketch = materialize(docs.mapInArrow(_sketch, SKETCH), "sketch")
+    spent: list[DataFrame] = []
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        spent.append(materialize(df, name))
+        return spent[-1]
+
+    def components(edges: DataFrame) -> DataFrame:
+        spent.append(connected_components(edges))
+        return spent[-1]
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """``(node, text)``: the bitmap spares the other texts the shuffle."""
+        wanted = KeyBitmap(nodes, F.xxhash64("node")).mark(docs, F.xxhash64("doc_id")).filter("maybe")
+        return wanted.select(F.col("doc_id").alias("node"), "text")
+
+    sketch = stored(docs.mapInArrow(_sketch, SKETCH), "sketch")
     named = sketch.filter("doc_id is not null")
-    nodes = materialize(
-        named.filter("n_shingles > 0").groupBy("set_hi", "set_lo", F.col("n_shingles").alias("n"), "fine", "symbols").agg(F.min("doc_id").alias("node")),
-        "nodes",
-    )
+    nodes = stored(named.filter("n_shingles > 0").groupBy("set_hi", "set_lo", F.col("n_shingles").alias("n"), "fine", "symbols").agg(F.min("doc_id").alias("node")), "nodes")
     keys = materialize(nodes.select("node", "symbols").mapInArrow(_keys, "key long, node long"), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    in_key = keys.join(shared, "key").select("key", "node", F.ceil(F.col("c") / KEY_BLOCK).alias("blocks"))
-    signed = _in_blocks(in_key.join(nodes.select("node", "n", "fine"), "node"), "blocks")
-    close = materialize(
-        signed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").mapInArrow(_close_pairs(bound, percent), "a long, b long").distinct(),
-        "close",
-    )
+    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("leader")).filter("c > 1")
+    in_key = stored(keys.join(shared, "key").select("key", "node", "leader"), "in_key")
     discard(keys)
-    family = materialize(connected_components(close), "family")
-    size = (
-        family.join(nodes.groupBy("node").agg(F.max("n").alias("n")), "node")
-        .groupBy("component")
-        .agg(F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).alias("blocks"))
-    )
-    members = family.join(size, "component").select(F.col("component").alias("key"), "node", "blocks")
-    wanted = KeyBitmap(family, F.xxhash64("node")).mark(docs, F.xxhash64("doc_id")).filter("maybe")
-    texts = members.join(wanted, F.col("node") == F.col("doc_id")).select("key", "node", "blocks", "text")
-    links = materialize(
-        _in_blocks(texts, "blocks").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "node").mapInArrow(_confirmed(bound, percent), "a long, b long"),
-        "links",
-    )
-    placed = materialize(
+
+    signed = nodes.select("node", "n", "fine")
+    to_leader = in_key.filter("node <> leader").select("node", "leader").distinct()
+    compared = to_leader.join(signed, "node").join(signed.withColumnsRenamed({"node": "leader", "n": "ln", "fine": "lfine"}), "leader")
+    sized = compared.filter(100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")).select("node", "leader", "n", "ln", "fine", "lfine")
+    near = sized.mapInArrow(_near(bound), "node long, leader long, n long, ln long, d int")
+    # a row asks its smallest and its nearest representative; the rest decides what these two leave open
+    best = near.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("leader", "ln")).alias("low"), F.min(F.struct("d", "leader", "ln")).alias("nearest"))
+    two = F.array_distinct(F.array(F.struct("low.leader", "low.ln"), F.struct("nearest.leader", "nearest.ln")))
+    likely = stored(best.select("node", "n", F.explode(two).alias("x")).select("node", "n", "x.leader", "x.ln"), "likely")
+    blocks = likely.groupBy("leader").agg(F.max("ln").alias("ln"), F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
+    members = likely.join(blocks.select("leader", "blocks"), "leader").select(F.col("leader").alias("key"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.lit(True).alias("member"))
+    leaders = blocks.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("node"), F.lit(False).alias("member"))
+    asked = stored(members.unionByName(leaders), "asked")
+    texts = asked.join(texts_of(asked.select("node").distinct()), "node")
+    starred = stored(texts.repartition("key", "block").sortWithinPartitions("key", "block", "member", "node").mapInArrow(_with_representative(percent), "a long, b long"), "starred")
+
+    component = components(starred)
+    labelled = in_key.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.lit(0).alias("weight"))
+    dealt = _tasks(labelled, KEY_BLOCK, 1).join(signed, "node")
+    close = stored(_in_tasks(dealt).mapInArrow(_close_pairs(bound, percent), "a long, b long").distinct(), "close")
+    family = components(close)
+    weights = nodes.groupBy("node").agg(F.max("n").alias("weight"))
+    in_family = family.join(weights, "node").join(component.withColumnRenamed("component", "comp"), "node", "left").select(F.col("component").alias("key"), "node", F.coalesce("comp", "node").alias("comp"), "weight")
+    dealt = _tasks(in_family, FAMILY_BLOCK, FAMILY_SHINGLES).join(texts_of(family), "node")
+    links = stored(_in_tasks(dealt).mapInArrow(_confirmed(bound, percent), "a long, b long"), "links")
+
+    placed = stored(
         named.select("doc_id", "n_shingles", "set_hi", "set_lo").join(nodes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")),
         "placed",
     )
-    twice = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi"), F.count("*").alias("rows")).filter("rows > 1")
-    twice = materialize(twice, "twice")
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi"), F.count("*").alias("rows")).filter("rows > 1")
+    twice = stored(several, "twice")
     same = placed.join(twice.filter("b < hi").select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b")
-    component = connected_components(links.unionByName(same))
+    last = components(starred.unionByName(links).unionByName(same))
     out = (
-        placed.join(component, "node", "left")
+        placed.join(last, "node", "left")
         .join(twice.select("doc_id", F.lit(True).alias("repeated")), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce("repeated", F.lit(False)).alias("repeated"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
     nameless = sketch.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("repeated"), F.lit(True).alias("kept"))
-    return out.unionByName(nameless).select("doc_id", "n_shingles", "component_id", "kept", "repeated")
+    found = materialize(out.unionByName(nameless).select("doc_id", "n_shingles", "component_id", "kept", "repeated"), "near_duplicates")
+    for df in spent:
+        discard(df)
+    return found
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -62,6 +62,43 @@ def test_equals_brute_force(spark, block, monkeypatch):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_family_of_five_thousand(spark, monkeypatch):
+    """Near copies of one text that mostly differ from each other too, and a few of a second text that shares keys."""
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 64)
+    r = random.Random(8)
+    base = ["w%d" % i for i in range(240)]
+    docs = []
+    for i in range(5000):
+        copy = list(base)
+        for _ in range(2):
+            copy[r.randrange(240)] = "x%d_%d" % (i, r.randrange(9))
+        docs.append(" ".join(copy))
+    cousin = base[:185] + ["c%d" % i for i in range(55)]
+    for i in range(30):
+        docs.append(" ".join(cousin[:-1] + [f"last{i}"]))
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(8)).collect()
+    component = {r["doc_id"]: r["component_id"] for r in got}
+    assert {component[i] for i in range(5000)} == {0} and {component[i] for i in range(5000, 5030)} == {5000}
+
+
+def test_two_loose_families_in_blocks(spark, monkeypatch):
+    """Chains whose ends are far apart: representatives miss some links, the rest must find them."""
+    monkeypatch.setattr(minhash, "KEY_BLOCK", 8)
+    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 5)
+    r = random.Random(9)
+    docs = []
+    for f in range(4):
+        text = ["f%d_%d" % (f, i) for i in range(120)]
+        for i in range(40):
+            text = list(text)
+            text[r.randrange(120)] = "n%d_%d" % (f, i)
+            docs.append(" ".join(text))
+    docs = list(enumerate(docs))
+    r.shuffle(docs)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: ([r["n_shingles"]], r["component_id"]) for r in got} == brute(docs)
+
+
 def test_repeated_null_and_clashing_rows(spark):
     docs = [(1, "a b c d e f"), (1, "x y z u v w"), (2, "X Y Z U V W"), (None, "a b c d e f"), (3, "a b c d e f"), (4, None), (4, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"node": F.lit("n"), "kept": F.lit(7), "n": F.lit(0)})
