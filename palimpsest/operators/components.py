@@ -28,7 +28,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an edge; component: its smallest node.
 
-    Self-loops and rows with a null end are ignored; repeated edges do no harm.
+    Self-loops and rows with a null end are ignored; repeated edges do no harm.  The result
+    reads one stored table, which ``storage.discard`` deletes.
     """
     state = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
