@@ -396,7 +396,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = asked.join(texts_of(asked.select("node").distinct()), "node")
     starred = stored(texts.repartition("key", "block").sortWithinPartitions("key", "block", "member", "node").mapInArrow(_with_representative(percent), "a long, b long"), "starred")
 
-    component = components(starred)
+    # labels of rows that are surely connected: a row's representative, and that one's, four steps up at most
+    up = starred.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("top"))
+    for _ in range(2):
+        higher = up.select(F.col("node").alias("top"), F.col("top").alias("higher"))
+        up = stored(up.join(higher, "top", "left").select("node", F.coalesce("higher", "top").alias("top")), "labels")
+    component = up.withColumnRenamed("top", "component")
     labelled = in_key.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.lit(0).alias("weight"))
     dealt = _tasks(labelled, KEY_BLOCK, 1).join(signed, "node")
     close = stored(_in_tasks(dealt).mapInArrow(_close_pairs(bound, percent), "a long, b long").distinct(), "close")
@@ -413,11 +418,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi"), F.count("*").alias("rows")).filter("rows > 1")
     twice = stored(several, "twice")
     same = placed.join(twice.filter("b < hi").select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b")
-    last = components(starred.unionByName(links).unionByName(same))
+    # links between labels: what one label of a row leaves out, and the links of the rest
+    tops = component.select(F.col("component").alias("node")).distinct().join(component, "node").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    second = starred.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("b")).filter("low < b").select("a", "b")
+    label = lambda df, c: df.withColumnRenamed(c, "node").join(component, "node", "left").withColumn(c, F.coalesce("component", "node")).drop("node", "component")
+    between = label(label(second.unionByName(links).unionByName(same), "a"), "b").select("a", "b").unionByName(tops).filter("a <> b").distinct()
+    last = components(between).withColumnRenamed("node", "label").withColumnRenamed("component", "component_id")
     out = (
-        placed.join(last, "node", "left")
+        placed.join(component, "node", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("label"))
+        .join(last, "label", "left")
         .join(twice.select("doc_id", F.lit(True).alias("repeated")), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce("repeated", F.lit(False)).alias("repeated"))
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "label").alias("component_id"), F.coalesce("repeated", F.lit(False)).alias("repeated"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
     nameless = sketch.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("repeated"), F.lit(True).alias("kept"))
