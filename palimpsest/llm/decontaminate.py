@@ -6,6 +6,12 @@ two rarest terms; the offset-adjusted lists of those terms are intersected on
 ``(document, item, position - offset)``, and every alignment that survives is
 compared word by word.  All of it is DataFrame operations.
 
+Windows that repeat within an item are looked for once.  Per document and item only the
+offsets are collected; the item's words stand beside them once.
+
+Proximity: at an offset that two of an item's rarest terms share, a window of the item is
+near if each of its words stands within ``slop`` words of its place.
+
 The vocabulary and the anchors follow the benchmark's size.  They are stored, so
 Spark sees their size and broadcasts them only below its own threshold; beyond it
 they are joined by shuffling, where adaptive execution splits frequent terms.
@@ -21,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..operators.prefilter import KeyBitmap
 from ..storage import discard, materialize
 
-WINDOW = 10
+WINDOW, SLOP = 10, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,14 +64,22 @@ def store_postings(docs: DataFrame, items: DataFrame) -> DataFrame:
     return materialize(tokens.join(terms, "term").select("doc_id", "text_hash", "pos", "term"), "postings")
 
 
-def rarest_terms(postings: DataFrame, items: DataFrame, terms: int = 2) -> DataFrame:
-    """``(item, start, width, rare)``: the rarest terms of every window that can occur."""
+def distinct_windows(items: DataFrame) -> DataFrame:
+    """``(item, start)``: the first start of every window of an item."""
+    at = F.sequence(F.lit(0), F.size("item_words") - F.col("width"))
+    spots = items.select("item", "item_words", "width", F.explode(at).alias("start"))
+    return spots.groupBy("item", F.slice("item_words", F.col("start") + 1, F.col("width")).alias("w")).agg(F.min("start").alias("start")).select("item", "start")
+
+
+def rarest_terms(postings: DataFrame, items: DataFrame, windows: DataFrame, terms: int = 2) -> DataFrame:
+    """``(item, start, width, rare)``: the rarest terms of every distinct window that can occur."""
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     last = F.size("item_words") - F.col("width")
     spots = items.select("item", "width", last.alias("last"), F.posexplode("item_words").alias("at", "w")).select("item", "width", "last", "at", F.xxhash64("w").alias("term"))
     return (
         spots.join(counts, "term", "left")
         .withColumn("start", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("width") + 1), F.least(F.col("at"), F.col("last")))))
+        .join(windows, ["item", "start"], "left_semi")
         .groupBy("item", "start", "width")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("rare"))
         .filter(F.col("rare")[0]["n"] > 0)
@@ -72,12 +87,8 @@ def rarest_terms(postings: DataFrame, items: DataFrame, terms: int = 2) -> DataF
     )
 
 
-def alignments(postings: DataFrame, items: DataFrame) -> DataFrame:
+def alignments(postings: DataFrame, anchors: DataFrame) -> DataFrame:
     """``(doc_id, text_hash, item, shift)``: where the rarest terms of a window line up."""
-    anchors = materialize(
-        rarest_terms(postings, items).select("item", F.least("width", F.lit(2)).alias("need"), F.explode("rare").alias("r")).select("item", "need", F.col("r.at").alias("at"), F.col("r.term").alias("term")).distinct(),
-        "anchors",
-    )
     return (
         postings.join(anchors, "term")
         .select("doc_id", "text_hash", "item", "need", (F.col("pos") - F.col("at")).alias("shift"), "at")
@@ -88,50 +99,94 @@ def alignments(postings: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def _starts(words: Column, m: Column) -> Column:
-    """Starts, in the item, of the windows that occur at this alignment."""
-    low = F.greatest(F.lit(0), -m["shift"])
-    high = F.least(F.size(m["item_words"]), F.size(words) - m["shift"]) - m["width"]
-    span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    return F.filter(span, lambda s: F.slice(words, m["shift"] + s + 1, m["width"]) == F.slice(m["item_words"], s + 1, m["width"]))
+def _places(words: Column, m: Column, fits) -> Column:
+    """Places in the document of the item's windows that fit at one of its offsets, once each."""
+    none = F.array().cast("array<int>")
+    at = lambda shift: F.transform(F.filter(m["starts"], lambda s: (shift + s >= 0) & fits(words, m, shift, s)), lambda s: shift + s)
+    return F.array_distinct(F.coalesce(F.flatten(F.transform(m["shifts"], at)), none))
+
+
+def _equal(words: Column, m: Column, shift: Column, start: Column) -> Column:
+    return F.slice(words, shift + start + 1, m["width"]) == F.slice(m["item_words"], start + 1, m["width"])
+
 
+def _near(slop: int):
+    def fits(words: Column, m: Column, shift: Column, start: Column) -> Column:
+        first = F.greatest(F.lit(0), shift + start - slop)
+        around = F.slice(words, first + 1, shift + start + m["width"] + slop - first)
+        # every word of the window, within `slop` words of its place
+        phrase = F.slice(m["item_words"], start + 1, m["width"])
+        own = lambda k: F.slice(words, F.greatest(F.lit(1), shift + start + k + 1 - slop), F.least(F.lit(2 * slop + 1), shift + start + k + 1 + slop))
+        each = F.forall(F.zip_with(phrase, F.sequence(F.lit(0), m["width"] - 1), lambda w, k: F.array_contains(own(k), w)), lambda x: x)
+        return (F.size(F.array_except(phrase, around)) == 0) & each
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keyed: bool = False) -> DataFrame:
-    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated)`` per row of ``docs``.
+    return fits
+
+
+def _covered(spans: Column) -> Column:
+    """How many positions the spans (structs of first, end) cover, in one pass over the sorted spans."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = F.greatest(F.lit(0), x["end"] - F.greatest(x["first"], acc["end"]))
+        return F.struct((acc["n"] + fresh).alias("n"), F.greatest(acc["end"], x["end"]).alias("end"))
+
+    return F.aggregate(F.array_sort(F.array_distinct(spans)), start, step, lambda acc: acc["n"])
+
+
+def _marks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """``(d, h, marks)`` of every document with an offset: its items with their words, windows and offsets."""
+    postings = store_postings(documents, items)
+    windows = materialize(distinct_windows(items), "windows")
+    rare = rarest_terms(postings, items, windows)
+    anchors = materialize(rare.select("item", F.least("width", F.lit(2)).alias("need"), F.explode("rare").alias("r")).select("item", "need", F.col("r.at").alias("at"), F.col("r.term").alias("term")).distinct(), "anchors")
+    starts = windows.groupBy("item").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+    shifts = alignments(postings, anchors).groupBy("doc_id", "text_hash", "item").agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
+    found = shifts.join(items.join(starts, "item"), "item")
+    mark = F.struct("item_id", "shifts", "width", "item_words", "starts")
+    out = materialize(found.groupBy("doc_id", "text_hash").agg(F.collect_list(mark).alias("marks")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "alignments")
+    for df in (postings, windows, anchors):
+        discard(df)
+    return out
 
-    ``keyed`` adds ``text_hash``, which tells the texts of one doc_id apart.
+
+_CHECKED = "array<struct<item_id:long,width:int,exact:array<int>,near:boolean>>"
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keyed: bool = False, slop: int | None = SLOP) -> DataFrame:
+    """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near)`` per row of ``docs``.
+
+    ``n_near`` counts the items of which a window is near (or occurs); it is left out where
+    ``slop`` is None.  ``keyed`` adds ``text_hash``, which tells the texts of one doc_id apart.
     """
     key = ["doc_id", *["text_hash"] * keyed]
     documents = _documents(docs)
     items = materialize(_items(benchmark, window), "items")
-    postings = store_postings(documents, items)
-    found = alignments(postings, items).join(items, "item")
-    per_doc = materialize(
-        found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "shift", "width", "item_words")).alias("marks")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"}),
-        "alignments",
-    )
-    discard(postings)
-    marks = F.transform("marks", lambda m: F.struct(m["item_id"].alias("item_id"), m["shift"].alias("shift"), m["width"].alias("width"), _starts(F.col("words"), m).alias("starts")))
-    occurring = F.filter("checked", lambda m: F.size(m["starts"]) > 0)
-    covered = F.flatten(F.transform("occurring", lambda m: F.flatten(F.transform(m["starts"], lambda s: F.sequence(m["shift"] + s, m["shift"] + s + m["width"] - 1)))))
-    ids = F.array_sort(F.array_distinct(F.filter(F.transform("occurring", lambda m: m["item_id"].cast("string")), lambda x: x.isNotNull())))
+    per_doc = _marks(documents, items)
+    discard(items)
+    exact = lambda m: _places(F.col("words"), m, _equal)
+    near = lambda m, found: F.lit(False) if slop is None else (F.size(found) > 0) | (F.size(_places(F.col("words"), m, _near(slop))) > 0)
+    checked = F.transform("marks", lambda m: let(exact(m), lambda e: F.struct(m["item_id"].alias("item_id"), m["width"].alias("width"), e.alias("exact"), near(m, e).alias("near"))))
+    occurring = F.filter("checked", lambda m: F.size(m["exact"]) > 0)
+    spans = F.flatten(F.transform(occurring, lambda m: F.transform(m["exact"], lambda p: F.struct(p.alias("first"), (p + m["width"]).alias("end")))))
+    named = lambda kept: F.array_distinct(F.filter(F.transform(kept, lambda m: m["item_id"].cast("string")), lambda x: x.isNotNull()))
     # only the texts of documents with an alignment go through the join
     marked = KeyBitmap(per_doc, F.xxhash64("h", "d")).mark(documents, F.xxhash64("text_hash", "doc_id"))
     slim = marked.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.when(F.col("maybe"), F.col("text")).alias("text"))
+    counts = [F.size(named(F.filter("checked", lambda m: m["near"]))).cast("long").alias("n_near")] * (slop is not None)
     return (
         slim.join(per_doc, (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
         .select(*key, "n_words", "marks", F.when(F.col("marks").isNotNull(), words_of(F.col("text"))).alias("words"))
-        .select(*key, "n_words", F.when(F.col("marks").isNotNull(), marks).alias("checked"))
-        .select(*key, "n_words", F.coalesce(occurring, F.array().cast("array<struct<item_id:long,shift:int,width:int,starts:array<int>>>")).alias("occurring"))
-        .select(*key, "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), ids.alias("ids"))
-        .select(*key, "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+        .select(*key, "n_words", F.coalesce(F.when(F.col("marks").isNotNull(), checked), F.array().cast(_CHECKED)).alias("checked"))
+        .select(*key, "n_words", _covered(spans).alias("n_hit"), F.array_sort(named(occurring)).alias("ids"), *counts)
+        .select(*key, "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), *["n_near"] * len(counts))
     )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs."""
     hit = materialize(
-        contamination(docs, benchmark, window, keyed=True).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated"
+        contamination(docs, benchmark, window, keyed=True, slop=None).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated"
     )
     text_hash, doc_id = F.xxhash64(F.col("text").cast("string")), F.col("doc_id").cast("long")
     marked = KeyBitmap(hit, F.xxhash64("__hash", "__id")).mark(docs, F.xxhash64(text_hash, doc_id), "__maybe")
@@ -139,36 +194,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
     return marked.filter("not __maybe").unionByName(doubtful).select(*docs.columns)
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 3) -> DataFrame:
-    """``(doc_id, item_id, start, doc_start, exact)``: item windows found in a document.
-
-    ``start`` and ``doc_start`` are word positions.  A match holds every word of the window
-    within ``slop`` words of its place, the two rarest exactly as far apart as ``slop``
-    allows; ``exact`` tells that the words stand one by one at their places.
-    """
-    documents = _documents(docs)
-    items = materialize(_items(benchmark, window), "items")
-    postings = store_postings(documents, items)
-    rare = materialize(rarest_terms(postings, items).select("item", "start", "width", "rare"), "rare")
-    first = rare.select("item", "start", "width", F.col("rare")[0]["at"].alias("at"), F.col("rare")[0]["term"].alias("term"))
-    second = rare.select("item", "start", F.try_element_at("rare", F.lit(2))["at"].alias("at2"), F.try_element_at("rare", F.lit(2))["term"].alias("term")).filter("term is not null")
-    one = postings.join(first, "term").select("doc_id", "text_hash", "item", "start", "width", (F.col("pos") - F.col("at")).alias("shift"))
-    two = postings.join(second, "term").select("doc_id", "text_hash", "item", "start", (F.col("pos") - F.col("at2")).alias("shift2"))
-    near = (
-        one.join(two.withColumn("k", F.lit(True)), (one.text_hash == two.text_hash) & one.doc_id.eqNullSafe(two.doc_id) & (one["item"] == two["item"]) & (one["start"] == two["start"]) & (F.abs(F.col("shift") - F.col("shift2")) <= slop), "left_semi")
-        .unionByName(one.filter("width = 1"))
-        .distinct()
-    )
-    joined = near.join(items.select("item", "item_id", "item_words"), "item").join(documents.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    phrase = F.slice("item_words", F.col("start") + 1, F.col("width"))
-    begin = F.greatest(F.lit(0), F.col("shift") + F.col("start") - slop)
-    around = F.slice("words", begin + 1, F.col("width") + 2 * slop)
-    at = F.col("shift") + F.col("start")
-    exact = (at >= 0) & (F.slice("words", F.greatest(at, F.lit(0)) + 1, F.col("width")) == phrase)
-    inside = F.size(F.array_except(phrase, around)) == 0
-    return joined.filter(inside).select("doc_id", "item_id", "start", at.alias("doc_start"), exact.alias("exact")).distinct()
-
-
 CONTAMINATION_SQL = r"""
 WITH dw AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
@@ -186,8 +211,26 @@ WITH dw AS (
   SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, s + unnest(generate_series(0, k - 1)) AS spot FROM hits) GROUP BY doc_id
 ), ids AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+), counts AS (
+  SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM dw) GROUP BY term
+), firsts AS (
+  SELECT item_id, k, min(s) AS s FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(0, len(w) - least(10, len(w)))) AS s FROM iw WHERE len(w) > 0) GROUP BY item_id, k, w[s + 1:s + k]
+), spread AS (
+  SELECT item_id, k, s, at, w[at + 1] AS term FROM (SELECT f.item_id, f.k, f.s, iw.w, f.s + unnest(generate_series(0, f.k - 1)) AS at FROM firsts f JOIN iw USING (item_id))
+), ranked AS (
+  SELECT item_id, k, at, term, row_number() OVER o AS nth, first_value(coalesce(n, 0)) OVER o AS least_n FROM spread LEFT JOIN counts USING (term) WINDOW o AS (PARTITION BY item_id, s ORDER BY coalesce(n, 0), at)
+), anchors AS (
+  SELECT DISTINCT item_id, k, at, term FROM ranked WHERE nth <= 2 AND least_n > 0
+), tokens AS (
+  SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM dw
+), lined AS (
+  SELECT doc_id, item_id, pos - at AS shift FROM tokens JOIN anchors USING (term) GROUP BY doc_id, item_id, k, pos - at HAVING count(DISTINCT at) >= least(2, k)
+), near AS (
+  SELECT l.doc_id, count(DISTINCT l.item_id) AS n_near FROM lined l JOIN firsts f USING (item_id) JOIN dw USING (doc_id) JOIN iw USING (item_id)
+  WHERE shift + s >= 0 AND len(list_filter(generate_series(0, k - 1), lambda j: list_contains(dw.w[greatest(1, shift + s + j - 2):shift + s + j + 4], iw.w[s + j + 1]))) = k
+  GROUP BY l.doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN ids USING (doc_id)
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN spots USING (doc_id) LEFT JOIN ids USING (doc_id) LEFT JOIN near USING (doc_id)
 """
