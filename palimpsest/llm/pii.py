@@ -313,9 +313,14 @@ def _numbers(piece: Column, key: str) -> Column:
     return F.when(piece.rlike(RUN), let(runs, lambda r: F.struct(text(r).alias("text"), F.flatten(F.transform(r, lambda x: x["kinds"])).alias("kinds")))).otherwise(plain)
 
 
-def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with checked values replaced, ``n_replaced`` (long) and ``kinds`` (sorted, comma-joined)."""
-    kept = [c for c in docs.columns if c not in ("n_replaced", "kinds", "__found", "__fresh", "__between", "__kinds")]
+def pseudonyms(docs: DataFrame, key: str, text: str = "text", counts: tuple[str, str] = ("n_replaced", "kinds")) -> DataFrame:
+    """``docs`` with checked values replaced, and two columns named by ``counts``.
+
+    They hold the number of replaced values (long) and their kinds (sorted, comma-joined), and
+    take the place of columns of these names.
+    """
+    number, names = counts
+    kept = [c for c in docs.columns if c not in (*counts, "__found", "__fresh", "__between", "__kinds")]
     body = F.col(text)
     some = F.coalesce(body.rlike("[0-9]{2}|[0-9]\\.[0-9]|[0-9][ \\-][0-9]|@|\""), F.lit(False))
     found = F.when(some, F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
@@ -330,9 +335,8 @@ def pseudonyms(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         .withColumn("__fresh", fresh)
         .withColumn("__between", between)
         .withColumn("__kinds", F.coalesce(hits, F.array().cast(_NO_KINDS)))
-        .withColumn("n_replaced", F.size("__kinds").cast("long"))
-        .withColumn("kinds", F.array_join(F.array_sort(F.array_distinct("__kinds")), ","))
-        .withColumn(text, F.when(F.col("n_replaced") > 0, written).otherwise(body))
-        .drop("__found", "__fresh", "__between", "__kinds")
-        .select(*kept, "n_replaced", "kinds")
+        .withColumn(number, F.size("__kinds").cast("long"))
+        .withColumn(names, F.array_join(F.array_sort(F.array_distinct("__kinds")), ","))
+        .withColumn(text, F.when(F.col(number) > 0, written).otherwise(body))
+        .select(*kept, number, names)
     )

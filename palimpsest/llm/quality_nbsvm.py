@@ -176,26 +176,25 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Model:
     """Fit on at most ``rows`` labelled documents outside the held-out fold."""
     sample = labelled(docs, labels, label, rows).mapInArrow(_featurize, "doc_id long, label int, found binary").collect()
-    sample.sort(key=lambda r: (r["doc_id"], bytes(r["found"])))
+    sample.sort(key=lambda r: r["doc_id"])
     return train([np.frombuffer(bytes(r["found"]), np.uint32) for r in sample], np.array([r["label"] for r in sample]))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with a ``score`` column from 0 to 1 (replacing one of that name)."""
-    columns = [c for c in docs.columns if c != "score"]
-    docs = docs.select(*columns)
+def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns ``keep`` of ``docs``, and the score of ``text`` from 0 to 1 as column ``name``."""
+    given = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
         for batch in batches:
             values = [model.score(features(t, tokens)) for t in column_bytes(batch, "text")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(values, pa.float64())], names=[*batch.schema.names[:-1], "s"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+    scored = given.mapInArrow(run, StructType([*given.schema.fields[:-1], StructField("s", DoubleType())]))
+    return scored.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("s").alias(name))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = ROWS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of every document."""
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    scored = score(texts, fit(docs, labels, rows=rows))
+    scored = score(docs, fit(docs, labels, rows=rows), ["doc_id"])
     return scored.select("doc_id", F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

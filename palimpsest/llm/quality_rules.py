@@ -134,7 +134,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Forest:
     """Fit on at most ``rows`` labelled documents outside the held-out fold."""
     sample = labelled(docs, labels, label, rows).mapInArrow(_measured, "doc_id long, label int, x array<double>").collect()
-    sample.sort(key=lambda r: (r["doc_id"], list(r["x"])))
+    sample.sort(key=lambda r: r["doc_id"])
     x = np.array([r["x"] for r in sample], float).reshape(-1, len(STATISTICS))
     return train(x, np.array([r["label"] for r in sample]))
 

@@ -57,7 +57,7 @@ DOCS = [
 def test_contamination_equals_brute_force(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumns({"words": F.lit(1), "marks": F.lit(2), "d": F.lit(3), "maybe": F.lit(0)})
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = sorted((tuple(r) for r in decontaminate.contamination(docs, items).collect()), key=str)
+    got = sorted((tuple(r) for r in decontaminate.contamination(docs, items, slop=None).collect()), key=str)
     assert got == brute_contamination(DOCS, ITEMS)
     clean = sorted(str(r["doc_id"]) for r in decontaminate.keep_clean(docs, items).collect())
     assert clean == ["4", "5", "6"]
@@ -66,11 +66,56 @@ def test_contamination_equals_brute_force(spark):
     assert len(none) == len(DOCS) and not any(r["contaminated"] for r in none)
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "p q r s t"), (2, "p q extra r s t"), (3, "t s r"), (4, "p q")], "doc_id long, text string")
-    items = spark.createDataFrame([(9, "p q r s t")], "item_id long, text string")
-    got = {(r["doc_id"], r["exact"]) for r in decontaminate.proximity_matches(docs, items, slop=2).collect()}
-    assert (1, True) in got and (2, False) in got and not any(d in (3, 4) for d, _ in got)
+def brute_near(docs, items, width=10, slop=3):
+    """Items of which a window is near, by all offsets at which two anchors of the item stand."""
+    texts = [words(t) for _, t in docs]
+    count = {}
+    for w in texts:
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+    out = []
+    for w in texts:
+        near = set()
+        for item, text in items:
+            v = words(text)
+            k = min(width, len(v))
+            starts = {tuple(v[s : s + k]): s for s in reversed(range(len(v) - k + 1))} if v else {}
+            rare = [sorted((count.get(v[a], 0), a) for a in range(s, s + k)) for s in starts.values()]
+            anchors = {a for r in rare if r[0][0] for _, a in r[:2]}
+            for shift in range(-len(v), len(w)):
+                if sum(0 <= shift + a < len(w) and w[shift + a] == v[a] for a in anchors) < min(2, k):
+                    continue
+                for s in starts.values():
+                    if shift + s >= 0 and all(v[s + j] in w[max(0, shift + s + j - slop) : shift + s + j + slop + 1] for j in range(k)):
+                        near.add(item)
+        out.append(len(near - {None}))
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    vocabulary = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(r.choice(vocabulary) for _ in range(n))) for i, n in enumerate([1, 2, 5, 10, 12, 30])] + [(6, "x " * 30), (None, "a b c"), (7, "a b c d")]
+    texts = [None, "", "a c b d", "d c a b a b c d", "x " * 40]
+    for _ in range(60):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randrange(4)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randrange(2)] = [r.choice(vocabulary)] * r.randrange(2)
+        texts.append(" ".join([r.choice(vocabulary) for _ in range(r.randrange(6))] + w))
+    docs = list(enumerate(texts))
+    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [x["n_near"] for x in got] == brute_near(docs, items)
+    assert all(x["n_near"] >= x["n_items"] for x in got) and any(x["n_near"] > x["n_items"] for x in got)
+
+
+def test_repetitive_document_and_item(spark):
+    docs = spark.createDataFrame([(1, "x " * 20_000), (2, "y x " * 5_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x " * 100), (2, "x y " * 50)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (20_000, 20_000, 1), 2: (10_000, 10_000, 1)}
 
 
 def py_feistel(left, right, a, b, key, tweak):
@@ -268,24 +313,50 @@ def test_encoder_on_odd_white_space():
         assert np.frombuffer(e.encode(t), "<u4").tolist() == tokens(t)[:-1], repr(t)
 
 
+def plain_segments(word, scores):
+    """Value (score, less tokens) and pieces of the best segmentation, over all cuts."""
+    text = token_counts.MARK + word
+    byte = min(scores.values()) - token_counts.BYTE_BELOW
+    best = [((0, 0), [])]
+    for end in range(1, len(text) + 1):
+        size = len(text[end - 1].encode())
+        (value, count), used = best[end - 1]
+        options = [((value + byte * size, count - size), used)]
+        for b in reversed(range(end)):
+            if text[b:end] in scores:
+                (value, count), used = best[b]
+                options.append(((value + scores[text[b:end]], count - 1), used + [text[b:end]]))
+        best.append(max(options, key=lambda o: o[0]))
+    return best[-1]
+
+
 def test_token_counts_equal_plain_dynamic_program(spark):
-    pieces = token_counts.piece_scores(token_counts.vocabulary_file())
-
-    def plain(word):
-        text = token_counts.MARK + word
-        best = [(0, 0)]
-        for end in range(1, len(text) + 1):
-            size = len(text[end - 1].encode())
-            options = [(best[end - 1][0] + token_counts.BYTE * size, best[end - 1][1] - size)]
-            options += [(best[b][0] + pieces[text[b:end]], best[b][1] - 1) for b in range(end) if text[b:end] in pieces]
-            best.append(max(options))
-        return best[-1]
-
-    texts = ["the cat sat", "internationalisation of éèê 中文字 \U0001f600", "", None, " \n ", "y" * 500 + " the the", "the cat sat"]
-    got = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit(1))).orderBy("doc_id").collect()
+    texts = ["the cat sat", "internationalisation of éèê 中文字 \U0001f600", "", None, " \n ", "y" * 500 + " the the", "the cat sat", "the internationals\tinter"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit(1))
+    scores = token_counts.first_scores(token_counts.vocabulary_file())
+    for _ in range(token_counts.ROUNDS):
+        used = {}
+        for w in " ".join(t or "" for t in texts).split():
+            for piece in plain_segments(w, scores)[1]:
+                used[piece] = used.get(piece, 0) + 1
+        scores = token_counts.next_scores(scores, used)
+    assert token_counts.fit_scores(docs) == scores and scores["▁the"] > scores["▁cat"] > min(scores.values())
+    got = token_counts.token_counts(docs).orderBy("doc_id").collect()
     for r, t in zip(got, texts):
-        each = [plain(w) for w in (t or "").split()]
+        each = [plain_segments(w, scores)[0] for w in (t or "").split()]
         assert (r["n_words"], r["n_tokens"], r["score"]) == (len(each), -sum(x[1] for x in each), sum(x[0] for x in each))
+    assert token_counts.token_counts(docs.limit(0)).count() == 0
+
+
+def test_trie_survives_its_bounds(monkeypatch):
+    monkeypatch.setattr(token_counts, "NODES", 50)
+    monkeypatch.setattr(token_counts, "WORDS", 7)
+    monkeypatch.setattr(token_counts, "LONG", 12)
+    scores = token_counts.first_scores(token_counts.vocabulary_file())
+    counts = token_counts.TrieCounts(scores)
+    for w in ["the", "cats", "internationalisation", "the", "a", "b", "c", "d", "e", "f", "the", "cat", "cats"] * 2:
+        value, tokens = plain_segments(w, scores)[0]
+        assert counts.text(w.encode()) == (1, -tokens, value)
 
 
 def brute_stats(t):
@@ -365,6 +436,36 @@ def test_license_runs_equal_brute_force():
         assert got == ({"T": best} if best >= licenses.THRESHOLD else {}), w
 
 
+def test_long_templates_by_arrays_equal_loops(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    scanner = licenses.Scanner({"T": " ".join(words)}, licenses.THRESHOLD)
+    for _ in range(60):
+        body = words[rng.randrange(8) : 60 - rng.randrange(8)]
+        for _ in range(rng.randrange(12)):
+            k = rng.randrange(len(body))
+            body[k : k + rng.randrange(2)] = rng.choices(words + ["x", "y"], k=rng.randrange(1, 4))
+        text = " ".join(rng.choices(["x", "y", "w3", "w4"], k=rng.randrange(30)) + body + rng.choices(["x", "z", "w50"], k=rng.randrange(30))).encode()
+        grams = licenses.bigrams(text, scanner.words)[0]
+        by = []
+        for least in (0, 10**9):
+            monkeypatch.setattr(licenses, "ARRAYS_FROM", least)
+            by.append(scanner.runs(text, grams, set()))
+        assert by[0] == by[1], text
+
+
+def test_whole_license_files(spark):
+    texts = licenses.license_texts()
+    assert {"Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "MPL-2.0"} <= set(texts)
+    docs = [(i, t) for i, t in enumerate(texts.values())] + [(100 + i, "Copyright 2020 X\n" + "prose before it " * 80 + t.replace("the", "the", 1) + " prose after it" * 80) for i, t in enumerate(texts.values())]
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, name in enumerate(texts):
+        assert f"{name}-text" in got[i]["licenses"].split(",") and got[i]["best_dice"] == 1.0
+        assert f"{name}-text" in got[100 + i]["licenses"].split(","), name
+
+
 def test_upper_share_counts_all_letters():
     at = text_stats.STATISTICS.index("upper_share")
     share = lambda t: text_stats.statistics(t.encode(), text_stats.WordHashes())[1][at]
