@@ -1,7 +1,15 @@
 """The corpus pipeline: quality, near-duplicates, decontamination, PII, packing.
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor
-kept.  ``run`` writes each stage's rows to the shared folder and rereads them.
+kept.  ``run`` writes each stage's rows to the shared folder, rereads them and removes
+those of the stage before.
+
+Every stage keeps columns that it does not know, whatever their names, and needs
+``doc_id`` and ``text`` only.  Null and empty texts: they have no features and go or stay
+by the quality score of none; near-duplicates, decontamination and PII leave them alone;
+packing gives them one piece, the end mark.  Rows without a doc_id are kept by
+near-duplicates and judged by their text elsewhere.  Of rows that share a doc_id
+near-duplicates keep one.  An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,13 +19,22 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, minhash, packing, pii, quality_nbsvm
 from palimpsest.llm.common import table
-from palimpsest.storage import materialize
+from palimpsest.storage import discard, materialize
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more."""
     model = quality_nbsvm.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_nbsvm.score(docs, model).filter("score >= 0.3").select(*docs.columns)
+    score = free_name("score", docs.columns)
+    return quality_nbsvm.score(docs, model, docs.columns, score).filter(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +48,12 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms in place of personal values."""
-    hidden = pii.pseudonyms(docs, key="corpus-2024")
-    return hidden.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents with pseudonyms in place of personal values; ``n_chars`` follows, where there is one."""
+    number, kinds = (free_name(c, docs.columns) for c in ("n_replaced", "kinds"))
+    hidden = pii.pseudonyms(docs, key="corpus-2024", counts=(number, kinds))
+    if "n_chars" in docs.columns:
+        hidden = hidden.withColumn("n_chars", F.when(F.col(number) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return hidden.select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

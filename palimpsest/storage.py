@@ -17,10 +17,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder; a temporary one only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     return _OWN[0]
