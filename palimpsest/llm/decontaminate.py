@@ -216,15 +216,15 @@ WITH dw AS (
 ), firsts AS (
   SELECT item_id, k, min(s) AS s FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(0, len(w) - least(10, len(w)))) AS s FROM iw WHERE len(w) > 0) GROUP BY item_id, k, w[s + 1:s + k]
 ), spread AS (
-  SELECT item_id, k, s, at, w[at + 1] AS term FROM (SELECT f.item_id, f.k, f.s, iw.w, f.s + unnest(generate_series(0, f.k - 1)) AS at FROM firsts f JOIN iw USING (item_id))
+  SELECT item_id, k, s, spot, w[spot + 1] AS term FROM (SELECT f.item_id, f.k, f.s, iw.w, f.s + unnest(generate_series(0, f.k - 1)) AS spot FROM firsts f JOIN iw USING (item_id))
 ), ranked AS (
-  SELECT item_id, k, at, term, row_number() OVER o AS nth, first_value(coalesce(n, 0)) OVER o AS least_n FROM spread LEFT JOIN counts USING (term) WINDOW o AS (PARTITION BY item_id, s ORDER BY coalesce(n, 0), at)
+  SELECT item_id, k, spot, term, row_number() OVER o AS nth, first_value(coalesce(n, 0)) OVER o AS least_n FROM spread LEFT JOIN counts USING (term) WINDOW o AS (PARTITION BY item_id, s ORDER BY coalesce(n, 0), spot)
 ), anchors AS (
-  SELECT DISTINCT item_id, k, at, term FROM ranked WHERE nth <= 2 AND least_n > 0
+  SELECT DISTINCT item_id, k, spot, term FROM ranked WHERE nth <= 2 AND least_n > 0
 ), tokens AS (
   SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM dw
 ), lined AS (
-  SELECT doc_id, item_id, pos - at AS shift FROM tokens JOIN anchors USING (term) GROUP BY doc_id, item_id, k, pos - at HAVING count(DISTINCT at) >= least(2, k)
+  SELECT doc_id, item_id, pos - spot AS shift FROM tokens JOIN anchors USING (term) GROUP BY doc_id, item_id, k, pos - spot HAVING count(DISTINCT spot) >= least(2, k)
 ), near AS (
   SELECT l.doc_id, count(DISTINCT l.item_id) AS n_near FROM lined l JOIN firsts f USING (item_id) JOIN dw USING (doc_id) JOIN iw USING (item_id)
   WHERE shift + s >= 0 AND len(list_filter(generate_series(0, k - 1), lambda j: list_contains(dw.w[greatest(1, shift + s + j - 2):shift + s + j + 4], iw.w[s + j + 1]))) = k

@@ -6,7 +6,8 @@ histogram of at most ``capacity / GRAIN`` numbers is all that reaches the driver
 There a linear program over patterns is solved by the revised simplex method, whose
 columns are priced by the dynamic program of the unbounded knapsack.  Patterns are
 rounded down; what is left over (at most a few pieces per bin) is packed by best
-fit.  Pieces are ranked within their bin across the cluster, and a piece's rank
+fit.  Rounding lengths up to whole bins is the only loss against the linear program.
+Pieces are ranked within their bin across the cluster, and a piece's rank
 names its pattern, sequence and slot.
 
 Ids come from the rank file that holds the same vocabulary as the tokenizer file and
@@ -140,10 +141,11 @@ def best_pattern(price: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(best[units]), pattern
 
 
-def solve_patterns(demand: np.ndarray, rounds: int = 4000, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often the linear program uses each.
 
-    ``demand[i]``: pieces of ``i + 1`` units; a sequence holds ``len(demand)`` units.
+    ``demand[i]``: pieces of ``i + 1`` units; a sequence holds ``len(demand)`` units.  It ends at
+    the optimum, where no pattern prices above 1; ``rounds`` only guards against cycling.
     """
     units = len(demand)
     used = np.flatnonzero(demand)
@@ -160,7 +162,7 @@ def solve_patterns(demand: np.ndarray, rounds: int = 4000, gap: float = 1e-3) ->
     for _ in range(rounds):
         price = np.zeros(units)
         price[used] = np.maximum(0.0, inverse.sum(axis=0))
-        if amount.sum() <= bound * (1 + gap):
+        if amount.sum() <= bound * (1 + 1e-9):
             break
         # Columns are priced near the best bound's prices first; prices of the basis alone swing.
         for weight in (0.9, 0.0):
