@@ -141,6 +141,25 @@ def best_pattern(price: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(best[units]), pattern
 
 
+def first_patterns(demand: np.ndarray, power: float = 1.05) -> tuple[np.ndarray, np.ndarray]:
+    """A basis to start from: each pattern is used until one more bin has no piece left.
+
+    Prices a little above proportion put large pieces first and small ones where they fill.
+    """
+    units, left = len(demand), demand.astype(float)
+    price = (np.arange(1, units + 1) / units) ** power
+    patterns, amount = [], []
+    while (left > 0).any():
+        pattern = best_pattern(np.where(left > 0, price, 0.0), units)[1]
+        has = np.flatnonzero(pattern)
+        out = int((left[has] / pattern[has]).argmin())
+        times = left[has[out]] / pattern[has[out]]
+        left[has] = np.maximum(left[has] - times * pattern[has], 1e-9)
+        left[has[out]] = 0.0
+        patterns.append(pattern), amount.append(times)
+    return np.array(patterns), np.array(amount)
+
+
 def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often the linear program uses each.
 
@@ -151,10 +170,8 @@ def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray,
     used = np.flatnonzero(demand)
     if not len(used):
         return np.zeros((0, units), np.int64), np.zeros(0)
-    patterns = np.zeros((len(used), units), np.int64)
-    patterns[np.arange(len(used)), used] = units // (used + 1)
-    inverse = np.diag(1.0 / patterns[np.arange(len(used)), used])
-    amount = inverse @ demand[used]
+    patterns, amount = first_patterns(demand)
+    inverse = np.linalg.inv(patterns[:, used].T.astype(float))
     # Prices that fill a sequence by size alone are feasible and bound the optimum from below.
     center = np.zeros(units)
     center[used] = (used + 1) / units
