@@ -120,6 +120,34 @@ def review_queue(identifiers: DataFrame, masters: DataFrame, record: str) -> Dat
     return a.filter("own <> master").groupBy(F.col("a").alias(record), "master").agg(F.max("confidence").alias("confidence"))
 
 
+#: Identifier types that link without review whatever their confidence.
+REGISTRY_TYPES = ("NCT", "ChiCTR", "CTR", "CTIS", "ISRCTN", "EudraCT")
+
+
+def master_matches(identifiers: DataFrame, masters: DataFrame, record: str, titles: DataFrame | None = None) -> DataFrame:
+    """``(record, master, method, confidence, status, rank)``: the masters a record may belong to.
+
+    ``identifiers`` (record, type, value, confidence, nth) in order of extraction, ``masters``
+    (record, master).  A master is reached through an identifier that another record of it holds;
+    of several the first counts.  Registry numbers and confidences from ``AUTO`` on are
+    AUTO_CONFIRMED.  ``titles`` (a, b, ratio) serve records without such a match only.  The confirmed
+    come first, then by confidence, then by master.
+    """
+    held = identifiers.join(masters, record).groupBy("type", "value", "master").agg(F.count_distinct(record).alias("n"), F.min(record).alias("only"))
+    asked = identifiers.select(record, "type", "value", "confidence", "nth").join(held, ["type", "value"]).filter((F.col("n") > 1) | (F.col("only") != F.col(record)))
+    auto = F.col("type").isin(*REGISTRY_TYPES) | (F.col("confidence") >= AUTO)
+    by_id = asked.groupBy(record, "master").agg(F.min_by(F.struct(F.concat(F.lit("identifier_match "), F.col("type")).alias("method"), "confidence", F.when(auto, "AUTO_CONFIRMED").otherwise("POSSIBLE").alias("status")), F.struct("nth", "type", "value")).alias("m"))
+    found = by_id.select(record, "master", "m.*")
+    if titles is not None:
+        sure = found.filter("status = 'AUTO_CONFIRMED'").select(record).distinct()
+        either = titles.select(F.col("a").alias(record), F.col("b").alias("__other"), "ratio").unionByName(titles.select(F.col("b").alias(record), F.col("a").alias("__other"), "ratio"))
+        named = either.join(masters.select(F.col(record).alias("__other"), "master"), "__other").groupBy(record, "master").agg(F.max("ratio").alias("confidence"))
+        more = named.join(sure, record, "left_anti").join(found.select(record, "master"), [record, "master"], "left_anti")
+        found = found.unionByName(more.select(record, "master", F.lit("title_similarity").alias("method"), F.round("confidence", 4).alias("confidence"), F.lit("POSSIBLE").alias("status")))
+    order = Window.partitionBy(record).orderBy("status", F.desc("confidence"), "master")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
 def decide(queue: DataFrame, decisions: DataFrame, key: Sequence[str]) -> DataFrame:
     """The queue after decisions: approval only of pending items, rejection of any."""
     d = decisions.select(*key, F.col("decision").alias("__d"))
