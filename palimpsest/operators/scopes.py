@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,3 +60,17 @@ def window_bounds(name: str, as_of: str, first: str | None = None, last: str | N
     if not a < b or (b - a).days > 366:
         raise ValueError("a window has 1 to 366 days")
     return str(a), str(b)
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tie: str) -> DataFrame:
+    """``left`` with the last ``value`` of ``right`` at or before its time, per key; null before the first.
+
+    Both sides are one sorted stream per key, so nothing is joined by a range; of rows of ``right``
+    at one time the one with the largest ``tie`` counts.
+    """
+    rest = [c for c in left.columns if c not in (*keys, ts)]
+    a = left.select(*keys, ts, F.struct(*rest).alias("__row"), F.lit(None).cast(right.schema[value].dataType).alias("__v"), F.lit(None).cast(right.schema[tie].dataType).alias("__tie"), F.lit(1).alias("__side"))
+    b = right.filter(F.col(value).isNotNull()).select(*keys, ts, F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"), F.col(tie).alias("__tie"), F.lit(0).alias("__side"))
+    w = Window.partitionBy(*keys).orderBy(ts, "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b).withColumn("__last", F.last("__v", ignorenulls=True).over(w)).filter("__side = 1")
+    return found.select(*keys, ts, "__row.*", F.col("__last").alias(value))

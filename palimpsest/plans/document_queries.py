@@ -133,7 +133,8 @@ def local_live_diff(spark, sf_dir):
 def merge_fresh_rows(spark, sf_dir):
     session = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.lit(0).alias("value"))
     batch = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("value"))
-    return writes.insert_ignore(session, batch, ["doc_id"], ["doc_id"])
+    merged, _ = writes.merge_fresh(session, batch, "doc_id")
+    return merged.join(session.select("doc_id"), "doc_id", "left_anti")
 
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, string_agg(DISTINCT source, '; ' ORDER BY source) AS source_list FROM documents GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes, intel, monitors, quality, scopes, versions, writes
 from ..operators.severity import classify_change, severity_rank
+from ..streaming import streams
 from .base import query, table
 
 KEY, ORDER = ["user_id"], ["ts", "event_id"]
@@ -262,10 +263,22 @@ def confidence_histogram(spark, sf_dir):
     return quality.confidence_histogram(table(spark, sf_dir, "events"), F.col("value") / 100.0, [0.7, 0.8, 0.9])
 
 
+def _instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the time type that watermarks need."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def tumbling_windows(spark, sf_dir):
-    w = F.window(F.col("ts"), "1 day")
-    return table(spark, sf_dir, "events").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    counts = streams.windowed_counts(_instants(spark, sf_dir), "ts", ["event_type"], "1 day")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("""SELECT make_timestamp(CAST((floor(epoch(ts) / 43200) - k) * 43200000000 AS BIGINT)) AS start, event_type, count(*) AS n FROM events, (VALUES (0), (1)) v(k) GROUP BY ALL""")
+def sliding_windows(spark, sf_dir):
+    """Windows of a day, a new one every twelve hours."""
+    counts = streams.windowed_counts(_instants(spark, sf_dir), "ts", ["event_type"], "1 day", "12 hours")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import exists
+
 BOM = "\ufeff"
 
 
@@ -48,18 +50,15 @@ def markdown_table(df: DataFrame, limit: int = 200) -> str:
 
 
 def digest_text(counts: DataFrame, group: str, n: str, title: str) -> str:
-    """A heading and one line per group of a small aggregate."""
-    rows = counts.orderBy(F.desc(n), group).limit(50).collect()
+    """A heading and one line per group; ``counts`` holds a row per configured profile, so it is small and not cut."""
+    rows = counts.orderBy(F.desc(n), group).collect()
     return "\n".join([title, *[f"- {r[group]}: {r[n]}" for r in rows]])
 
 
 def deliver(pending: DataFrame, path: str, keys: Sequence[str], send: Callable[[DataFrame], None]) -> int:
     """Send what the ledger at ``path`` doesn't know, then enter it; a second run sends nothing."""
     spark = pending.sparkSession
-    try:
-        done = spark.read.parquet(path).select(*keys)
-    except Exception:  # no ledger yet
-        done = pending.select(*keys).limit(0)
+    done = spark.read.parquet(path).select(*keys) if exists(spark, path) else pending.select(*keys).limit(0)
     fresh = pending.dropDuplicates(list(keys)).join(done, list(keys), "left_anti")
     n = fresh.count()
     if n:

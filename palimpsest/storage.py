@@ -36,6 +36,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored at ``path``; errors of the file system are raised."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a materialised table that nothing reads any more."""
     spark = df.sparkSession

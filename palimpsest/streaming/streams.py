@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.writes import insert_ignore
+from ..storage import exists
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -66,10 +67,7 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str
 
     def batch(df: DataFrame, _: int) -> None:
         spark = df.sparkSession
-        try:
-            known = spark.read.parquet(path)
-        except Exception:  # the first batch
-            known = df.limit(0)
+        known = spark.read.parquet(path) if exists(spark, path) else df.limit(0)
         insert_ignore(known, df, keys, order).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
