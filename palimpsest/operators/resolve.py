@@ -92,6 +92,46 @@ def extract_identifiers(records: DataFrame, record: str, own: str, payload: str,
     return rows.groupBy(record, "type", "value").agg(F.min_by(F.struct("field", "confidence"), "__at").alias("s")).select(record, "type", "value", "s.*")
 
 
+#: Where feeds keep identifiers in their payloads, in order; confidence; and the type, where it is sure.
+#: Several paths of a step are alternatives; ``keys`` name the identifier inside objects of a list.
+PAYLOAD_STEPS = (
+    ("who_aggregator", ("$._aggregator._who_source_trial_id",), 1.0, None, ()),
+    ("secondary_id", ("$.secondary_ids",), 0.95, None, ("id",)),
+    ("ctis_number", ("$._detail.ctNumber", "$._search.ctNumber"), 1.0, "CTIS", ()),
+    ("ctis_secondary_id", ("$._detail.authorizedApplication.authorizedPartI.trialDetails.clinicalTrialIdentifiers.secondaryIdentifyingNumbers.additionalRegistries",), 0.95, None, ("registryNumber", "number")),
+    ("secondary_id", ("$.protocolSection.identificationModule.secondaryIdInfos", "$.identificationModule.secondaryIdInfos"), 0.95, None, ("secondaryId", "id")),
+    ("lead_sponsor", ("$.protocolSection.sponsorCollaboratorsModule.leadSponsor.name", "$.sponsorCollaboratorsModule.leadSponsor.name"), 0.7, "ProtocolNumber", ()),
+)
+_IDENTIFIERS = "array<struct<type:string,value:string,field:string,confidence:double>>"
+
+
+def _payload_step(payload: Column, field: str, paths: Sequence[str], confidence: float, kind: str | None, keys: Sequence[str]) -> Column:
+    """Identifiers of one step; a list gives one per item, a plain value one."""
+    found = F.coalesce(*[F.get_json_object(payload, p) for p in paths])
+    items = F.coalesce(F.from_json(found, "array<string>"), F.array(found)) if keys else F.array(found)
+    named = F.transform(items, lambda x: F.trim(F.coalesce(*[F.get_json_object(x, f"$.{k}") for k in keys], x)))
+    kept = F.filter(named, lambda v: F.coalesce(v != "", F.lit(False)))
+    of = lambda v: F.struct((F.lit(kind) if kind else identifier_type(v)).alias("type"), normal_id(v).alias("value"), F.lit(field).alias("field"), F.lit(confidence).alias("confidence"))
+    return F.coalesce(F.transform(kept, of), F.array().cast(_IDENTIFIERS))
+
+
+def record_identifiers(records: DataFrame, record: str, own: str, payload: str) -> DataFrame:
+    """``(record, type, value, field, confidence, nth)``: all identifiers of a record, in order of extraction.
+
+    The own id, the payload's steps, known formats anywhere in the payload, and a loose protocol code
+    if no step gave one.  Of one type and value the first counts.
+    """
+    none = F.array().cast(_IDENTIFIERS)
+    mine = F.array(F.struct(identifier_type(F.col(own)).alias("type"), normal_id(F.col(own)).alias("value"), F.lit("own").alias("field"), F.lit(CONFIDENCE["own"]).alias("confidence")))
+    steps = F.concat(F.when(F.trim(own) != "", mine).otherwise(none), *[_payload_step(F.col(payload), *step) for step in PAYLOAD_STEPS], _found(F.col(payload), IDENTIFIERS, "raw_payload", CONFIDENCE["text"]))
+    codes = F.filter(F.split(F.coalesce(F.col(payload), F.lit("")), CODE_ENDS), lambda w: w.rlike(CODE))
+    loose = F.transform(F.slice(codes, 1, 1), _identifier("ProtocolNumber", "raw_payload", CONFIDENCE["protocol"]))
+    found = records.select(record, steps.alias("__ids"), loose.alias("__loose")).select(record, F.when(F.exists("__ids", lambda x: x["type"] == "ProtocolNumber"), F.col("__ids")).otherwise(F.concat("__ids", "__loose")).alias("__ids"))
+    rows = found.select(record, F.posexplode("__ids").alias("nth", "x")).select(record, "nth", "x.*")
+    first = rows.groupBy(record, "type", "value").agg(F.min("nth").alias("nth"), F.min_by(F.struct("field", "confidence"), "nth").alias("s"))
+    return first.select(record, "type", "value", "s.field", "s.confidence", "nth")
+
+
 def identifier_pairs(identifiers: DataFrame, record: str) -> DataFrame:
     """``(a, b, confidence)``: each record of an identifier with the identifier's smallest record.
 
