@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from palimpsest.llm import decontaminate, packing, quality_nbsvm
 
-GOOD = ["the committee of river towns met in autumn %d and wrote a plain report about bridges, roads and the price of bread in the valley" % i for i in range(40)]
+OPENING = "the committee of river towns met in autumn and wrote a plain report about bridges, roads and the price of bread in the valley "
+GOOD = [OPENING + " ".join(f"town{i}n{k}" for k in range(40)) for i in range(40)]
 BAD = ["!!! $$$ BUY ### %d %% && WIN $$$ ??? now now now now now" % i for i in range(40)]
 ITEM = "one two three four five six seven eight nine ten eleven"
 SPECIAL = [
     (200, GOOD[3] + " card 4111 1111 1111 1111"),
-    (201, GOOD[4].replace("bread", "grain")),  # a near copy of 4
+    (201, GOOD[4].rsplit(" ", 1)[0] + " grain"),  # a near copy of 4
     (202, GOOD[5]),  # an exact copy of 5
     (202, GOOD[5]),  # a repeated row
     (203, GOOD[6] + " " + ITEM),
@@ -45,7 +46,7 @@ def test_stage_keeps_columns_it_does_not_know(spark, sf, name):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     odd = docs.drop("n_chars").withColumns({"score": F.lit(-7.0), "n_replaced": F.lit(-5), "kinds": F.lit("mine"), "label": F.lit("l"), "node": F.lit(1), "Kept": F.lit("k"), "words": F.lit(0)})
     out = stage(spark, odd, sf)
-    assert out.columns == odd.columns and out.schema == odd.schema
+    assert out.dtypes == odd.dtypes
     got = out.collect()
     assert got and all((r["score"], r["n_replaced"], r["kinds"], r["node"], r["Kept"]) == (-7.0, -5, "mine", 1, "k") for r in got)
     plain = stage(spark, docs, sf)
