@@ -67,3 +67,52 @@ def test_stream_equals_batch(spark, rows, tmp_path):
     q = w.writeStream.format("memory").queryName("w_out").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("w_out").count() == 5
+
+
+def test_registry_mappings(spark, tmp_path):
+    import json
+
+    from palimpsest.sources import mappings
+
+    status = {"2": "Registered", "7": None, "Ongoing, recruiting": "Recruiting", "Ongoing, recruitment ended": "Completed", "Not yet recruiting": "Recruiting", "Authorised": "Registered", "Halted": "Halted", "": None}
+    df = spark.createDataFrame([(k,) for k in status], "s string")
+    assert {r[0]: r[1] for r in df.select("s", mappings.ctis_status(F.col("s"))).collect()} == status
+    detail = {"ctNumber": "2026-525681-22-00", "authorizedApplication": {"authorizedPartI": {"products": [{"productName": "P", "productDictionaryInfo": {"activeSubstanceName": "S"}}], "sponsors": [{"organisation": {"name": "Org"}}], "trialDetails": {"clinicalTrialIdentifiers": {"publicTitle": "T", "fullTitle": "Full"}, "trialInformation": {"medicalCondition": {"partIMedicalConditions": [{"medicalCondition": "m"}]}, "trialDuration": {"estimatedRecruitmentStartDate": "2026-03-01"}}}}, "authorizedPartsII": [{"mscInfo": {"countryName": "France"}}, {"mscInfo": {"countryName": "France"}}]}}
+    r = mappings.normalise_ctis(spark.createDataFrame([(json.dumps({"_search": {"ctStatus": 2, "totalNumberEnrolled": "1,200"}, "_detail": detail}),)], "raw_payload string")).first()
+    assert (r["source_trial_id"], r["title"], r["status"], r["enrollment"], r["start_date"], r["countries"], r["interventions"], r["conditions"], r["sponsors"]) == ("2026-525681-22-00", "T", "Registered", 1200, "2026-03-01", '["France"]', '["P","S"]', '["m"]', '["Org"]')
+    (tmp_path / "i.xml").write_text('<all><trial publicIdentifierCanonical="71771495" publicIdentifierDateAssigned="2024-01-05"><trialDescription><title>T</title></trialDescription><trialDesign><primaryStudyDesign>Interventional</primaryStudyDesign><overallEndDate>2030-01-01</overallEndDate></trialDesign><participants><recruitmentStart>2024-02-01</recruitmentStart><targetEnrolment>40</targetEnrolment><recruitmentCountries><country>UK</country><country>France</country></recruitmentCountries></participants><interventions><intervention><drugNames>d</drugNames><phase>Phase II</phase></intervention></interventions></trial></all>')
+    x = mappings.normalise_isrctn(readers.read_xml(spark, str(tmp_path / "i.xml"), "trial", mappings.ISRCTN_SCHEMA), "2024-06-01").first()
+    assert (x["source_trial_id"], x["status"], x["phase"], x["enrollment"], x["registration_date"], x["countries"], x["interventions"]) == ("ISRCTN71771495", "Recruiting", "Phase II", 40, "2024-01-05", '["UK","France"]', '["d"]')
+    (tmp_path / "e.txt").write_text("EudraCT Number: 2019-000001-12\nFull Title: A: b\nSponsor Name: S\nStart Date: 2019-05-06\nTrial protocol: DE (Ongoing) FR (Completed)\n\nEudraCT Number: none\n")
+    e = mappings.normalise_euctr(readers.read_text_blocks(spark, str(tmp_path / "e.txt"), "EudraCT Number")).collect()
+    assert [(y["source_trial_id"], y["title"], y["status"], y["start_date"], y["countries"]) for y in e] == [("2019-000001-12", "A: b", "Active, not recruiting", "2019-05-06", '["DE","FR"]')]
+
+
+def test_small_pieces(spark, rows, tmp_path):
+    from palimpsest.operators import glossary, intel, writes
+
+    one = spark.createDataFrame([("100", "150", "2024-01-01", "2024-01-31")], "a string, b string, c string, d string")
+    deltas, days = changes.value_deltas(F.col("a"), F.col("b")), changes.value_deltas(F.col("c"), F.col("d"))
+    assert tuple(one.select(deltas["delta"], deltas["percent"], days["days"], days["delta"]).first()) == (50.0, 50.0, 30, None)
+    added, removed = intel.list_diff(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("z")))
+    assert tuple(one.select(added, removed).first()) == (["z"], ["x"])
+    assert intel.briefing({"changes": one, "none": one.limit(0)}) == ["changes: 1"]
+    titles = spark.createDataFrame([(1, 10, "心肌炎"), (1, 11, "myocarditis"), (2, 12, "alone")], "e long, r long, t string")
+    assert rows(glossary.sibling_pairs(titles, "e", "r", "t")) == [("心肌炎", "myocarditis", 11)]
+    ids = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-03")], "id long, d string")
+    assert rows(writes.without_phantoms(ids, ids.filter("id = 2"), "id").select("id")) == [(1,), (3,)]
+    assert rows(readers.since_day(ids, "d", "2024-01-02").select("id")) == [(2,), (3,)]
+    page = spark.createDataFrame([("about 1,234 records",), ("共 56 条",), ("none",)], "h string")
+    assert [r[0] for r in page.select(readers.site_total(F.col("h"))).collect()] == [1234, 56, None]
+    assert sinks.keyed_details(ids.limit(1), ["id", "d"]).first()["key"] == "1:2024-01-01"
+    sinks.json_export(ids, str(tmp_path / "j"), "d")
+    assert spark.read.json(str(tmp_path / "j")).count() == 3
+    sinks.archive(ids, str(tmp_path / "a"), "d"), sinks.archive(ids.limit(1), str(tmp_path / "a"), "d")
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 4
+    many = spark.range(60).select(F.concat(F.lit("g"), F.col("id")).alias("g"), F.col("id").alias("n"))
+    assert len(sinks.digest_text(many, "g", "n", "T").split("\n")) == 61
+    times = spark.createDataFrame([("a", "2024-01-01 00:00:00", "h"), ("a", "2024-01-01 00:20:00", "h"), ("a", "2024-01-01 03:00:00", "i")], "k string, t string, x string").withColumn("t", F.col("t").cast("timestamp"))
+    assert rows(streams.session_counts(times, "t", ["k"], "1 hour").select("n")) == [(1,), (2,)]
+    sent = []
+    first = sinks.deliver(ids, str(tmp_path / "ledger"), ["id"], lambda df: sent.append(df.count()))
+    assert (first, sinks.deliver(ids, str(tmp_path / "ledger"), ["id"], sent.append), sent) == (3, 0, [3])
