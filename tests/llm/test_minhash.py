@@ -63,21 +63,19 @@ def test_equals_brute_force(spark, block, monkeypatch):
 
 
 def test_family_of_five_thousand(spark, monkeypatch):
-    """Near copies of one text that mostly differ from each other too, and a few of a second text that shares keys."""
+    """Near copies of one text, all of them linked, and a second group that shares keys but no link."""
     monkeypatch.setattr(minhash, "FAMILY_BLOCK", 64)
     r = random.Random(8)
-    base = ["w%d" % i for i in range(240)]
+    base = ["w%d" % i for i in range(160)]
     docs = []
     for i in range(5000):
         copy = list(base)
-        for _ in range(2):
-            copy[r.randrange(240)] = "x%d_%d" % (i, r.randrange(9))
+        copy[r.randrange(160)] = "x%d" % i
         docs.append(" ".join(copy))
-    cousin = base[:185] + ["c%d" % i for i in range(55)]
-    for i in range(30):
-        docs.append(" ".join(cousin[:-1] + [f"last{i}"]))
+    cousin = base[:124] + ["c%d" % i for i in range(36)]
+    docs += [" ".join(cousin[:-1] + [f"last{i}"]) for i in range(30)]
     got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(8)).collect()
-    component = {r["doc_id"]: r["component_id"] for r in got}
+    component = {x["doc_id"]: x["component_id"] for x in got}
     assert {component[i] for i in range(5000)} == {0} and {component[i] for i in range(5000, 5030)} == {5000}
 
 
