@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import audit
@@ -43,13 +43,34 @@ class Repeated:
 
 @dataclass(frozen=True)
 class Broken:
-    """Rows for which a condition holds."""
+    """Rows that a rule calls bad; a rule that is null calls nothing bad."""
 
     table: str
-    condition: str
+    rule: Callable[[], Column]
 
     def bad(self, tables: Mapping[str, DataFrame]) -> DataFrame:
-        return tables[self.table].filter(self.condition)
+        return tables[self.table].filter(self.rule())
+
+
+#: States of runs that have ended, and what a notification may be.
+ENDED = ("succeeded", "failed", "interrupted", "partially_succeeded")
+CHANNELS, STATES = ("in_app", "email"), ("pending", "sending", "delivered", "failed")
+
+
+def _impossible_run() -> Column:
+    """A run has an end exactly if it is over, and a failed one moves no cursor."""
+    status, over = F.col("status"), F.col("finished_at").isNotNull()
+    moved = (status == "failed") & F.col("cursor_after").isNotNull()
+    return F.when(status == "running", over).when(status.isin(*ENDED), ~over | moved)
+
+
+def _unknown_notification() -> Column:
+    return ~(F.col("channel").isin(*CHANNELS) & F.col("status").isin(*STATES))
+
+
+def _read_mail() -> Column:
+    """Only what is shown in the application can be marked as read."""
+    return F.col("read_at").isNotNull() & (F.col("channel") == "email")
 
 
 @dataclass(frozen=True)
@@ -81,9 +102,9 @@ CHECKS = (
     ("error", "DUPLICATE_INGESTION_OCCURRENCE", Repeated("ingestion_runs", ("source", "scheduled_for"), "scheduled_for is not null")),
     ("error", "DUPLICATE_NOTIFICATION", Repeated("notifications", ("monitor_event_id", "channel"))),
     ("error", "MULTIPLE_RUNNING_INGESTIONS", Repeated("ingestion_runs", ("source",), "status = 'running'")),
-    ("error", "IMPOSSIBLE_INGESTION_STATE", Broken("ingestion_runs", "(status = 'running' and finished_at is not null) or (status in ('succeeded', 'failed', 'interrupted', 'partially_succeeded') and finished_at is null) or (status = 'failed' and cursor_after is not null)")),
-    ("error", "INVALID_NOTIFICATION_STATE", Broken("notifications", "channel not in ('in_app', 'email') or status not in ('pending', 'sending', 'delivered', 'failed')")),
-    ("error", "INVALID_NOTIFICATION_READ_STATE", Broken("notifications", "channel = 'email' and read_at is not null")),
+    ("error", "IMPOSSIBLE_INGESTION_STATE", Broken("ingestion_runs", _impossible_run)),
+    ("error", "INVALID_NOTIFICATION_STATE", Broken("notifications", _unknown_notification)),
+    ("error", "INVALID_NOTIFICATION_READ_STATE", Broken("notifications", _read_mail)),
 )
 #: Claims that may grow stale: code, table, column of the start, and which rows are claimed.
 CLAIMS = (
