@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -141,14 +142,15 @@ def best_pattern(price: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(best[units]), pattern
 
 
-def first_patterns(demand: np.ndarray, power: float = 1.05) -> tuple[np.ndarray, np.ndarray]:
+def first_patterns(demand: np.ndarray, power: float = 1.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A basis to start from: each pattern is used until one more bin has no piece left.
 
     Prices a little above proportion put large pieces first and small ones where they fill.
+    Also returned: the bin that each pattern empties.  Later patterns do not hold it.
     """
     units, left = len(demand), demand.astype(float)
     price = (np.arange(1, units + 1) / units) ** power
-    patterns, amount = [], []
+    patterns, amount, emptied = [], [], []
     while (left > 0).any():
         pattern = best_pattern(np.where(left > 0, price, 0.0), units)[1]
         has = np.flatnonzero(pattern)
@@ -156,26 +158,43 @@ def first_patterns(demand: np.ndarray, power: float = 1.05) -> tuple[np.ndarray,
         times = left[has[out]] / pattern[has[out]]
         left[has] = np.maximum(left[has] - times * pattern[has], 1e-9)
         left[has[out]] = 0.0
-        patterns.append(pattern), amount.append(times)
-    return np.array(patterns), np.array(amount)
+        patterns.append(pattern), amount.append(times), emptied.append(has[out])
+    return np.array(patterns), np.array(amount), np.array(emptied)
+
+
+def triangular_inverse(patterns: np.ndarray, emptied: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Inverse of ``patterns[:, used].T`` by forward substitution along the emptied bins.
+
+    Plain elementwise sums: the process of a Spark driver has forked, after which factorisations
+    of a threaded linear algebra library may wait for threads that are gone.
+    """
+    n = len(patterns)
+    lower, solved = patterns[:, emptied].T.astype(float), np.eye(n)
+    for i in range(n):
+        solved[i] -= (lower[i, :i, None] * solved[:i]).sum(axis=0)
+        solved[i] /= lower[i, i]
+    out = np.empty((n, n))
+    out[:, np.searchsorted(used, emptied)] = solved
+    return out
 
 
 def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows) and how often the linear program uses each.
 
     ``demand[i]``: pieces of ``i + 1`` units; a sequence holds ``len(demand)`` units.  It ends at
-    the optimum, where no pattern prices above 1; ``rounds`` only guards against cycling.
+    the optimum, where no pattern prices above 1; ``rounds`` guards against cycling, with a warning:
+    the plan is whole then, but may need more sequences.
     """
     units = len(demand)
     used = np.flatnonzero(demand)
     if not len(used):
         return np.zeros((0, units), np.int64), np.zeros(0)
-    patterns, amount = first_patterns(demand)
-    inverse = np.linalg.inv(patterns[:, used].T.astype(float))
+    patterns, amount, emptied = first_patterns(demand)
+    inverse = triangular_inverse(patterns, emptied, used)
     # Prices that fill a sequence by size alone are feasible and bound the optimum from below.
     center = np.zeros(units)
     center[used] = (used + 1) / units
-    bound = float(center @ demand)
+    bound = float((center * demand).sum())
     for _ in range(rounds):
         price = np.zeros(units)
         price[used] = np.maximum(0.0, inverse.sum(axis=0))
@@ -185,14 +204,16 @@ def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray,
         for weight in (0.9, 0.0):
             mixed = weight * center + (1 - weight) * price
             value, pattern = best_pattern(mixed, units)
-            if value > 0 and mixed @ demand / value > bound:
-                bound, center = float(mixed @ demand / value), mixed / value
+            worth = float((mixed * demand).sum())
+            if value > 0 and worth / value > bound:
+                bound, center = worth / value, mixed / value
             pattern[price <= 0] = 0  # a smaller pattern is one, too
-            if price @ pattern > 1 + 1e-7:
+            if (price * pattern).sum() > 1 + 1e-7:
                 break
         else:
             break
-        move = inverse @ pattern[used]
+        held = np.flatnonzero(pattern[used])
+        move = (inverse[:, held] * pattern[used][held]).sum(axis=1)
         ratio = np.where(move > 1e-9, amount / np.where(move > 1e-9, move, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
@@ -204,6 +225,8 @@ def solve_patterns(demand: np.ndarray, rounds: int = 4000) -> tuple[np.ndarray,
         row = inverse[out] / move[out]
         inverse -= np.outer(move, row)
         inverse[out] = row
+    else:
+        warnings.warn(f"the linear program was stopped after {rounds} rounds", stacklevel=2)
     return patterns, amount
 
 

@@ -3,6 +3,8 @@
 import functools
 import hashlib
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -303,6 +305,48 @@ def test_cutting_stock_is_tight():
     assert value == pytest.approx(0.6) and pattern.tolist() == [0, 2, 0, 0]
 
 
+ALL_BINS = """
+import numpy as np
+from pyspark.sql import SparkSession
+from palimpsest.llm import packing
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert spark.range(10).count() == 10
+demand = np.arange(1000, 1256)
+plan = packing.plan_sequences(demand)
+bins = np.repeat(np.arange(256), demand)
+load = np.bincount(plan.place(bins, np.concatenate([np.arange(n) for n in demand])), bins + 1, plan.sequences)
+print(load.max(), plan.sequences - -(-int((bins + 1).sum()) // 256))
+"""
+
+
+def test_all_bins_in_the_process_of_a_session():
+    """With every bin in use, beside a running session, within a time limit."""
+    done = subprocess.run([sys.executable, "-c", ALL_BINS], capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-2000:]
+    most, above = map(int, done.stdout.split()[-2:])
+    assert most <= 256 and above <= 256
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_first_basis_is_inverted_without_a_factorisation(seed):
+    r = np.random.default_rng(seed)
+    demand = r.integers(0, 50, 64) * (r.random(64) < 0.8)
+    used = np.flatnonzero(demand)
+    patterns, _, emptied = packing.first_patterns(demand)
+    product = packing.triangular_inverse(patterns, emptied, used) @ patterns[:, used].T
+    assert np.abs(product - np.eye(len(used))).max() < 1e-8
+
+
+def test_ids_of_a_whole_table():
+    """The ids of every text of a table are the tokenizer's."""
+    import pyarrow.parquet as pq
+
+    encoder = packing.Encoder(packing.tokenizer_files())
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    plain = tokenizer().encode_batch([t or "" for t in texts], add_special_tokens=False)
+    assert all(np.frombuffer(encoder.encode(t), "<u4").tolist() == p.ids for t, p in zip(texts, plain))
+
+
 def test_encoder_on_odd_white_space():
     import random
 
