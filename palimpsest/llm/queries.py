@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import CHAT_SQL, chat_texts
 from .common import table
 from .decontaminate import CONTAMINATION_SQL, contamination
+from .filter_audit import FILTER_SQL, filter_interactions
 from .licenses import license_scan
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import pseudonyms
 from .quality_nbsvm import quality
 from .quality_rules import quality_rules
+from .source_divergence import DIVERGENCE_SQL, source_divergence
 from .token_counts import token_counts
 from .toxicity import toxicity
 
@@ -59,9 +61,17 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), least_docs=10, top=10)
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": CHAT_SQL, "op10_decontaminate": CONTAMINATION_SQL}
+    return {"op6_chat": CHAT_SQL, "op10_decontaminate": CONTAMINATION_SQL, "op11_source_divergence": DIVERGENCE_SQL, "op12_filter_interactions": FILTER_SQL}

@@ -311,11 +311,11 @@ from pyspark.sql import SparkSession
 from palimpsest.llm import packing
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 assert spark.range(10).count() == 10
-demand = np.arange(1000, 1256)
+demand = np.arange(1255, 999, -1)
 plan = packing.plan_sequences(demand)
 bins = np.repeat(np.arange(256), demand)
 load = np.bincount(plan.place(bins, np.concatenate([np.arange(n) for n in demand])), bins + 1, plan.sequences)
-print(load.max(), plan.sequences - -(-int((bins + 1).sum()) // 256))
+print(int(load.max()), plan.sequences - -(-int((bins + 1).sum()) // 256))
 """
 
 
@@ -324,7 +324,7 @@ def test_all_bins_in_the_process_of_a_session():
     done = subprocess.run([sys.executable, "-c", ALL_BINS], capture_output=True, text=True, timeout=180)
     assert done.returncode == 0, done.stderr[-2000:]
     most, above = map(int, done.stdout.split()[-2:])
-    assert most <= 256 and above <= 256
+    assert most <= 256 and 0 <= above <= 8
 
 
 @pytest.mark.parametrize("seed", range(4))
