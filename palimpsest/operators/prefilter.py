@@ -15,6 +15,13 @@ BITS = 32_768  # of one aggregated bitmap
 MAX_BUCKETS = 2_048
 
 
+def free_name(name: str, taken: set[str]) -> str:
+    """``name``, with underscores before it until it is not among ``taken`` (in lower case)."""
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class KeyBitmap:
     """The bitmap of a table of keys, given as a hash column."""
 
@@ -24,18 +31,28 @@ class KeyBitmap:
         while self.buckets < MAX_BUCKETS and self.buckets * BITS < n * per_key:
             self.buckets *= 2
         bit = F.pmod(hashed, F.lit(self.buckets * BITS))
-        self.table = keys.select(F.floor(bit / BITS).cast("int").alias("__bucket"), (bit % BITS).alias("__bit")).groupBy("__bucket").agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
+        self.table = keys.select(F.floor(bit / BITS).cast("int").alias("bucket"), (bit % BITS).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+
+    def to_bytes(self) -> bytes:
+        """The whole bitmap, ``buckets * BITS / 8`` bytes: bit ``pmod(hashed, 8 * length)``, lowest first."""
+        blocks = {r["bucket"]: bytes(r["bitmap"]) for r in self.table.collect()}  # MAX_BUCKETS rows at most
+        return b"".join(blocks.get(k, bytes(BITS // 8)) for k in range(self.buckets))
 
     def mark(self, df: DataFrame, hashed: Column, name: str = "maybe") -> DataFrame:
-        """``df`` with a boolean: whether the row's key may be among the keys."""
-        bit = F.pmod(hashed, F.lit(self.buckets * BITS))
-        byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(floor((__place % 32768) / 8) as int) + 1, 1)")), 16, 10).cast("int")
-        hit = F.expr("shiftright(__byte, cast(__place % 8 as int)) & 1") == 1
+        """``df`` with a boolean column ``name``: whether the row's key may be among the keys.
+
+        Own columns get names that ``df`` does not use.
+        """
+        taken = {c.lower() for c in df.columns} | {name.lower()}
+        bucket, bitmap, place = (free_name(c, taken) for c in ("bucket", "bitmap", "place"))
+        small = self.table.withColumnsRenamed({"bucket": bucket, "bitmap": bitmap})
+        spot, within = F.col(place), F.col(place) % BITS
+        byte = F.coalesce(F.conv(F.hex(F.substring(bitmap, F.floor(within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
+        hit = F.call_function("shiftright", byte, (spot % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
         return (
-            df.withColumn("__place", bit)
-            .withColumn("__bucket", F.floor(F.col("__place") / BITS).cast("int"))
-            .join(F.broadcast(self.table), "__bucket", "left")
-            .withColumn("__byte", F.coalesce(byte, F.lit(0)))
+            df.withColumn(place, F.pmod(hashed, F.lit(self.buckets * BITS)))
+            .withColumn(bucket, F.floor(spot / BITS).cast("int"))
+            .join(F.broadcast(small), bucket, "left")
             .withColumn(name, hit)
-            .drop("__place", "__bucket", "__bitmap", "__byte")
+            .drop(place, bucket, bitmap)
         )
