@@ -10,19 +10,9 @@ low bits of minima of one hash family.
   pigeonhole principle, on some chunk up to ``ERRORS`` symbols, so the keys of all
   ways to leave out one symbol of a chunk meet.  Pairs beyond that distance meet
   with the probability of the formula in ``miss_probability``.
-* Representatives.  Each row of a key is compared with the key's smallest row, on the fine
-  symbols, with a bound more than six standard deviations beyond what similarity 0.85
-  gives.  Of the representatives that pass, its smallest and its nearest are compared with
-  it on full sets.  A group of ``k`` near copies costs about ``k`` such comparisons, and
-  its members form one component.
-* The rest.  Keys whose rows are in one component by now are done.  In the others, rows of
-  different components are compared on the fine symbols; those that are close form
-  families, and within a family the full sets of rows of different components are
-  intersected.  What is emitted spans all true links.
-
-Equal sets are collapsed first.  In the last step a key's or family's largest component is
-cut into blocks that are sent once, and the few other rows are sent to each of them;
-``KEY_BLOCK``, ``FAMILY_BLOCK`` and ``FAMILY_SHINGLES`` size the tasks and change no result.
+
+Fine symbols are compared with a bound more than six standard deviations beyond what
+similarity 0.85 gives.  How keys become classes is told in ``set_links``.
 
 Defined results.  Null, empty or blank text: no shingles, linked with nothing,
 kept.  Rows that share a doc_id count as one document.  A null doc_id is linked
@@ -36,20 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
-from ..operators.components import connected_components
 from ..operators.prefilter import KeyBitmap
-from ..storage import discard, materialize
+from ..storage import materialize
 from .common import WordHashes, column_bytes, mix, odd_constants
+from .set_links import Rule, linked_classes, set_digest, shingle_set
 
 SHINGLE = 5
 CHUNKS, WIDTH, ERRORS, FINE = 8, 5, 1, 128
 INDEX = CHUNKS * WIDTH
-#: Rows of a block of a key, and rows and shingles of a block of a family.
-KEY_BLOCK, FAMILY_BLOCK, FAMILY_SHINGLES = 4096, 512, 1_000_000
-_POSITION = odd_constants(SHINGLE, 11)
 _FAMILY = odd_constants(max(INDEX, FINE), 29)
 _NIBBLES = np.uint64(0x1111111111111111)
 
@@ -66,21 +54,6 @@ def fine_bound(similarity: float, sigmas: float = 6.5) -> int:
     return math.ceil(FINE * p + sigmas * math.sqrt(FINE * p * (1 - p)))
 
 
-def shingle_set(text: bytes | None, words: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes."""
-    parts = text.lower().split() if text else []
-    if not parts:
-        return np.empty(0, np.uint64)
-    h = words.array(parts)
-    if len(h) < SHINGLE:
-        return mix((h * _POSITION[: len(h)]).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(h)))
-    n = len(h) - SHINGLE + 1
-    total = h[:n] * _POSITION[0]
-    for k in range(1, SHINGLE):
-        total += h[k : k + n] * _POSITION[k]
-    return np.unique(mix(total))
-
-
 def minima(members: np.ndarray) -> np.ndarray:
     """The minimum of every hash function over a set."""
     low = np.full(len(_FAMILY), np.iinfo(np.uint64).max, np.uint64)
@@ -117,44 +90,22 @@ def distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x & _NIBBLES).sum(axis=-1, dtype=np.int32)
 
 
-class Joined:
-    """Labels of rows that are connected so far, and the pairs that connected them."""
-
-    def __init__(self, label: np.ndarray):
-        self.label = label.copy()
-        self.pairs: list[tuple[int, int]] = []
-
-    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` that are not connected with ``i`` yet."""
-        return others[self.label[others] != self.label[i]]
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        labels, first = np.unique(self.label[others], return_index=True)
-        fresh = labels != self.label[i]
-        if fresh.any():
-            self.pairs += [(i, int(j)) for j in others[first[fresh]]]
-            self.label[np.isin(self.label, labels[fresh])] = self.label[i]
-
-
 SKETCH = "doc_id long, n_shingles long, set_hi long, set_lo long, fine binary, symbols binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
     words = WordHashes()
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hi", pa.int64()), ("set_lo", pa.int64()), ("fine", pa.binary()), ("symbols", pa.binary())])
     for batch in batches:
         sizes, his, los, fines, symbols = [], [], [], [], []
         for text in column_bytes(batch, "text"):
-            members = shingle_set(text, words)
+            members = shingle_set(text, words, SHINGLE)
             sizes.append(len(members))
             if not len(members):
                 his.append(None), los.append(None), fines.append(None), symbols.append(None)
                 continue
-            digest = xxhash.xxh3_128_digest(members.tobytes())
-            his.append(int.from_bytes(digest[:8], "little", signed=True))
-            los.append(int.from_bytes(digest[8:], "little", signed=True))
+            hi, lo = set_digest(members)
+            his.append(hi), los.append(lo)
             low = minima(members)
             fines.append(fine_symbols(low).tobytes())
             symbols.append((mix(low[:INDEX] + np.uint64(7)) >> np.uint64(48)).astype("<u2").tobytes())
@@ -170,183 +121,23 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), INDEX))], names=["key", "node"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
-    """Runs of equal ``by`` values of a sorted stream, at most one run held beyond a batch."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(c).to_numpy() for c in by]
-        edge = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            edge[1:] |= c[1:] != c[:-1]
-        cuts = np.flatnonzero(edge).tolist()
-        first = tuple(c[0] for c in columns)
-        if held and first != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        start = 0
-        for cut in cuts:
-            held.append(batch.slice(start, cut - start))
-            yield pa.Table.from_batches(held)
-            held, start = [], cut
-        held.append(batch.slice(start))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _packed(batches: Iterator[pa.RecordBatch | None], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Join many small batches."""
-    held, n = [], 0
-    for batch in batches:
-        if batch is None:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held, n = [], 0
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
-def _linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(one, other, assume_unique=True))
-    return 100 * both >= percent * (len(one) + len(other) - both)
-
-
-def _with_representative(percent: int):
-    """Links of the rows of a block with its first ones, which hold the representative's text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        held, leaders = None, []
-        for batch in batches:
-            pairs = []
-            keys, blocks, nodes, members = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "node", "member"))
-            for i, text in enumerate(column_bytes(batch, "text")):
-                if (keys[i], blocks[i]) != held:
-                    held, leaders = (keys[i], blocks[i]), []
-                found = shingle_set(text, words)
-                if not members[i]:
-                    leaders.append(found)
-                elif any(_linked(found, x, percent) for x in leaders):
-                    pairs.append((nodes[i], keys[i]))
-            yield _pair_batch(pairs)
-
-    return run
-
-
-def _pairs_to_compare(group: pa.Table):
-    """``(i, mask)``: each row outside the main component with the rows it is to be compared with."""
-    main, comp, block = (group.column(c).to_numpy() for c in ("main", "comp", "block"))
-    across, first = group.column("t")[0].as_py() == 1, group.column("p")[0].as_py() == 0
-    at = np.arange(len(main))
-    for i in np.flatnonzero(~main):
-        later = (at > i) & ~main
-        mask = later & (block != block[i]) if across else main | (later & first)
-        yield int(i), mask & (comp != comp[i])
-
-
-def _like_sizes(size: int, others: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes can be linked with one of ``size``."""
-    return 100 * np.minimum(size, others) >= percent * np.maximum(size, others)
-
-
-def _close_pairs(bound: int, percent: int):
-    """Spanning forest of the rows of different components of one key that are close on their fine symbols."""
-
-    def pairs(group: pa.Table) -> pa.RecordBatch:
-        node, size = group.column("node").to_numpy(), group.column("n").to_numpy()
-        fine = np.frombuffer(b"".join(group.column("fine").to_pylist()), np.uint64).reshape(len(node), -1)
-        joined = Joined(np.arange(len(node)))
-        for i, mask in _pairs_to_compare(group):
-            other = joined.apart(i, np.flatnonzero(mask & _like_sizes(size[i], size, percent)))
-            joined.join(i, other[distances(fine[i], fine[other]) <= bound])
-        return _pair_batch([(node[i], node[j]) for i, j in joined.pairs])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _packed(pairs(g) for g in _groups(batches, ["key", "t", "p", "q"]) if g.num_rows > 1)
-
-    return run
-
-
-def _confirmed(bound: int, percent: int):
-    """Links that join different components of one family, by full sets."""
-
-    def links(group: pa.Table, words: WordHashes) -> pa.RecordBatch:
-        node, comp = group.column("node").to_numpy(), group.column("comp").to_numpy()
-        texts = (t.as_buffer().to_pybytes() if t.is_valid else None for t in group.column("text").cast(pa.large_binary()))
-        sets = [shingle_set(t, words) for t in texts]
-        size = np.array([len(x) for x in sets])
-        at = np.concatenate([[0], np.cumsum(size)])
-        names, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        fine = np.stack([fine_symbols(minima(x)) for x in sets])
-        present = np.zeros(len(names), bool)
-        joined = Joined(np.unique(comp, return_inverse=True)[1])  # rows of one component are linked already
-        for i, mask in _pairs_to_compare(group):
-            other = joined.apart(i, np.flatnonzero(mask & _like_sizes(size[i], size, percent)))
-            other = other[distances(fine[i], fine[other]) <= bound]
-            present[ids[at[i] : at[i + 1]]] = True
-            while len(other):
-                some = other[:256]
-                spans = np.concatenate([ids[at[j] : at[j + 1]] for j in some])
-                both = np.add.reduceat(present[spans].astype(np.int64), np.concatenate([[0], np.cumsum(size[some])[:-1]]))
-                joined.join(i, some[100 * both >= percent * (size[i] + size[some] - both)])
-                other = joined.apart(i, other[256:])
-            present[ids[at[i] : at[i + 1]]] = False
-        return _pair_batch([(node[i], node[j]) for i, j in joined.pairs])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        yield from _packed(links(g, words) for g in _groups(batches, ["key", "t", "p", "q"]) if g.num_rows > 1)
-
-    return run
-
+class MinHashRule(Rule):
+    """Five-word shingles; signatures are the fine symbols, with a bound far beyond what linked sets show."""
 
-def _near(bound: int):
-    """Rows whose two fine signatures are within the bound, with their distance ``d``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, FINE // 16) for c in ("fine", "lfine"))
-            d = distances(one, other)
-            columns = [batch.column(c) for c in ("node", "leader", "n", "ln")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(d, pa.int32())], names=["node", "leader", "n", "ln", "d"]).filter(pa.array(d <= bound))
-
-    return run
-
-
-def _tasks(members: DataFrame, rows: int, weight: int) -> DataFrame:
-    """Rows ``(key, node, comp, weight, ...)`` of keys with several components, dealt to tasks ``(t, p, q)``.
-
-    ``main`` marks the rows of the key's largest component.  Its blocks ``p`` meet the blocks ``q``
-    of the other rows at ``t = 0``; two different blocks of other rows meet at ``t = 1``.
-    """
-    parts = members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("weight").alias("w"))
-    one = parts.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max(F.struct("c", "comp", "w")).alias("m"), F.sum("c").alias("c"), F.sum("w").alias("w")).filter("comps > 1")
-    blocks = lambda c, w: F.greatest(F.ceil(c / rows), F.ceil(w / weight), F.lit(1)).cast("int")
-    sized = one.select("key", "top", blocks(F.col("m.c"), F.col("m.w")).alias("ps"), blocks(F.col("c") - F.col("m.c"), F.col("w") - F.col("m.w")).alias("qs"))
-    placed = members.join(sized, "key").withColumn("main", F.col("comp") == F.col("top"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("main"), F.col("ps")).otherwise(F.col("qs"))).cast("int"))
-    task = lambda t, p, q: F.struct(F.lit(t).alias("t"), p.alias("p"), q.alias("q"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    mine = F.col("block")
-    with_others = F.transform(upto("qs"), lambda q: task(0, mine, q))
-    with_main = F.transform(upto("ps"), lambda p: task(0, p, mine))
-    among = F.transform(F.filter(upto("qs"), lambda o: o != mine), lambda o: task(1, F.least(mine, o), F.greatest(mine, o)))
-    dealt = F.when(F.col("main"), with_others).otherwise(F.concat(with_main, among))
-    return placed.withColumn("task", F.explode(dealt)).select(*members.columns, "main", "block", "task.*")
-
-
-def _in_tasks(dealt: DataFrame) -> DataFrame:
-    return dealt.repartition("key", "t", "p", "q").sortWithinPartitions("key", "t", "p", "q", "main", "node")
+    width = SHINGLE
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.most = fine_bound(percent / 100)
+
+    def signature(self, members: np.ndarray) -> np.ndarray:
+        return fine_symbols(minima(members))
+
+    def distances(self, one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        return distances(one, many)
+
+    def bound(self, n: np.ndarray, m: np.ndarray) -> int:
+        return self.most
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -356,96 +147,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     several rows have this doc_id.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bound = fine_bound(percent / 100)
-    spent: list[DataFrame] = []
-
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        spent.append(materialize(df, name))
-        return spent[-1]
-
-    def components(edges: DataFrame) -> DataFrame:
-        spent.append(connected_components(edges))
-        return spent[-1]
-
-    def texts_of(nodes: DataFrame) -> DataFrame:
-        """``(node, text)``: the bitmap spares the other texts the shuffle."""
-        wanted = KeyBitmap(nodes, F.xxhash64("node")).mark(docs, F.xxhash64("doc_id")).filter("maybe")
-        return wanted.select(F.col("doc_id").alias("node"), "text")
-
-    sketch = stored(docs.mapInArrow(_sketch, SKETCH), "sketch")
-    named = sketch.filter("doc_id is not null")
-    nodes = stored(named.filter("n_shingles > 0").groupBy("set_hi", "set_lo", F.col("n_shingles").alias("n"), "fine", "symbols").agg(F.min("doc_id").alias("node")), "nodes")
-    keys = materialize(nodes.select("node", "symbols").mapInArrow(_keys, "key long, node long"), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("leader")).filter("c > 1")
-    in_key = stored(keys.join(shared, "key").select("key", "node", "leader"), "in_key")
-    discard(keys)
-
-    signed = nodes.select("node", "n", "fine")
-    to_leader = in_key.filter("node <> leader").select("node", "leader").distinct()
-    compared = to_leader.join(signed, "node").join(signed.withColumnsRenamed({"node": "leader", "n": "ln", "fine": "lfine"}), "leader")
-    sized = compared.filter(100 * F.least("n", "ln") >= percent * F.greatest("n", "ln")).select("node", "leader", "n", "ln", "fine", "lfine")
-    near = sized.mapInArrow(_near(bound), "node long, leader long, n long, ln long, d int")
-    # a row asks its smallest and its nearest representative; the rest decides what these two leave open
-    best = near.groupBy("node").agg(F.max("n").alias("n"), F.min(F.struct("leader", "ln")).alias("low"), F.min(F.struct("d", "leader", "ln")).alias("nearest"))
-    two = F.array_distinct(F.array(F.struct("low.leader", "low.ln"), F.struct("nearest.leader", "nearest.ln")))
-    likely = stored(best.select("node", "n", F.explode(two).alias("x")).select("node", "n", "x.leader", "x.ln"), "likely")
-    blocks = likely.groupBy("leader").agg(F.max("ln").alias("ln"), F.greatest(F.ceil(F.count("*") / FAMILY_BLOCK), F.ceil(F.sum("n") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
-    members = likely.join(blocks.select("leader", "blocks"), "leader").select(F.col("leader").alias("key"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", F.lit(True).alias("member"))
-    leaders = blocks.select(F.col("leader").alias("key"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("leader").alias("node"), F.lit(False).alias("member"))
-    asked = stored(members.unionByName(leaders), "asked")
-    texts = asked.join(texts_of(asked.select("node").distinct()), "node")
-    starred = stored(texts.repartition("key", "block").sortWithinPartitions("key", "block", "member", "node").mapInArrow(_with_representative(percent), "a long, b long"), "starred")
-
-    # labels of rows that are surely connected: a row's representative, and that one's, four steps up at most
-    up = starred.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("top"))
-    for _ in range(2):
-        higher = up.select(F.col("node").alias("top"), F.col("top").alias("higher"))
-        up = stored(up.join(higher, "top", "left").select("node", F.coalesce("higher", "top").alias("top")), "labels")
-    component = up.withColumnRenamed("top", "component")
-    labelled = in_key.join(component, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.lit(0).alias("weight"))
-    dealt = _tasks(labelled, KEY_BLOCK, 1).join(signed, "node")
-    close = stored(_in_tasks(dealt).mapInArrow(_close_pairs(bound, percent), "a long, b long").distinct(), "close")
-    family = components(close)
-    weights = nodes.groupBy("node").agg(F.max("n").alias("weight"))
-    in_family = family.join(weights, "node").join(component.withColumnRenamed("component", "comp"), "node", "left").select(F.col("component").alias("key"), "node", F.coalesce("comp", "node").alias("comp"), "weight")
-    dealt = _tasks(in_family, FAMILY_BLOCK, FAMILY_SHINGLES).join(texts_of(family), "node")
-    links = stored(_in_tasks(dealt).mapInArrow(_confirmed(bound, percent), "a long, b long"), "links")
-
-    placed = stored(
-        named.select("doc_id", "n_shingles", "set_hi", "set_lo").join(nodes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")),
-        "placed",
-    )
-    several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("hi"), F.count("*").alias("rows")).filter("rows > 1")
-    twice = stored(several, "twice")
-    same = placed.join(twice.filter("b < hi").select("doc_id", "b"), "doc_id").select(F.col("node").alias("a"), "b")
-    # links between labels: what one label of a row leaves out, and the links of the rest
-    tops = component.select(F.col("component").alias("node")).distinct().join(component, "node").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    second = starred.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("b")).filter("low < b").select("a", "b")
-    label = lambda df, c: df.withColumnRenamed(c, "node").join(component, "node", "left").withColumn(c, F.coalesce("component", "node")).drop("node", "component")
-    between = label(label(second.unionByName(links).unionByName(same), "a"), "b").select("a", "b").unionByName(tops).filter("a <> b").distinct()
-    last = components(between).withColumnRenamed("node", "label").withColumnRenamed("component", "component_id")
-    out = (
-        placed.join(component, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "node").alias("label"))
-        .join(last, "label", "left")
-        .join(twice.select("doc_id", F.lit(True).alias("repeated")), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "label").alias("component_id"), F.coalesce("repeated", F.lit(False)).alias("repeated"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    )
-    nameless = sketch.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(False).alias("repeated"), F.lit(True).alias("kept"))
-    found = materialize(out.unionByName(nameless).select("doc_id", "n_shingles", "component_id", "kept", "repeated"), "near_duplicates")
-    for df in spent:
-        discard(df)
-    return found
+    sketch = materialize(docs.mapInArrow(_sketch, SKETCH), "sketch")
+    return linked_classes(docs, sketch, lambda nodes: nodes.mapInArrow(_keys, "key long, node long"), MinHashRule(percent), ("symbols",))
+
+
+def _orderable(row: Column, fields: list[StructField]) -> Column:
+    """Fields of a row as something that has an order; types without one are written as JSON."""
+    kinds = ("map<", "variant", "geometry", "geography")
+    return F.struct(*[F.to_json(F.struct(row[f.name])) if any(k in f.dataType.simpleString() for k in kinds) else row[f.name] for f in fields])
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, and one row of a repeated doc_id."""
+    """The rows of ``docs`` that ``near_duplicates`` keeps, and the smallest row of a repeated doc_id."""
     found = near_duplicates(docs, percent).filter("doc_id is not null and (repeated or not kept)")
-    special = materialize(found.select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")).distinct(), "special")
-    marked = KeyBitmap(special, F.xxhash64("__id")).mark(docs, F.xxhash64(F.col("doc_id").cast("long")), "__maybe")
-    looked = marked.filter("__maybe").join(special, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    others = [c for c in docs.columns if c != "doc_id"]
-    several = looked.filter("__kept").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("__row")).select("doc_id", "__row.*")
-    plain = marked.filter("not __maybe").select(*docs.columns).unionByName(looked.filter("__kept is null").select(*docs.columns))
-    return plain.unionByName(several.select(*docs.columns))
+    special = materialize(found.select(F.col("doc_id").alias("special_id"), F.col("kept").alias("special_kept")).distinct(), "special")
+    # the caller's columns travel in one, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("row"))
+    own = F.col("row")["doc_id"].cast("long")
+    marked = KeyBitmap(special, F.xxhash64("special_id")).mark(rows, F.xxhash64(own), "doubtful")
+    looked = marked.filter("doubtful").join(special, own == F.col("special_id"), "left")
+    several = looked.filter("special_kept").groupBy("special_id").agg(F.min_by("row", _orderable(F.col("row"), docs.schema.fields)).alias("row"))
+    plain = marked.filter("not doubtful").select("row").unionByName(looked.filter("special_kept is null").select("row"))
+    return plain.unionByName(several.select("row")).select("row.*")

@@ -12,6 +12,7 @@ from .decontaminate import CONTAMINATION_SQL, contamination
 from .filter_audit import FILTER_SQL, filter_interactions
 from .licenses import license_scan
 from .minhash import near_duplicates
+from .ngram_join import jaccard_classes
 from .packing import pack
 from .pii import pseudonyms
 from .quality_nbsvm import quality
@@ -69,6 +70,10 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

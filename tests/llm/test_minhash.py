@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import minhash
+from palimpsest.llm import minhash, set_links
 
 
 def brute(docs, percent=85):
@@ -53,8 +53,8 @@ def corpus(seed=1):
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_equals_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(minhash, "KEY_BLOCK", block)
-    monkeypatch.setattr(minhash, "FAMILY_BLOCK", block)
+    monkeypatch.setattr(set_links, "KEY_BLOCK", block)
+    monkeypatch.setattr(set_links, "FAMILY_BLOCK", block)
     docs = corpus()
     got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     want = brute(docs)
@@ -64,7 +64,7 @@ def test_equals_brute_force(spark, block, monkeypatch):
 
 def test_family_of_five_thousand(spark, monkeypatch):
     """Near copies of one text, all of them linked, and a second group that shares keys but no link."""
-    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 64)
+    monkeypatch.setattr(set_links, "FAMILY_BLOCK", 64)
     r = random.Random(8)
     base = ["w%d" % i for i in range(160)]
     docs = []
@@ -81,8 +81,8 @@ def test_family_of_five_thousand(spark, monkeypatch):
 
 def test_two_loose_families_in_blocks(spark, monkeypatch):
     """Chains whose ends are far apart: representatives miss some links, the rest must find them."""
-    monkeypatch.setattr(minhash, "KEY_BLOCK", 8)
-    monkeypatch.setattr(minhash, "FAMILY_BLOCK", 5)
+    monkeypatch.setattr(set_links, "KEY_BLOCK", 8)
+    monkeypatch.setattr(set_links, "FAMILY_BLOCK", 5)
     r = random.Random(9)
     docs = []
     for f in range(4):
