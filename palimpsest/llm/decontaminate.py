@@ -9,8 +9,11 @@ compared word by word.  All of it is DataFrame operations.
 Windows that repeat within an item are looked for once.  Per document and item only the
 offsets are collected; the item's words stand beside them once.
 
-Proximity: at an offset that two of an item's rarest terms share, a window of the item is
-near if each of its words stands within ``slop`` words of its place.
+Proximity: a window of an item is near if there is an offset at which each of its words stands
+within ``slop`` words of its place.  Two terms of such a window stand at offsets that differ by
+``2 * slop`` at most, so offsets are dealt to overlapping bands of twice that width: the two rarest
+terms of a near window meet in some band.  In a band every word of the item is looked up once, as
+bits of the offsets at which it stands, and windows are intersections of bits.
 
 The vocabulary and the anchors follow the benchmark's size.  They are stored, so
 Spark sees their size and broadcasts them only below its own threshold; beyond it
@@ -87,40 +90,65 @@ def rarest_terms(postings: DataFrame, items: DataFrame, windows: DataFrame, term
     )
 
 
-def alignments(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, item, shift)``: where the rarest terms of a window line up."""
+def shifts_of(postings: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, item, need, shift, lo, hi)``: offsets at which rare terms stand, with the first and last of them."""
     return (
         postings.join(anchors, "term")
         .select("doc_id", "text_hash", "item", "need", (F.col("pos") - F.col("at")).alias("shift"), "at")
         .groupBy("doc_id", "text_hash", "item", "need", "shift")
         .agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-        .filter((F.col("need") < 2) | (F.col("lo") < F.col("hi")))
-        .select("doc_id", "text_hash", "item", "shift")
     )
 
 
-def _places(words: Column, m: Column, fits) -> Column:
-    """Places in the document of the item's windows that fit at one of its offsets, once each."""
+_LINED = "need < 2 or lo < hi"
+
+
+def alignments(shifts: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, item, shift)``: where the rarest terms of a window line up."""
+    return shifts.filter(_LINED).select("doc_id", "text_hash", "item", "shift")
+
+
+def bands(shifts: DataFrame, slop: int) -> DataFrame:
+    """``(doc_id, text_hash, item, band)``: bands of offsets in which two rare terms stand.
+
+    Band ``b`` holds the offsets from ``(b - 1) * w`` to ``(b + 1) * w - 1``, ``w = 2 * slop + 1``; two
+    offsets that differ by less than ``w`` have a band in common.
+    """
+    own = F.floor(F.col("shift") / (2 * slop + 1)).cast("int")
+    dealt = shifts.withColumn("band", F.explode(F.array(own, own + 1)))
+    return dealt.groupBy("doc_id", "text_hash", "item", "need", "band").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(_LINED).select("doc_id", "text_hash", "item", "band")
+
+
+def _places(words: Column, m: Column) -> Column:
+    """Places in the document of the item's windows that occur at one of its offsets, once each."""
     none = F.array().cast("array<int>")
-    at = lambda shift: F.transform(F.filter(m["starts"], lambda s: (shift + s >= 0) & fits(words, m, shift, s)), lambda s: shift + s)
+    same = lambda shift, s: F.slice(words, shift + s + 1, m["width"]) == F.slice(m["item_words"], s + 1, m["width"])
+    at = lambda shift: F.transform(F.filter(m["starts"], lambda s: (shift + s >= 0) & same(shift, s)), lambda s: shift + s)
     return F.array_distinct(F.coalesce(F.flatten(F.transform(m["shifts"], at)), none))
 
 
-def _equal(words: Column, m: Column, shift: Column, start: Column) -> Column:
-    return F.slice(words, shift + start + 1, m["width"]) == F.slice(m["item_words"], start + 1, m["width"])
+def _near_in_band(words: Column, m: Column, band: Column, slop: int) -> Column:
+    """Whether a window is near at an offset of a band, or up to ``slop`` beside it."""
+    wide = 2 * slop + 1
+    places = 2 * wide + 4 * slop  # offsets at which a word of a near window may stand, 64 at most
+    base = (band - 1) * wide - 2 * slop
+    bit = lambda o: F.call_function("shiftleft", F.lit(1).cast("long"), o)
+    offsets = F.sequence(F.lit(0), F.lit(places - 1))
 
+    def standing(w: Column, j: Column) -> Column:
+        return F.aggregate(offsets, F.lit(0).cast("long"), lambda acc, o: F.when(F.get(words, base + j + o) == w, acc.bitwiseOR(bit(o))).otherwise(acc))
 
-def _near(slop: int):
-    def fits(words: Column, m: Column, shift: Column, start: Column) -> Column:
-        first = F.greatest(F.lit(0), shift + start - slop)
-        around = F.slice(words, first + 1, shift + start + m["width"] + slop - first)
-        # every word of the window, within `slop` words of its place
-        phrase = F.slice(m["item_words"], start + 1, m["width"])
-        own = lambda k: F.slice(words, F.greatest(F.lit(1), shift + start + k + 1 - slop), F.least(F.lit(2 * slop + 1), shift + start + k + 1 + slop))
-        each = F.forall(F.zip_with(phrase, F.sequence(F.lit(0), m["width"] - 1), lambda w, k: F.array_contains(own(k), w)), lambda x: x)
-        return (F.size(F.array_except(phrase, around)) == 0) & each
+    def spread(bits: Column) -> Column:
+        out = bits
+        for k in range(1, slop + 1):
+            out = out.bitwiseOR(F.shiftleft(bits, k)).bitwiseOR(F.shiftrightunsigned(bits, k))
+        return out
 
-    return fits
+    # offsets whose whole surroundings were looked at
+    inner = F.lit(sum(1 << o for o in range(slop, places - slop)))
+    every = F.transform(F.zip_with(m["item_words"], F.sequence(F.lit(0), F.size(m["item_words"]) - 1), standing), lambda bits: let(bits, spread))
+    whole = lambda near, s: F.aggregate(F.slice(near, s + 1, m["width"]), inner.cast("long"), lambda acc, x: acc.bitwiseAND(x)) != 0
+    return let(every, lambda near: F.exists(m["starts"], lambda s: whole(near, s)))
 
 
 def _covered(spans: Column) -> Column:
@@ -134,16 +162,20 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(F.array_distinct(spans)), start, step, lambda acc: acc["n"])
 
 
-def _marks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """``(d, h, marks)`` of every document with an offset: its items with their words, windows and offsets."""
+def _marks(documents: DataFrame, items: DataFrame, slop: int | None) -> DataFrame:
+    """``(d, h, marks)`` of every document with an offset: its items with their words, windows, offsets and bands."""
     postings = store_postings(documents, items)
     windows = materialize(distinct_windows(items), "windows")
     rare = rarest_terms(postings, items, windows)
     anchors = materialize(rare.select("item", F.least("width", F.lit(2)).alias("need"), F.explode("rare").alias("r")).select("item", "need", F.col("r.at").alias("at"), F.col("r.term").alias("term")).distinct(), "anchors")
     starts = windows.groupBy("item").agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    shifts = alignments(postings, anchors).groupBy("doc_id", "text_hash", "item").agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
+    every = shifts_of(postings, anchors)
+    spots = alignments(every).withColumn("band", F.lit(None).cast("int"))
+    if slop is not None:
+        spots = spots.unionByName(bands(every, slop).withColumn("shift", F.lit(None).cast("int")))
+    shifts = spots.groupBy("doc_id", "text_hash", "item").agg(F.array_sort(F.collect_list("shift")).alias("shifts"), F.array_sort(F.collect_list("band")).alias("bands"))
     found = shifts.join(items.join(starts, "item"), "item")
-    mark = F.struct("item_id", "shifts", "width", "item_words", "starts")
+    mark = F.struct("item_id", "shifts", "bands", "width", "item_words", "starts")
     out = materialize(found.groupBy("doc_id", "text_hash").agg(F.collect_list(mark).alias("marks")).withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), "alignments")
     for df in (postings, windows, anchors):
         discard(df)
@@ -162,10 +194,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     key = ["doc_id", *["text_hash"] * keyed]
     documents = _documents(docs)
     items = materialize(_items(benchmark, window), "items")
-    per_doc = _marks(documents, items)
+    if slop is not None and not 0 <= slop <= 7:
+        raise ValueError("slop must be from 0 to 7")
+    per_doc = _marks(documents, items, slop)
     discard(items)
-    exact = lambda m: _places(F.col("words"), m, _equal)
-    near = lambda m, found: F.lit(False) if slop is None else (F.size(found) > 0) | (F.size(_places(F.col("words"), m, _near(slop))) > 0)
+    exact = lambda m: _places(F.col("words"), m)
+    near = lambda m, found: F.lit(False) if slop is None else (F.size(found) > 0) | F.exists(m["bands"], lambda b: _near_in_band(F.col("words"), m, b, slop))
     checked = F.transform("marks", lambda m: let(exact(m), lambda e: F.struct(m["item_id"].alias("item_id"), m["width"].alias("width"), e.alias("exact"), near(m, e).alias("near"))))
     occurring = F.filter("checked", lambda m: F.size(m["exact"]) > 0)
     spans = F.flatten(F.transform(occurring, lambda m: F.transform(m["exact"], lambda p: F.struct(p.alias("first"), (p + m["width"]).alias("end")))))
@@ -186,12 +220,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no item window occurs."""
     hit = materialize(
-        contamination(docs, benchmark, window, keyed=True, slop=None).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated"
+        contamination(docs, benchmark, window, keyed=True, slop=None).filter("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "contaminated"
     )
-    text_hash, doc_id = F.xxhash64(F.col("text").cast("string")), F.col("doc_id").cast("long")
-    marked = KeyBitmap(hit, F.xxhash64("__hash", "__id")).mark(docs, F.xxhash64(text_hash, doc_id), "__maybe")
-    doubtful = marked.filter("__maybe").join(hit, (text_hash == F.col("__hash")) & doc_id.eqNullSafe(F.col("__id")), "left_anti")
-    return marked.filter("not __maybe").unionByName(doubtful).select(*docs.columns)
+    # the caller's columns travel in one, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("row"))
+    text_hash, doc_id = F.xxhash64(F.col("row")["text"].cast("string")), F.col("row")["doc_id"].cast("long")
+    marked = KeyBitmap(hit, F.xxhash64("hit_hash", "hit_id")).mark(rows, F.xxhash64(text_hash, doc_id), "doubtful")
+    doubtful = marked.filter("doubtful").join(hit, (text_hash == F.col("hit_hash")) & doc_id.eqNullSafe(F.col("hit_id")), "left_anti")
+    return marked.filter("not doubtful").select("row").unionByName(doubtful.select("row")).select("row.*")
 
 
 CONTAMINATION_SQL = r"""
@@ -211,24 +247,16 @@ WITH dw AS (
   SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, s + unnest(generate_series(0, k - 1)) AS spot FROM hits) GROUP BY doc_id
 ), ids AS (
   SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS listed FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
-), counts AS (
-  SELECT term, count(*) AS n FROM (SELECT unnest(w) AS term FROM dw) GROUP BY term
-), firsts AS (
-  SELECT item_id, k, min(s) AS s FROM (SELECT item_id, w, least(10, len(w)) AS k, unnest(generate_series(0, len(w) - least(10, len(w)))) AS s FROM iw WHERE len(w) > 0) GROUP BY item_id, k, w[s + 1:s + k]
-), spread AS (
-  SELECT item_id, k, s, spot, w[spot + 1] AS term FROM (SELECT f.item_id, f.k, f.s, iw.w, f.s + unnest(generate_series(0, f.k - 1)) AS spot FROM firsts f JOIN iw USING (item_id))
-), ranked AS (
-  SELECT item_id, k, spot, term, row_number() OVER o AS nth, first_value(coalesce(n, 0)) OVER o AS least_n FROM spread LEFT JOIN counts USING (term) WINDOW o AS (PARTITION BY item_id, s ORDER BY coalesce(n, 0), spot)
-), anchors AS (
-  SELECT DISTINCT item_id, k, spot, term FROM ranked WHERE nth <= 2 AND least_n > 0
 ), tokens AS (
   SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM dw
-), lined AS (
-  SELECT doc_id, item_id, pos - spot AS shift FROM tokens JOIN anchors USING (term) GROUP BY doc_id, item_id, k, pos - spot HAVING count(DISTINCT spot) >= least(2, k)
+), places AS (
+  SELECT item_id, least(10, len(w)) AS k, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS j FROM iw WHERE len(w) > 0
+), covered AS (
+  SELECT DISTINCT doc_id, item_id, k, j, pos - j + unnest(generate_series(-3, 3)) AS shift FROM tokens JOIN places USING (term)
+), runs AS (
+  SELECT doc_id, item_id, k, shift, j - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS run FROM covered
 ), near AS (
-  SELECT l.doc_id, count(DISTINCT l.item_id) AS n_near FROM lined l JOIN firsts f USING (item_id) JOIN dw USING (doc_id) JOIN iw USING (item_id)
-  WHERE shift + s >= 0 AND len(list_filter(generate_series(0, k - 1), lambda j: list_contains(dw.w[greatest(1, shift + s + j - 2):shift + s + j + 4], iw.w[s + j + 1]))) = k
-  GROUP BY l.doc_id
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT doc_id, item_id FROM runs GROUP BY doc_id, item_id, k, shift, run HAVING count(*) >= k) GROUP BY doc_id
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near

@@ -320,23 +320,23 @@ def pseudonyms(docs: DataFrame, key: str, text: str = "text", counts: tuple[str,
     take the place of columns of these names.
     """
     number, names = counts
-    kept = [c for c in docs.columns if c not in (*counts, "__found", "__fresh", "__between", "__kinds")]
-    body = F.col(text)
+    kept = [c for c in docs.columns if c not in counts]
+    # the caller's other columns travel in one, so none of their names can clash
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text], F.lit(0)).alias("row"), F.col(text).alias("body"))
+    body = F.col("body")
     some = F.coalesce(body.rlike("[0-9]{2}|[0-9]\\.[0-9]|[0-9][ \\-][0-9]|@|\""), F.lit(False))
     found = F.when(some, F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
-    fresh = F.transform("__found", lambda m: replacement(m, key))
+    fresh = F.transform("found", lambda m: replacement(m, key))
     between = F.when(some, F.transform(F.split(body, PATTERN, -1), lambda p: _numbers(p, key)))
-    written = F.array_join(F.zip_with("__between", F.zip_with("__found", "__fresh", lambda m, r: F.coalesce(r["value"], m)), lambda piece, m: F.concat(piece["text"], F.coalesce(m, F.lit("")))), "")
-    others = F.transform(F.filter("__fresh", lambda r: r["kind"].isNotNull()), lambda r: r["kind"])
-    hits = F.concat(others, F.flatten(F.transform("__between", lambda p: p["kinds"])))
+    written = F.array_join(F.zip_with("between", F.zip_with("found", "fresh", lambda m, r: F.coalesce(r["value"], m)), lambda piece, m: F.concat(piece["text"], F.coalesce(m, F.lit("")))), "")
+    others = F.transform(F.filter("fresh", lambda r: r["kind"].isNotNull()), lambda r: r["kind"])
+    hits = F.concat(others, F.flatten(F.transform("between", lambda p: p["kinds"])))
     return (
-        docs.select(*kept)
-        .withColumn("__found", found)
-        .withColumn("__fresh", fresh)
-        .withColumn("__between", between)
-        .withColumn("__kinds", F.coalesce(hits, F.array().cast(_NO_KINDS)))
-        .withColumn(number, F.size("__kinds").cast("long"))
-        .withColumn(names, F.array_join(F.array_sort(F.array_distinct("__kinds")), ","))
-        .withColumn(text, F.when(F.col(number) > 0, written).otherwise(body))
-        .select(*kept, number, names)
+        given.withColumn("found", found)
+        .withColumn("fresh", fresh)
+        .withColumn("between", between)
+        .withColumn("hits", F.coalesce(hits, F.array().cast(_NO_KINDS)))
+        .withColumn("n_hits", F.size("hits").cast("long"))
+        .withColumn("hidden", F.when(F.col("n_hits") > 0, written).otherwise(body))
+        .select(*[F.col("hidden").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept], F.col("n_hits").alias(number), F.array_join(F.array_sort(F.array_distinct("hits")), ",").alias(names))
     )

@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
 
 def score(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
     """The columns ``keep`` of ``docs``, and the score of ``text`` from 0 to 1 as column ``name``."""
-    given = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
+    given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()

@@ -54,6 +54,26 @@ def test_stage_keeps_columns_it_does_not_know(spark, sf, name):
     assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+#: Names that the stages and what they call use for columns of their own.
+INTERNAL = (
+    "row body found fresh between hits n_hits hidden k0 s score label special_id special_kept doubtful maybe bucket bitmap bit place key node n fine component kept "
+    "repeated hit_id hit_hash text_hash words term pos item marks d h shifts bands checked ids n_words n_hit bin rank nth salt base sequence_id offset length start"
+).split()
+
+
+@pytest.mark.parametrize("name", ["quality", "near_duplicates", "decontamination", "pii"])
+def test_stage_under_every_internal_name(spark, sf, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [c for c in [*INTERNAL, *[f"__{c}" for c in INTERNAL], *[f"_{c}" for c in INTERNAL]]]
+    odd = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in names], F.create_map(F.lit("a"), F.col("doc_id")).alias("kinds_map"), F.lit(1).alias("a.b"))
+    out = stage(spark, odd, sf)
+    assert [c for c, _ in out.dtypes] == odd.columns and out.dtypes == odd.dtypes
+    got = out.collect()
+    assert sorted(map(key, got)) == sorted(map(key, stage(spark, docs, sf).collect()))
+    assert all(r[c] == f"own {c}" for r in got for c in names) and all(r["kinds_map"] == {"a": r["doc_id"]} for r in got)
+
+
 def test_decisions(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     run = lambda name: dict(corpus_pipeline.STAGES)[name](spark, docs, sf).collect()

@@ -69,31 +69,49 @@ def test_contamination_equals_brute_force(spark):
 
 
 def brute_near(docs, items, width=10, slop=3):
-    """Items of which a window is near, by all offsets at which two anchors of the item stand."""
-    texts = [words(t) for _, t in docs]
-    count = {}
-    for w in texts:
-        for x in w:
-            count[x] = count.get(x, 0) + 1
+    """Items of which a window has an offset with every word within ``slop`` words of its place."""
     out = []
-    for w in texts:
-        near = set()
+    for _, t in docs:
+        w, near = words(t), set()
         for item, text in items:
             v = words(text)
             k = min(width, len(v))
-            starts = {tuple(v[s : s + k]): s for s in reversed(range(len(v) - k + 1))} if v else {}
-            rare = [sorted((count.get(v[a], 0), a) for a in range(s, s + k)) for s in starts.values()]
-            anchors = {a for r in rare if r[0][0] for _, a in r[:2]}
-            for shift in range(-len(v), len(w)):
-                if sum(0 <= shift + a < len(w) and w[shift + a] == v[a] for a in anchors) < min(2, k):
-                    continue
-                for s in starts.values():
-                    if shift + s >= 0 and all(v[s + j] in w[max(0, shift + s + j - slop) : shift + s + j + slop + 1] for j in range(k)):
-                        near.add(item)
+            for shift in range(-len(v) - slop, len(w) + slop + 1):
+                stands = [v[j] in w[max(0, shift + j - slop) : max(0, shift + j + slop + 1)] for j in range(len(v))]
+                if any(all(stands[s : s + k]) for s in range(len(v) - k + 1) if k):
+                    near.add(item)
+                    break
         out.append(len(near - {None}))
     return out
 
 
+def test_one_inserted_word_stays_near(spark):
+    """A ten-word item with a word inserted at each inner place, its end words the rarest."""
+    item = "first " + " ".join(f"m{i}" for i in range(8)) + " last"
+    docs = []
+    for k in range(1, 10):
+        w = item.split()
+        docs.append((k, " ".join([*w[:k], "inserted", *w[k:]])))
+    docs += [(100 + i, " ".join(f"m{k}" for k in range(8))) for i in range(20)]
+    items = [(1, item)]
+    got = {r["doc_id"]: r["n_near"] for r in decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [got[k] for k in range(1, 10)] == [1] * 9 and got[100] == 0
+
+
+@pytest.mark.parametrize("slop", [0, 1, 7])
+def test_proximity_of_any_slop(spark, slop):
+    import random
+
+    r = random.Random(slop)
+    items = [(i, " ".join(r.choice("abcdefghijkl") for _ in range(n))) for i, n in enumerate([1, 3, 10, 14])]
+    docs = list(enumerate(" ".join(r.choice("abcdefghijklmno") for _ in range(r.randrange(40))) for _ in range(60)))
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(df, known, slop=slop).orderBy("doc_id").collect()
+    assert [x["n_near"] for x in got] == brute_near(docs, items, slop=slop)
+    with pytest.raises(ValueError):
+        decontaminate.contamination(df, known, slop=8)
+
+
 def test_proximity_equals_brute_force(spark):
     import random
 
