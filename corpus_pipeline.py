@@ -14,7 +14,7 @@ near-duplicates keep one.  An empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, minhash, packing, pii, quality_nbsvm
@@ -30,11 +30,16 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, names with dots among them."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores 0.3 or more."""
     model = quality_nbsvm.fit(docs, table(spark, sf_dir, "labels"))
     score = free_name("score", docs.columns)
-    return quality_nbsvm.score(docs, model, docs.columns, score).filter(F.col(score) >= 0.3).select(*docs.columns)
+    return quality_nbsvm.score(docs, model, docs.columns, score).filter(F.col(score) >= 0.3).select(*columns_of(docs))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ def hide_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     hidden = pii.pseudonyms(docs, key="corpus-2024", counts=(number, kinds))
     if "n_chars" in docs.columns:
         hidden = hidden.withColumn("n_chars", F.when(F.col(number) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return hidden.select(*docs.columns)
+    return hidden.select(*columns_of(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
