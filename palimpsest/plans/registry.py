@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_queries, event_queries, feed_queries, function_queries, record_queries, table_queries  # noqa: F401
+from . import document_queries, event_queries, feed_queries, function_queries, history_queries, record_queries, table_queries  # noqa: F401
 from .base import QUERIES, SQL
 
 
