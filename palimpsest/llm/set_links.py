@@ -162,6 +162,36 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Parts of a sorted stream that end between groups, with the bounds of their groups."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = [tuple(batch.column(c)[at].as_py() for c in by) for at in (0, batch.num_rows - 1)]
+        held.append(batch)
+        if last in (None, ends[0]) and ends[0] == ends[1]:  # sorted: one group so far
+            last = ends[1]
+            continue
+        last = ends[1]
+        part, bounds = _with_bounds(held, by)
+        yield part.slice(0, bounds[-2]), bounds[:-1]
+        held = part.slice(bounds[-2]).to_batches()
+    if held:
+        yield _with_bounds(held, by)
+
+
+def _with_bounds(held: list[pa.RecordBatch], by: list[str]) -> tuple[pa.Table, np.ndarray]:
+    part = pa.Table.from_batches(held).combine_chunks()
+    edge = np.zeros(part.num_rows, bool)
+    edge[0] = True
+    for c in by:
+        values = part.column(c).to_numpy()
+        edge[1:] |= values[1:] != values[:-1]
+    return part, np.append(np.flatnonzero(edge), part.num_rows)
+
+
 def _packed(batches: Iterator[pa.RecordBatch | None], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Join many small batches."""
     held, n = [], 0
@@ -181,7 +211,7 @@ def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
+def _signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1) if len(column) else np.empty((0, 1), np.uint64)
 
 
@@ -219,8 +249,12 @@ def _pairs_to_compare(group: pa.Table):
         yield int(i), mask & (comp != comp[i])
 
 
+#: Groups of at most so many rows are compared together with others of their size.
+SMALL = 8
+
+
 def _close_pairs(rule: Rule):
-    """Spanning forest of the rows of different components of one key whose signatures are close."""
+    """Pairs that span the rows of different components of one key whose signatures are close."""
 
     def pairs(group: pa.Table) -> pa.RecordBatch:
         node, size = group.column("node").to_numpy(), group.column("n").to_numpy()
@@ -231,8 +265,34 @@ def _close_pairs(rule: Rule):
             joined.join(i, other[rule.distances(fine[i], fine[other]) <= rule.bound(size[i], size[other])])
         return _pair_batch([(node[i], node[j]) for i, j in joined.pairs])
 
+    def pairs_of_small(part: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        """The rows of a group at places a < b, for all groups of a size at once."""
+        node, size, comp, main, block, t, p = (part.column(c).to_numpy() for c in ("node", "n", "comp", "main", "block", "t", "p"))
+        count = np.diff(bounds)
+        ones, others = [], []
+        for rows in range(2, SMALL + 1):
+            first = bounds[:-1][count == rows]
+            for a in range(rows - 1) if len(first) else ():
+                for b in range(a + 1, rows):
+                    i, j = first + a, first + b
+                    meets = np.where(t[i] == 1, ~main[j] & (block[i] != block[j]), main[j] | (p[i] == 0))
+                    asked = ~main[i] & meets & (comp[i] != comp[j]) & rule.alike(size[i], size[j])
+                    ones.append(i[asked]), others.append(j[asked])
+        i, j = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (ones, others))
+        if len(i):
+            fine = part.column("fine")
+            close = rule.distances(_signatures(fine.take(pa.array(i))), _signatures(fine.take(pa.array(j)))) <= rule.bound(size[i], size[j])
+            i, j = i[close], j[close]
+        return pa.RecordBatch.from_arrays([pa.array(node[x], pa.int64()) for x in (i, j)], names=["a", "b"])
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, bounds in _whole_groups(batches, ["key", "t", "p", "q"]):
+            yield pairs_of_small(part, bounds)
+            for g in np.flatnonzero(np.diff(bounds) > SMALL):
+                yield pairs(part.slice(bounds[g], bounds[g + 1] - bounds[g]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _packed(pairs(g) for g in _groups(batches, ["key", "t", "p", "q"]) if g.num_rows > 1)
+        yield from _packed(found(batches))
 
     return run
 
