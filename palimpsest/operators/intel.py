@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .versions import LISTED, first_members
+
 
 def totals(events: DataFrame, entity: str) -> DataFrame:
     return events.agg(F.count("*").alias("events"), F.count_distinct(entity).alias("entities"))
@@ -68,12 +70,16 @@ def disagreements(records: DataFrame, master: str, source: str, fields: Sequence
     return agg.filter("n_sources >= 2 and n_values > 1")
 
 
-def pairwise_conflicts(records: DataFrame, master: str, source: str, fields: Sequence[str]) -> DataFrame:
-    """``(master, source_a, source_b, field_name, value_a, value_b)``: both known and different."""
-    long = records.select(master, source, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(master, source, "x.*").filter("value is not null").distinct()
-    a = long.withColumnsRenamed({source: "source_a", "value": "value_a"})
-    b = long.withColumnsRenamed({source: "source_b", "value": "value_b"})
-    return a.join(b, [master, "field_name"]).filter("source_a < source_b and value_a <> value_b").select(master, "source_a", "source_b", "field_name", "value_a", "value_b")
+def conflict_values(records: DataFrame, master: str, source: str, fields: Sequence[str]) -> DataFrame:
+    """``(master, field_name, value, n_sources, first_source)``: the values of fields that a master's sources disagree about.
+
+    A row per value, so a master costs as many rows as it has values; ``conflict_counts`` has the pairs of sources.
+    """
+    long = records.select(master, source, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(master, source, "x.*")
+    held = long.filter(F.col("value").isNotNull() & F.col(source).isNotNull()).groupBy(master, "field_name", "value").agg(F.count_distinct(source).alias("n_sources"), F.min(source).alias("first_source"), F.max(source).alias("last_source"))
+    # two values of one source alone are no conflict of sources
+    apart = held.groupBy(master, "field_name").agg(F.count("*").alias("n"), F.min("first_source").alias("lo"), F.max("last_source").alias("hi")).filter("n > 1 and lo < hi").select(master, "field_name")
+    return held.join(apart, [master, "field_name"], "left_semi").select(master, "field_name", "value", "n_sources", "first_source")
 
 
 def canonical_record(records: DataFrame, entity: str, priority: Column, tie: str) -> DataFrame:
@@ -104,10 +110,11 @@ def source_priority(source: Column, order: Sequence[str]) -> Column:
     return out
 
 
-def mirror_groups(records: DataFrame, master: str, source: str, record: str) -> DataFrame:
-    """Masters that several sources hold, with their sources and record ids."""
-    agg = records.groupBy(master).agg(F.array_join(F.array_sort(F.collect_set(F.col(source).cast("string"))), ",").alias("sources"), F.count_distinct(source).alias("n_sources"), F.count_distinct(record).alias("n_records"))
-    return agg.filter("n_sources > 1")
+def mirror_groups(records: DataFrame, master: str, source: str, record: str, most: int = LISTED) -> DataFrame:
+    """Masters that several sources hold, with the first ``most`` sources, and how many sources and records there are."""
+    counts = records.groupBy(master).agg(F.count_distinct(source).alias("n_sources"), F.count_distinct(record).alias("n_records")).filter("n_sources > 1")
+    names = first_members(records.filter(F.col(source).isNotNull()).select(master, F.col(source).cast("string").alias("name")).distinct(), [master], F.col("name"), most)
+    return counts.join(names, master).select(master, F.array_join("members", ",").alias("sources"), "n_sources", "n_records")
 
 
 def briefing(sections: dict[str, DataFrame]) -> list[str]:

@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .severity import severity_rank
+
 
 def membership_diff(previous: DataFrame, current: DataFrame, key: str, ever: DataFrame | None = None) -> DataFrame:
     """``(key, change)``: entered, reentered (known from ``ever``), left or stayed."""
@@ -94,3 +96,18 @@ def advanced_watermark(sent: DataFrame, event_id: str, before: int, succeeded: b
     """The new watermark; it stays where no channel succeeded."""
     top = sent.agg(F.max(event_id)).first()[0] if succeeded else None
     return before if top is None else max(before, top)
+
+
+def preferred_events(events: DataFrame, watches: DataFrame, preferences: DataFrame, entity: str, group: Column, severity: Column) -> DataFrame:
+    """``(watch_id, events...)``: events of watched entities that the watch's preferences let through.
+
+    ``watches``: ``(watch_id, entity)``; ``preferences``: ``(watch_id, field_group, enabled, minimum_severity)``,
+    one row per watch and group.  A group without a preference is let through from ``normal`` on; a
+    disabled one is not.
+    """
+    graded = events.withColumns({"pref_group": group, "pref_rank": severity_rank(severity)})
+    watched = graded.join(watches.select("watch_id", entity), entity)
+    chosen = preferences.select("watch_id", F.col("field_group").alias("pref_group"), F.coalesce("enabled", F.lit(True)).alias("pref_on"), severity_rank(F.coalesce("minimum_severity", F.lit("normal"))).alias("pref_least"))
+    joined = watched.join(chosen, ["watch_id", "pref_group"], "left")
+    passed = F.coalesce("pref_on", F.lit(True)) & (F.col("pref_rank") >= F.coalesce("pref_least", severity_rank(F.lit("normal"))))
+    return joined.filter(passed).select("watch_id", *events.columns)

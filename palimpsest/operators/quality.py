@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .versions import LISTED, first_members
+
 #: Texts that count as missing.
 EMPTY = ("", "-", "[]")
 
@@ -27,19 +29,30 @@ def missing_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("missing"), F.col("total")) for f in fields])).alias("x")).select("x.*")
 
 
-def duplicate_keys(df: DataFrame, keys: Sequence[str], ids: Column, separator: str = ",") -> DataFrame:
-    """Keys of several rows, with their ids in order; only rows of such keys are collected."""
-    rows = df.select(*keys, ids.alias("__id"))
-    several = rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys])
-    joined = rows.alias("r").join(several.alias("s"), same).select(*[F.col(f"s.{k}").alias(k) for k in keys], "n", "__id")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list("__id")), lambda x: x.cast("string")), separator)
-    return joined.groupBy(*keys, "n").agg(listed.alias("ids")).select(*keys, "n", "ids")
+def _equal(keys: Sequence[str], a: str, b: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
+def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of keys that several rows have, with the number ``n``: a group's members as a table."""
+    several = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return df.alias("r").join(several.alias("s"), _equal(keys, "r", "s")).select("r.*", "s.n")
+
+
+def duplicate_keys(df: DataFrame, keys: Sequence[str], ids: Column, separator: str = ",", most: int = LISTED) -> DataFrame:
+    """Keys of several rows, with their number and the first ``most`` ids in order."""
+    rows = duplicate_rows(df.select(*keys, ids.alias("id")), keys)
+    listed = first_members(rows, [*keys, "n"], F.col("id"), most)
+    return listed.select(*keys, "n", F.array_join(F.transform("members", lambda x: x.cast("string")), separator).alias("ids"))
 
 
-def several_partners(df: DataFrame, key: Sequence[str], partner: str) -> DataFrame:
-    """Keys linked with more than one partner."""
-    return df.groupBy(*key).agg(F.count_distinct(partner).alias("n_partners"), F.array_join(F.transform(F.array_sort(F.collect_set(partner)), lambda x: x.cast("string")), ",").alias("partners")).filter("n_partners > 1")
+def several_partners(df: DataFrame, key: Sequence[str], partner: str, most: int = LISTED) -> DataFrame:
+    """Keys linked with more than one partner, with their number and the first ``most`` partners."""
+    links = df.select(*key, F.col(partner).alias("partner")).filter("partner is not null").distinct()
+    counts = links.groupBy(*key).agg(F.count("*").alias("n_partners")).filter("n_partners > 1")
+    listed = first_members(links, key, F.col("partner"), most)
+    joined = counts.alias("c").join(listed.alias("l"), _equal(key, "c", "l"))
+    return joined.select(*[F.col(f"c.{k}").alias(k) for k in key], "n_partners", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("partners"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str], code: str, severity: str = "error") -> DataFrame:

@@ -65,3 +65,16 @@ def version_pairs(versions: DataFrame, keys: Sequence[str], low: int, high: int,
     a = versions.filter(F.col(version) == low).select(*keys, *[F.col(f).alias(f"{f}_from") for f in fields])
     b = versions.filter(F.col(version) == high).select(*keys, *[F.col(f).alias(f"{f}_to") for f in fields])
     return a.join(b, list(keys))
+
+
+#: Members of a group that are listed; counts cover all of them.
+LISTED = 50
+
+
+def first_members(rows: DataFrame, keys: Sequence[str], member: Column, most: int = LISTED) -> DataFrame:
+    """``(keys, members)``: the first ``most`` members of each key, in order.
+
+    A rank within the limit is cut before the shuffle, too, so a hot key brings ``most`` rows per task.
+    """
+    ranked = rows.select(*keys, member.alias("member")).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("member"))).filter(F.col("nth") <= most)
+    return ranked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "member"))), lambda x: x["member"]).alias("members"))

@@ -93,12 +93,12 @@ def title_similarity(spark, sf_dir):
     return resolve.similar_titles(table(spark, sf_dir, "part"), "p_partkey", "p_name", ratio=0.85)
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM documents),
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, w[i] || ' ' || w[i + 1] AS phrase FROM w, LATERAL (SELECT unnest(generate_series(1, len(w) - 1)) AS i) WHERE w[i] NOT IN ('the', 'of', 'and') AND w[i + 1] NOT IN ('the', 'of', 'and'))
 SELECT phrase, count(DISTINCT doc_id) AS n_texts FROM g WHERE length(phrase) BETWEEN 3 AND 60 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2""")
 def ngram_mining(spark, sf_dir):
-    """Word pairs (runs of a-z) of two texts or more."""
-    docs = table(spark, sf_dir, "documents").withColumn("t", F.array_join(F.array_remove(F.split(F.lower("text"), "[^a-z]+"), ""), " "))
+    """Word pairs (runs of letters of any script) of two texts or more."""
+    docs = table(spark, sf_dir, "documents").withColumn("t", F.array_join(F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""), " "))
     return glossary.mine_phrases(docs, "doc_id", F.col("t"), 2, 2, ("the", "of", "and"), 2)
 
 

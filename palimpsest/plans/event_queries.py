@@ -292,3 +292,18 @@ def session_windows(spark, sf_dir):
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY CUBE (event_type, CAST(ts AS DATE))")
 def cube_counts(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).cube("event_type", "day").agg(F.count("*").alias("n"))
+
+
+@query(_PAIRS + """, p AS (SELECT c_custkey AS watch_id, 'status' AS g, c_mktsegment <> 'AUTOMOBILE' AS enabled, 'critical' AS least FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING')
+  UNION ALL SELECT c_custkey, 'enrollment', TRUE, 'important' FROM customer WHERE c_mktsegment <> 'FURNITURE'),
+r AS (SELECT c_custkey AS watch_id, k.*, CASE field_name WHEN 'status_id' THEN 'status' ELSE 'enrollment' END AS g FROM k JOIN customer ON c_custkey = user_id)
+SELECT r.watch_id, event_id, field_name, severity FROM r LEFT JOIN p USING (watch_id, g) WHERE coalesce(enabled, TRUE) AND (severity = 'critical' OR (severity = 'important' AND coalesce(least, 'normal') <> 'critical') OR (severity = 'normal' AND coalesce(least, 'normal') = 'normal'))""")
+def watch_preferences(spark, sf_dir):
+    """Changes that customers' preferences let through: status from critical on or off, numbers from important on."""
+    customers = table(spark, sf_dir, "customer")
+    segment = F.col("c_mktsegment")
+    prefer = lambda keep, group, on, least: customers.filter(keep).select(F.col("c_custkey").alias("watch_id"), F.lit(group).alias("field_group"), on.alias("enabled"), F.lit(least).alias("minimum_severity"))
+    preferences = prefer(segment.isin("AUTOMOBILE", "BUILDING"), "status", segment != "AUTOMOBILE", "critical").unionByName(prefer(segment != "FURNITURE", "enrollment", F.lit(True), "important"))
+    watches = customers.select(F.col("c_custkey").alias("watch_id"), F.col("c_custkey").alias("user_id"))
+    found = monitors.preferred_events(field_changes(spark, sf_dir), watches, preferences, "user_id", changes.field_category(F.col("field_name")), F.col("severity"))
+    return found.select("watch_id", "event_id", "field_name", "severity")

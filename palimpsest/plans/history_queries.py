@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import arrival, intervals, late, sketches
+from ..operators import arrival, intervals, late, merges, sketches
 from ..streaming import folds
 from .base import query, table
 
@@ -65,11 +65,10 @@ def resolution_in_order(spark, sf_dir):
 
 @query()
 def resolution_of_parts(spark, sf_dir):
-    """Parts in the order of price: equal names link, a name's last two words are only a possible match."""
+    """Parts in the order of price: equal names link, an equal brand and type is only a possible match."""
     parts = table(spark, sf_dir, "part")
-    words = F.split("p_name", " ")
-    loose = F.array_join(F.slice(words, -2, 2), " ")
-    each = F.array(F.struct(F.lit("name").alias("type"), F.col("p_name").alias("value"), F.lit(1.0).alias("confidence"), F.lit(0).alias("nth")), F.struct(F.lit("ending"), F.when(F.size(words) > 1, loose), F.lit(0.6), F.lit(1)))
+    one = lambda kind, value, confidence, nth: F.struct(F.lit(kind).alias("type"), value.alias("value"), F.lit(confidence).alias("confidence"), F.lit(nth).alias("nth"))
+    each = F.array(one("name", F.col("p_name"), 1.0, 0), one("kind", F.concat_ws("/", "p_brand", "p_type"), 0.6, 1))
     ids = parts.select("p_partkey", F.explode(each).alias("x")).select("p_partkey", "x.*")
     return arrival.resolve_in_order(parts.select("p_partkey", "p_retailprice"), ids, "p_partkey", ["p_retailprice"])
 
@@ -127,3 +126,44 @@ def breaker_states(spark, sf_dir):
     """Errors in a row of a user open a breaker for a day."""
     what = F.when(F.col("event_type") == "error", "failure").otherwise("success")
     return folds.fold_table(table(spark, sf_dir, "events").withColumn("what", what), "user_id", "ts", "event_id", "what", folds.Breaker(failures=2, challenges=0, reset_ms=86_400_000))
+
+
+@query("""WITH h AS (SELECT DISTINCT p_type, p_brand FROM part), m AS (SELECT p_type, min(p_brand) AS low, count(*) AS n FROM h GROUP BY 1 HAVING count(*) > 1)
+SELECT 'same_protocol_diff_master' AS issue, low AS a, p_brand AS b, CAST(n AS DOUBLE) AS score, p_type AS detail FROM h JOIN m USING (p_type) WHERE p_brand > low""")
+def protocol_clashes(spark, sf_dir):
+    """Part types (as protocol numbers) of several brands (as masters)."""
+    parts = table(spark, sf_dir, "part")
+    ids = parts.select("p_partkey", F.lit("ProtocolNumber").alias("type"), F.col("p_type").alias("value"))
+    return merges.protocol_evidence(ids, parts.select("p_partkey", F.col("p_brand").alias("master")), "p_partkey")
+
+
+@query("""WITH k AS (SELECT DISTINCT doc_id, source, lang = 'en' AS other, unnest(regexp_extract_all(text, '[A-Za-z0-9]*[0-9][A-Za-z0-9]*')) AS k FROM documents),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n, string_agg(a.k, ',' ORDER BY a.k) AS ks, list(a.k ORDER BY a.k) AS l FROM k a JOIN k b ON a.source = b.source AND a.k = b.k AND a.other AND NOT b.other GROUP BY ALL HAVING count(*) >= 2)
+SELECT 'cross_language_title' AS issue, CAST(least(x, y) AS VARCHAR) AS a, CAST(greatest(x, y) AS VARCHAR) AS b, CAST(n AS DOUBLE) AS score, array_to_string(l[1:5], ',') AS detail FROM p""")
+def cross_language_pairs(spark, sf_dir):
+    """Documents of one source, one of them English, that share two words with digits."""
+    docs = table(spark, sf_dir, "documents")
+    return merges.cross_language_evidence(docs, "doc_id", "source", F.col("lang") == "en", F.regexp_extract_all("text", F.lit("([A-Za-z0-9]*[0-9][A-Za-z0-9]*)"), F.lit(1)))
+
+
+@query("""WITH r AS (SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 0), l AS (SELECT s_nationkey, arg_min(s_suppkey, (s_acctbal, s_suppkey)) AS low_key, min(s_acctbal) AS low FROM r GROUP BY 1)
+SELECT 'enrollment_discrepancy' AS issue, CAST(low_key AS VARCHAR) AS a, CAST(s_suppkey AS VARCHAR) AS b, s_acctbal / low AS score, CAST(s_nationkey AS VARCHAR) AS detail FROM r JOIN l USING (s_nationkey) WHERE s_acctbal >= 1.5 * low""")
+def balance_discrepancies(spark, sf_dir):
+    """Suppliers with half as much again as the smallest balance above 0 of their nation (as master)."""
+    return merges.enrollment_evidence(table(spark, sf_dir, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
+
+
+@query()
+def missed_merges(spark, sf_dir):
+    """All evidence: similar names of small, unlinked parts and of others, types of several brands, prices."""
+    parts = table(spark, sf_dir, "part").withColumn("master", F.when(F.col("p_size") > 5, F.col("p_brand")))
+    ids = parts.select("p_partkey", F.lit("ProtocolNumber").alias("type"), F.col("p_type").alias("value"))
+    linked = parts.filter("master is not null").select("p_partkey", "master")
+    return merges.missed_merges(
+        [
+            merges.title_evidence(parts, "p_partkey", "p_name", "master"),
+            merges.cross_language_evidence(parts, "p_partkey", "p_brand", F.col("p_size") > 25, F.split("p_name", " "), "master"),
+            merges.protocol_evidence(ids, linked, "p_partkey"),
+            merges.enrollment_evidence(parts, "p_partkey", "master", "p_retailprice"),
+        ]
+    )

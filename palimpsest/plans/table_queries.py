@@ -29,7 +29,7 @@ def phase_style_bucket(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_type", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) AS n, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS ids FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n, array_to_string(list_sort(list(l_partkey))[1:50], ',') AS ids FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     return quality.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_partkey"))
 
@@ -107,11 +107,11 @@ def cross_source_disagreement(spark, sf_dir):
     return intel.disagreements(rows, "l_orderkey", "n_name", ["returnflag", "linestatus"])
 
 
-@query(f"""WITH d AS (SELECT DISTINCT * FROM {_FIELDS}) SELECT a.l_orderkey, a.n_name AS source_a, b.n_name AS source_b, a.field_name, a.value AS value_a, b.value AS value_b
-FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.field_name = b.field_name AND a.n_name < b.n_name AND a.value <> b.value""")
-def pairwise_conflicts(spark, sf_dir):
+@query(f"""WITH d AS (SELECT * FROM {_FIELDS} WHERE value IS NOT NULL AND n_name IS NOT NULL), c AS (SELECT l_orderkey, field_name FROM d GROUP BY ALL HAVING count(DISTINCT value) > 1 AND count(DISTINCT n_name) > 1)
+SELECT l_orderkey, field_name, value, count(DISTINCT n_name) AS n_sources, min(n_name) AS first_source FROM d JOIN c USING (l_orderkey, field_name) GROUP BY ALL""")
+def conflict_values(spark, sf_dir):
     rows = _lines(spark, sf_dir).select("l_orderkey", "n_name", F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"))
-    return intel.pairwise_conflicts(rows, "l_orderkey", "n_name", ["returnflag", "linestatus"])
+    return intel.conflict_values(rows, "l_orderkey", "n_name", ["returnflag", "linestatus"])
 
 
 @query(f"""WITH d AS (SELECT DISTINCT * FROM {_FIELDS}) SELECT a.field_name, a.n_name AS source_a, b.n_name AS source_b, count(DISTINCT a.l_orderkey) AS masters, count(*) AS pairs
@@ -121,12 +121,12 @@ def conflict_counts(spark, sf_dir):
     return intel.conflict_counts(rows, "l_orderkey", "n_name", ["returnflag", "linestatus"])
 
 
-@query(f"SELECT l_orderkey, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS sources, count(DISTINCT n_name) AS n_sources, count(DISTINCT l_linenumber) AS n_records FROM {_LINE} GROUP BY 1 HAVING count(DISTINCT n_name) > 1")
+@query(f"SELECT l_orderkey, array_to_string(list_sort(list_distinct(list(n_name)))[1:50], ',') AS sources, count(DISTINCT n_name) AS n_sources, count(DISTINCT l_linenumber) AS n_records FROM {_LINE} GROUP BY 1 HAVING count(DISTINCT n_name) > 1")
 def mirror_groups(spark, sf_dir):
     return intel.mirror_groups(_lines(spark, sf_dir), "l_orderkey", "n_name", "l_linenumber")
 
 
-@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n_partners, array_to_string(list_sort(list_distinct(list(l_suppkey))), ',') AS partners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS n_partners, array_to_string(list_sort(list_distinct(list(l_suppkey)))[1:50], ',') AS partners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
 def identifier_many_masters(spark, sf_dir):
     return quality.several_partners(table(spark, sf_dir, "lineitem"), ["l_partkey"], "l_suppkey")
 
