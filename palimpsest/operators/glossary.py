@@ -95,3 +95,39 @@ def expanded_search(df: DataFrame, rules: Mapping, columns: Mapping, terms: Mapp
     for name, predicate in reversed(branches):
         which = F.when(predicate, name).otherwise(which)
     return df.withColumn("branch", which).filter("branch is not null")
+
+
+def learned_translation(glossary: DataFrame, text: str) -> str | None:
+    """The translation either way of an active learned term: that of most evidence, then the smallest."""
+    low = F.lit(text.strip().lower())
+    rows = glossary.filter("status = 'active'")
+    both = rows.select(F.lower("zh_term").alias("t"), F.col("en_term").alias("other"), "evidence").unionByName(rows.select(F.lower("en_term").alias("t"), F.col("zh_term").alias("other"), "evidence"))
+    best = both.filter(F.col("t") == low).orderBy(F.desc("evidence"), "other").limit(1).collect()
+    return best[0]["other"] if best else None
+
+
+def retire(glossary: DataFrame, terms: DataFrame) -> DataFrame:
+    """The glossary with the given pairs ``(zh_term, en_term)`` retired: they translate nothing, whatever evidence follows."""
+    gone = terms.select("zh_term", "en_term", F.lit(True).alias("gone")).distinct()
+    return glossary.join(gone, ["zh_term", "en_term"], "left").withColumn("status", F.when(F.col("gone"), "retired").otherwise(F.col("status"))).drop("gone")
+
+
+def search_with_fallback(df: DataFrame, rules: Mapping, columns: Mapping, terms: Mapping[str, str], vocabulary: Sequence[str] = (), learned: DataFrame | None = None) -> DataFrame:
+    """Rows with their ``branch``: the rules themselves, their translation, and, where these have no row at all, the segments of a compound.
+
+    A learned translation goes before the given ones.  One scan marks all branches; whether the first two
+    have a row is a join with one row at most.
+    """
+    query = rules.get("query")
+    text = query if isinstance(query, str) else " ".join(query or [])
+    other = (learned_translation(learned, text) if learned is not None and text else None) or (lookup(terms, text) if text else None)
+    marked = expanded_search(df, rules, columns, {text: other} if other else {}, vocabulary)
+    direct = marked.filter("branch <> 'segments'")
+    some = direct.select(F.lit(True).alias("found")).limit(1)
+    return direct.unionByName(marked.filter("branch = 'segments'").join(F.broadcast(some), F.col("found"), "left_anti"))
+
+
+def search_totals(df: DataFrame, rules: Mapping, columns: Mapping, terms: Mapping[str, str], vocabulary: Sequence[str] = (), learned: DataFrame | None = None) -> DataFrame:
+    """``(total, unfiltered_total)``: rows of the search, and of its query without the other rules."""
+    count = lambda r, name: search_with_fallback(df, r, columns, terms, vocabulary, learned).agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
+    return count(rules, "total").join(count({"query": rules.get("query")}, "unfiltered_total"), "one").drop("one")

@@ -111,3 +111,27 @@ def preferred_events(events: DataFrame, watches: DataFrame, preferences: DataFra
     joined = watched.join(chosen, ["watch_id", "pref_group"], "left")
     passed = F.coalesce("pref_on", F.lit(True)) & (F.col("pref_rank") >= F.coalesce("pref_least", severity_rank(F.lit("normal"))))
     return joined.filter(passed).select("watch_id", *events.columns)
+
+
+def report_key(keywords: Sequence[str]) -> str:
+    """The name under which a keyword set keeps its baseline; order, case and repetition don't matter."""
+    return "|".join(sorted({k.strip().lower() for k in keywords if k.strip()}))
+
+
+def baseline_report(current: DataFrame, key: str, sign: str, crawled: str, baseline: DataFrame | None = None, generated: str | None = None, force: bool = False, since: str | None = None) -> DataFrame:
+    """The rows of a report with ``change`` (new, changed, unchanged, or null where nothing is compared).
+
+    * ``force``: all rows; compared with the baseline unless ``since`` is given.
+    * ``since``: rows crawled then or later.
+    * a ``baseline`` of signatures: what is new or changed.
+    * a last report that left no signatures (``generated`` alone): rows crawled since then.
+    * no last report: all rows.
+    """
+    plain = lambda df: df.withColumn("change", F.lit(None).cast("string"))
+    window = lambda start: plain(current.filter(F.col(crawled) >= F.lit(start).cast("timestamp_ntz")))
+    if since is not None:
+        return window(since)
+    if baseline is not None:
+        told = current.join(baseline_diff(baseline, current, key, sign), key)
+        return told if force else told.filter("change <> 'unchanged'")
+    return window(generated) if generated is not None and not force else plain(current)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import arrival, intervals, late, merges, sketches
+from ..operators import arrival, glossary, integrity, intervals, late, merges, monitors, sketches
 from ..streaming import folds
 from .base import query, table
 
@@ -167,3 +167,84 @@ def missed_merges(spark, sf_dir):
             merges.enrollment_evidence(parts, "p_partkey", "master", "p_retailprice"),
         ]
     )
+
+
+_MODES = {"all": {}, "since": {"since": "1998-01-01 00:00:00"}, "legacy": {"generated": "1997-01-01 00:00:00"}, "incremental": {"baseline": True}, "force": {"baseline": True, "force": True}}
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderdate, o_totalprice FROM orders),
+b AS (SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN o_orderstatus || 'x' ELSE o_orderstatus END AS sign FROM orders WHERE o_orderdate < TIMESTAMP '1997-06-01'),
+d AS (SELECT o.*, CASE WHEN b.sign IS NULL THEN 'new' WHEN b.sign <> o.o_orderstatus THEN 'changed' ELSE 'unchanged' END AS change FROM o LEFT JOIN b USING (o_orderkey))
+SELECT 'all' AS mode, NULL AS change, count(*) AS n FROM o UNION ALL SELECT 'since', NULL, count(*) FROM o WHERE o_orderdate >= TIMESTAMP '1998-01-01' HAVING count(*) > 0
+UNION ALL SELECT 'legacy', NULL, count(*) FROM o WHERE o_orderdate >= TIMESTAMP '1997-01-01' HAVING count(*) > 0
+UNION ALL SELECT 'incremental', change, count(*) FROM d WHERE change <> 'unchanged' GROUP BY change UNION ALL SELECT 'force', change, count(*) FROM d GROUP BY change""")
+def report_modes(spark, sf_dir):
+    """Orders against a baseline of those before June 1997, dear ones of which had another state, in every mode."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("sign"), "o_orderdate", "o_totalprice")
+    before = orders.filter("o_orderdate < TIMESTAMP_NTZ '1997-06-01'").select("o_orderkey", F.when(F.col("o_totalprice") > 200000, F.concat("sign", F.lit("x"))).otherwise(F.col("sign")).alias("sign"))
+    parts = []
+    for name, mode in _MODES.items():
+        given = {**mode, "baseline": before} if "baseline" in mode else mode
+        report = monitors.baseline_report(orders, "o_orderkey", "sign", "o_orderdate", **given)
+        parts.append(report.groupBy("change").agg(F.count("*").alias("n")).select(F.lit(name).alias("mode"), "change", "n"))
+    return merges.missed_merges(parts)
+
+
+@query("""SELECT p_partkey, 'segments' AS branch FROM part WHERE contains(lower(p_name), 'small') AND contains(lower(p_name), 'ring') AND NOT EXISTS (SELECT 1 FROM part WHERE contains(lower(p_name), 'smallring'))""")
+def compound_search(spark, sf_dir):
+    """A compound that no name holds is searched by its parts."""
+    found = glossary.search_with_fallback(table(spark, sf_dir, "part"), {"query": "smallring"}, {"query": ["p_name"]}, {}, ["small", "ring"])
+    return found.select("p_partkey", "branch")
+
+
+_RUNS = """SELECT o_orderpriority AS source, CAST(o_custkey AS VARCHAR) AS monitor_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'succeeded' ELSE 'failed' END AS status,
+CASE WHEN o_totalprice > 150000 THEN o_orderdate END AS finished_at, CASE WHEN o_totalprice > 200000 THEN 'c' END AS cursor_after, o_orderdate AS scheduled_for, o_orderdate AS started_at FROM orders"""
+#: The tables of the integrity checks, as views of the given ones: orders are runs and events of monitors, lines are notifications.
+INTEGRITY_VIEWS = {
+    "monitors": "SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_acctbal > 0",
+    "monitor_events": "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS monitor_id, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS related_change_event_id FROM orders",
+    "notifications": """SELECT l_orderkey AS monitor_event_id, CASE l_returnflag WHEN 'A' THEN 'in_app' WHEN 'N' THEN 'email' ELSE 'sms' END AS channel, CASE WHEN l_linestatus = 'O' THEN 'sending' ELSE 'delivered' END AS status,
+CASE WHEN l_quantity > 25 THEN l_shipdate END AS read_at, l_shipdate AS claimed_at FROM lineitem WHERE l_orderkey <> 1""",
+    "trial_events": "SELECT event_id, concat(event_type, user_id) AS event_hash, user_id AS record_id, event_type AS field_name, CAST(NULL AS STRING) AS old_value, CAST(user_id AS STRING) AS new_value, CAST(ts AS DATE) AS detected_at FROM events",
+    "project_evidence": "SELECT o_orderkey AS event_id FROM orders",
+    "saved_searches": "SELECT s_suppkey AS id FROM supplier WHERE s_acctbal > 1000",
+    "project_saved_searches": "SELECT s_suppkey AS saved_search_id FROM supplier",
+    "project_monitors": "SELECT CAST(s_suppkey AS STRING) AS monitor_id FROM supplier",
+    "registry_records": "SELECT l_returnflag AS source, CAST(l_orderkey AS STRING) AS source_trial_id, l_linenumber AS version_number, l_quantity < 30 AS is_latest FROM lineitem",
+    "project_trials": "SELECT CAST(o_orderkey AS STRING) AS trial_id, CASE o_orderstatus WHEN 'F' THEN 'R' ELSE 'N' END AS source FROM orders",
+    "monitor_runs": _RUNS,
+    "ingestion_runs": _RUNS,
+}
+_BAD = {
+    "NOTIFICATION_EVENT_MISSING": "FROM notifications n WHERE NOT EXISTS (SELECT 1 FROM monitor_events e WHERE e.id = n.monitor_event_id)",
+    "MONITOR_EVENT_MONITOR_MISSING": "FROM monitor_events e WHERE NOT EXISTS (SELECT 1 FROM monitors m WHERE m.id = e.monitor_id)",
+    "MONITOR_EVENT_TRIAL_EVENT_MISSING": "FROM monitor_events e WHERE related_change_event_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM trial_events t WHERE t.event_id = e.related_change_event_id)",
+    "EVIDENCE_EVENT_MISSING": "FROM project_evidence e WHERE NOT EXISTS (SELECT 1 FROM trial_events t WHERE t.event_id = e.event_id)",
+    "PROJECT_SEARCH_MISSING": "FROM project_saved_searches p WHERE NOT EXISTS (SELECT 1 FROM saved_searches s WHERE s.id = p.saved_search_id)",
+    "PROJECT_MONITOR_MISSING": "FROM project_monitors p WHERE NOT EXISTS (SELECT 1 FROM monitors m WHERE m.id = p.monitor_id)",
+    "PROJECT_TRIAL_MISSING": "FROM project_trials p WHERE NOT EXISTS (SELECT 1 FROM registry_records r WHERE r.source_trial_id = p.trial_id AND r.source = p.source)",
+    "DUPLICATE_EVENT_HASH": "FROM (SELECT 1 FROM trial_events GROUP BY event_hash HAVING count(*) > 1)",
+    "DUPLICATE_LOGICAL_EVENT": "FROM (SELECT 1 FROM trial_events GROUP BY record_id, field_name, coalesce(old_value, ''), coalesce(new_value, ''), detected_at HAVING count(*) > 1)",
+    "DUPLICATE_REGISTRY_VERSION": "FROM (SELECT 1 FROM registry_records GROUP BY source, source_trial_id, version_number HAVING count(*) > 1)",
+    "INVALID_LATEST_VERSION": "FROM (SELECT DISTINCT r.source, r.source_trial_id, r.version_number FROM registry_records r JOIN (SELECT source, source_trial_id, max(version_number) AS top FROM registry_records GROUP BY ALL) t ON r.source = t.source AND r.source_trial_id = t.source_trial_id WHERE is_latest AND version_number <> top)",
+    "DUPLICATE_MONITOR_OCCURRENCE": "FROM (SELECT 1 FROM monitor_runs WHERE scheduled_for IS NOT NULL GROUP BY monitor_id, scheduled_for HAVING count(*) > 1)",
+    "DUPLICATE_INGESTION_OCCURRENCE": "FROM (SELECT 1 FROM ingestion_runs WHERE scheduled_for IS NOT NULL GROUP BY source, scheduled_for HAVING count(*) > 1)",
+    "DUPLICATE_NOTIFICATION": "FROM (SELECT 1 FROM notifications GROUP BY monitor_event_id, channel HAVING count(*) > 1)",
+    "MULTIPLE_RUNNING_INGESTIONS": "FROM (SELECT 1 FROM ingestion_runs WHERE status = 'running' GROUP BY source HAVING count(*) > 1)",
+    "IMPOSSIBLE_INGESTION_STATE": "FROM ingestion_runs WHERE (status = 'running' AND finished_at IS NOT NULL) OR (status <> 'running' AND finished_at IS NULL) OR (status = 'failed' AND cursor_after IS NOT NULL)",
+    "INVALID_NOTIFICATION_STATE": "FROM notifications WHERE channel NOT IN ('in_app', 'email') OR status NOT IN ('pending', 'sending', 'delivered', 'failed')",
+    "INVALID_NOTIFICATION_READ_STATE": "FROM notifications WHERE read_at IS NOT NULL AND channel = 'email'",
+    "STALE_INGESTION": "FROM ingestion_runs WHERE status = 'running' AND started_at < TIMESTAMP '1997-12-31 22:00:00'",
+    "STALE_MONITOR_RUN": "FROM monitor_runs WHERE status = 'running' AND started_at < TIMESTAMP '1997-12-31 22:00:00'",
+    "STALE_EMAIL_CLAIM": "FROM notifications WHERE status = 'sending' AND channel = 'email' AND claimed_at < TIMESTAMP '1997-12-31 22:00:00'",
+}
+_GRAVE = {"NOTIFICATION_EVENT_MISSING": "critical", "STALE_INGESTION": "warning", "STALE_MONITOR_RUN": "warning", "STALE_EMAIL_CLAIM": "warning"}
+
+
+@query("WITH " + ", ".join(f"{n} AS ({v})" for n, v in INTEGRITY_VIEWS.items()) + " " + " UNION ALL ".join(f"SELECT '{_GRAVE.get(c, 'error')}' AS severity, '{c}' AS code, count(*) AS n {q}" for c, q in _BAD.items()))
+def integrity_checks(spark, sf_dir):
+    """All checks of stored tables, on tables that are views of the given ones."""
+    for name in ("customer", "orders", "lineitem", "events", "supplier"):
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    tables = {n: spark.sql(v.replace("VARCHAR", "STRING")) for n, v in INTEGRITY_VIEWS.items()}
+    return integrity.integrity(tables, "1998-01-01 00:00:00")
