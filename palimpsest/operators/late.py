@@ -68,8 +68,9 @@ class ChangeLog:
     overwrites what it left.  ``events`` nets the deltas.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]):
-        self.spark, self.path, self.keys, self.order, self.fields = spark, path.rstrip("/"), list(keys), list(order), list(fields)
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], carry: Sequence[str] = ()):
+        """``carry``: columns that are stored with a version and make no change event."""
+        self.spark, self.path, self.keys, self.order, self.fields, self.carry = spark, path.rstrip("/"), list(keys), list(order), list(fields), list(carry)
 
     def _read(self, what: str, like: DataFrame | None = None) -> DataFrame | None:
         place = f"{self.path}/{what}"
@@ -79,7 +80,7 @@ class ChangeLog:
         """Take a batch of versions; ``number`` names it, so a repeated batch counts once."""
         if exists(self.spark, f"{self.path}/versions/batch={number}/_SUCCESS"):
             return
-        rows = batch.select(*self.keys, *self.order, *self.fields)
+        rows = batch.select(*self.keys, *self.order, *self.fields, *self.carry)
         known = self._read("versions", rows.withColumn("batch", F.lit(number))).filter(F.col("batch") < number).drop("batch")
         fresh = materialize(unknown(known, rows, self.keys, self.order), "fresh")
         late_delta(known, fresh, self.keys, self.order, self.fields).write.mode("overwrite").parquet(f"{self.path}/delta/batch={number}")

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise ValueError("spark.checkpoint.dir names no shared folder")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="palimpsest-"))
