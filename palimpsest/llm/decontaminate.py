@@ -91,10 +91,14 @@ def rarest_terms(postings: DataFrame, items: DataFrame, windows: DataFrame, term
 
 
 def shifts_of(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-    """``(doc_id, text_hash, item, need, shift, lo, hi)``: offsets at which rare terms stand, with the first and last of them."""
+    """``(doc_id, text_hash, item, need, shift, lo, hi)``: offsets at which rare terms stand, with the first and last of them.
+
+    Dealt by document and item once: what is grouped by these and more needs no further shuffle.
+    """
     return (
         postings.join(anchors, "term")
         .select("doc_id", "text_hash", "item", "need", (F.col("pos") - F.col("at")).alias("shift"), "at")
+        .repartition("doc_id", "text_hash", "item")
         .groupBy("doc_id", "text_hash", "item", "need", "shift")
         .agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     )
