@@ -72,6 +72,23 @@ def test_evidence_equals_loops(spark):
     assert merges.title_evidence(df.limit(0), "rec", "title", "m").count() == 0
 
 
+def test_cross_language_classes_cover_all_pairs(spark):
+    rows = records_of(2, 60)
+    rows += [(100 + r[0], *r[1:4], r[4][::-1], *r[5:]) for r in rows] + [(200 + i, "d", "t", i % 2 == 0, ["P", "Q"], None, 1.0) for i in range(80)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for master in (None, "m"):
+        every = {(x["a"], x["b"]): (x["score"], x["detail"]) for x in merges.cross_language_evidence(df, "rec", "src", F.col("zh"), F.col("ks"), master).collect()}
+        found = merges.cross_language_classes(df, "rec", "src", F.col("zh"), F.col("ks"), master).collect()
+        members = {}
+        for x in found:
+            if x["issue"] == "cross_language_member":
+                members.setdefault(x["a"], []).append(x["b"])
+        pairs = [x for x in found if x["issue"] == "cross_language_title"]
+        spread = {tuple(sorted((a, b), key=int)): (x["score"], x["detail"]) for x in pairs for a in (x["a"], *members.get(x["a"], [])) for b in (x["b"], *members.get(x["b"], []))}
+        assert spread == every and len(every) > 1600
+        assert len(pairs) < len(every) / 5 and len(found) - len(pairs) < len(rows)
+
+
 NOW = dt.datetime(2026, 1, 1, 12)
 
 
