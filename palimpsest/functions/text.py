@@ -282,9 +282,13 @@ def trigrams(text: Column) -> Column:
     return F.when(F.length(text) >= 3, let(F.split(F.lower(text), ""), lambda c: F.array_distinct(pieces(c)))).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_words(text: Column) -> Column:
+    """Lower-cased words between white space, without punctuation around them."""
+    return F.filter(F.transform(F.split(F.lower(text), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[.,;:()\[\]/\"']+|[.,;:()\[\]/\"']+$", "")), lambda w: w != "")
+
+
 def word_ngrams(text: Column, low: int, high: int, stop: Sequence[str] = (), longest: int = 60) -> Column:
     """Distinct word n-grams without stop words, of 3 to ``longest`` characters."""
-    words = F.filter(F.transform(F.split(F.lower(text), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[.,;:()\[\]/\"']+|[.,;:()\[\]/\"']+$", "")), lambda w: w != "")
 
     def grams_of(w: Column) -> Column:
         parts = []
@@ -296,7 +300,7 @@ def word_ngrams(text: Column, low: int, high: int, stop: Sequence[str] = (), lon
             parts.append(F.transform(grams, lambda g: F.array_join(g, " ")))
         return F.array_distinct(F.filter(F.concat(*parts), lambda p: F.length(p).between(3, longest)))
 
-    return let(words, grams_of)
+    return let(ngram_words(text), grams_of)
 
 
 def _slice_of(words: Column, n: int):

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import has_cjk, word_ngrams
+from ..functions.text import has_cjk, ngram_words, word_ngrams
+from .prefilter import KeyBitmap
 from .rules import compile_rule
 
 #: Words that neither start nor end a mined phrase, and the evidence that activates a term.
 STOP_WORDS = ("a", "an", "and", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with", "study", "trial", "patients", "clinical")
 EVIDENCE = 2
+#: Characters of a mined phrase, as in ``word_ngrams``.
+SHORTEST, LONGEST = 3, 60
+#: Sizes of work that change no result: words of a slice, and rows of an Arrow batch.
+SLICE_WORDS, ROWS_OUT = 1_000_000, 100_000
 
 
 def sibling_pairs(records: DataFrame, entity: str, record: str, title: str) -> DataFrame:
@@ -25,9 +33,90 @@ def sibling_pairs(records: DataFrame, entity: str, record: str, title: str) -> D
 
 
 def mine_phrases(texts: DataFrame, key: str, text: Column, low: int = 1, high: int = 4, stop: Sequence[str] = STOP_WORDS, least: int = EVIDENCE) -> DataFrame:
-    """``(phrase, n_texts)``: n-grams of at least ``least`` texts; repetition within a text counts once."""
-    grams = texts.select(key, F.explode(word_ngrams(text, low, high, stop)).alias("phrase"))
-    return grams.groupBy("phrase").agg(F.count_distinct(key).alias("n_texts")).filter(F.col("n_texts") >= least)
+    """``(phrase, n_texts)``: n-grams of at least ``least`` texts; repetition within a text counts once.
+
+    Rows of keys that no other row has are counted by slices, so that a phrase costs a row per task and
+    not one per text; those that may share their key (a bounded bitmap says so) by phrase and key.
+    """
+    held = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), text.alias("t"))
+    several = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    hashed = F.xxhash64("key")
+    if several.isEmpty():
+        counts = _slice_counts(held, low, high, stop)
+    else:
+        marked = KeyBitmap(several, hashed).mark(held, hashed)
+        shared = marked.filter(F.coalesce("maybe", F.lit(False))).select("key", F.explode(word_ngrams(F.col("t"), low, high, stop)).alias("phrase")).distinct()
+        counts = _slice_counts(marked.filter(~F.coalesce("maybe", F.lit(False))), low, high, stop).unionByName(shared.groupBy("phrase").agg(F.count("*").alias("n")))
+    return counts.groupBy("phrase").agg(F.sum("n").alias("n_texts")).filter(F.col("n_texts") >= least)
+
+
+def _slice_counts(rows: DataFrame, low: int, high: int, stop: Sequence[str]) -> DataFrame:
+    """``(phrase, n)``: rows of a slice of ``t`` that hold an n-gram; a phrase comes once per slice."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lists in _slices_of_words(batch.column(0)):
+                yield from _count_grams(lists, low, high, stop, LONGEST)
+
+    return rows.select(ngram_words(F.col("t")).alias("w")).filter("size(w) > 0").mapInArrow(count, "phrase string, n long")
+
+
+def _slices_of_words(lists: pa.Array) -> Iterator[pa.Array]:
+    """Runs of whole texts of about ``SLICE_WORDS`` words; a longer text is one."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64))
+    start = 0
+    while start < len(lists):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_WORDS, "right")))
+        yield lists.slice(start, stop - start)
+        start = stop
+
+
+def _count_grams(lists: pa.Array, low: int, high: int, stop: Sequence[str], longest: int) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of a slice with the number of its texts that hold them, numbered from those of ``n - 1`` words."""
+    words = lists.flatten().cast(pa.large_string()).dictionary_encode()
+    known = words.dictionary
+    ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
+    width = np.asarray(pc.utf8_length(known), dtype=np.int64)
+    allowed = ~np.asarray(pc.is_in(known, value_set=pa.array(stop, pa.large_string())), dtype=bool)
+    good = allowed[ids]
+    at = np.flatnonzero(good)  # where an n-gram begins
+    code = ids[at]
+    chars = width[code]
+    for n in range(1, high + 1):
+        if n > 1:
+            more = at + n - 1 < len(ids)
+            at, code, chars = at[more], code[more], chars[more]
+            last = at + n - 1
+            more = good[last] & (doc[at] == doc[last])
+            at, code, chars, last = at[more], code[more], chars[more], last[more]
+            code = code * len(known) + ids[last]
+            chars = chars + 1 + width[ids[last]]
+        # a longer n-gram is no shorter
+        short = chars <= longest
+        at, code, chars = at[short], code[short], chars[short]
+        if not len(at):
+            return
+        order = np.argsort(code, kind="stable")
+        by_code, by_doc = code[order], doc[at[order]]
+        first = np.concatenate(([True], by_code[1:] != by_code[:-1]))
+        fresh = first.copy()
+        fresh[1:] |= by_doc[1:] != by_doc[:-1]
+        starts = np.flatnonzero(first)
+        code = np.empty(len(at), np.int64)
+        code[order] = np.cumsum(first) - 1
+        if n < low:
+            continue
+        held = np.add.reduceat(fresh.astype(np.int64), starts)
+        spot = order[starts]
+        long_enough = chars[spot] >= SHORTEST
+        spot, held = at[spot[long_enough]], held[long_enough]
+        for cut in range(0, len(spot), ROWS_OUT):
+            part = spot[cut : cut + ROWS_OUT]
+            phrase = pc.binary_join_element_wise(*[known.take(pa.array(ids[part + k])) for k in range(n)], pa.scalar(" ", pa.large_string()))
+            yield pa.RecordBatch.from_arrays([phrase.cast(pa.string()), pa.array(held[cut : cut + ROWS_OUT])], names=["phrase", "n"])
 
 
 @F.pandas_udf(StringType())

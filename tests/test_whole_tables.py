@@ -1,10 +1,13 @@
 """Queries that cover whole tables, on small tables with rows that the samples leave out."""
 
 import datetime as dt
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.operators import glossary
 from palimpsest.operators.glossary import STOP_WORDS
 from palimpsest.plans import registry
 
@@ -53,3 +56,30 @@ def test_phrase_mining_equals_brute_force(spark, sf):
     want = {k: n for k, n in counts.items() if n >= 2}
     got = {r["phrase"]: r["n_texts"] for r in registry.queries()["phrase_mining"](spark, sf).collect()}
     assert got == want and {"plain rare words", "rare"} <= set(got)
+
+
+def test_mined_phrases_count_keys_once(spark):
+    r = random.Random(3)
+    words = ["heart", "lung", "of", "a", "x", "Trial.", "(phase", "äther", "y" * 31, "z" * 29, "...", "x" * 58]
+    rows = [(r.choice([None, 0, 1, 2, *range(3, 60)]), r.choice([None, "", *(" ".join(r.choice(words) for _ in range(r.randrange(1, 30))) for _ in range(8))])) for _ in range(90)]
+    once = [(i, t) for i, (_, t) in enumerate(rows)]
+    for table in (rows, once):
+        df = spark.createDataFrame(table, "k long, t string").repartition(3)
+        for low, high, least in ((1, 4, 2), (2, 2, 1), (3, 3, 3)):
+            counts = {}
+            for k, t in table:
+                w = [x for x in (w.strip(".,;:()[]/\"'") for w in (t or "").lower().split()) if x]
+                for g in {tuple(w[i : i + n]) for n in range(low, high + 1) for i in range(len(w) - n + 1)}:
+                    if k is not None and not set(g) & set(STOP_WORDS) and 3 <= len(" ".join(g)) <= 60:
+                        counts.setdefault(" ".join(g), set()).add(k)
+            want = {p: len(ks) for p, ks in counts.items() if len(ks) >= least}
+            got = glossary.mine_phrases(df, "k", F.col("t"), low, high, least=least).collect()
+            assert {x["phrase"]: x["n_texts"] for x in got} == want and len(got) == len(want) > 3
+
+
+def test_slices_count_a_phrase_once(spark):
+    lists = pa.array([["aaa", "bbb"] * 20, None, [], ["aaa", "bbb", "ccc"], ["bbb", "aaa"]], pa.list_(pa.string()))
+    found = {x["phrase"]: x["n"] for b in glossary._count_grams(lists, 1, 2, ("ccc",), 60) for x in b.to_pylist()}
+    assert found == {"aaa": 3, "bbb": 3, "aaa bbb": 2, "bbb aaa": 2}
+    many = pa.array([["w"] * 400_000] * 6, pa.list_(pa.string()))
+    assert [len(x) for x in glossary._slices_of_words(many)] == [2, 2, 2]
