@@ -171,21 +171,32 @@ def master_matches(identifiers: DataFrame, masters: DataFrame, record: str, titl
     (record, master).  A master is reached through an identifier that another record of it holds;
     of several the first counts.  Registry numbers and confidences from ``AUTO`` on are
     AUTO_CONFIRMED.  ``titles`` (a, b, ratio) serve records without such a match only.  The confirmed
-    come first, then by confidence, then by master.
+    come first, then by confidence, then by master.  Records of equal identifiers are one profile,
+    which is matched and ranked once.
     """
-    held = identifiers.join(masters, record).groupBy("type", "value", "master").agg(F.count_distinct(record).alias("n"), F.min(record).alias("only"))
-    asked = identifiers.select(record, "type", "value", "confidence", "nth").join(held, ["type", "value"]).filter((F.col("n") > 1) | (F.col("only") != F.col(record)))
+    # the only holder of an identifier may not reach its master by it, and is a profile of its own
+    held = identifiers.join(masters, record).groupBy("type", "value", "master").agg(F.min(record).alias("first"), F.max(record).alias("last"))
+    sole = held.filter("first = last").select(F.col("first").alias(record)).distinct().withColumn("own", F.col(record))
+    lists = identifiers.filter(F.col(record).isNotNull()).groupBy(record).agg(F.array_sort(F.collect_list(F.struct("nth", "type", "value", "confidence"))).alias("ids"))
+    # 256 bits: no two lists have one name
+    named = lists.join(sole, record, "left").withColumn("profile", F.unhex(F.sha2(F.to_json(F.struct("own", "ids")), 256)))
+    profiles = named.select("profile", "own", "ids").distinct().select("profile", "own", F.explode("ids").alias("x")).select("profile", "own", "x.*")
+    asked = profiles.join(held, ["type", "value"]).filter(F.col("own").isNull() | (F.col("first") != F.col("last")) | (F.col("first") != F.col("own")))
     auto = F.col("type").isin(*REGISTRY_TYPES) | (F.col("confidence") >= AUTO)
-    by_id = asked.groupBy(record, "master").agg(F.min_by(F.struct(F.concat(F.lit("identifier_match "), F.col("type")).alias("method"), "confidence", F.when(auto, "AUTO_CONFIRMED").otherwise("POSSIBLE").alias("status")), F.struct("nth", "type", "value")).alias("m"))
-    found = by_id.select(record, "master", "m.*")
+    by_id = asked.groupBy("profile", "master").agg(F.min_by(F.struct(F.concat(F.lit("identifier_match "), F.col("type")).alias("method"), "confidence", F.when(auto, "AUTO_CONFIRMED").otherwise("POSSIBLE").alias("status")), F.struct("nth", "type", "value")).alias("m"))
+    by_profile = by_id.select("profile", "master", "m.*")
+    order = ["status", F.desc("confidence"), "master"]
+    if titles is None:
+        by_profile = by_profile.withColumn("rank", F.row_number().over(Window.partitionBy("profile").orderBy(*order)))
+    found = named.select(record, "profile").join(by_profile, "profile").drop("profile")
     if titles is not None:
         sure = found.filter("status = 'AUTO_CONFIRMED'").select(record).distinct()
         either = titles.select(F.col("a").alias(record), F.col("b").alias("__other"), "ratio").unionByName(titles.select(F.col("b").alias(record), F.col("a").alias("__other"), "ratio"))
         named = either.join(masters.select(F.col(record).alias("__other"), "master"), "__other").groupBy(record, "master").agg(F.max("ratio").alias("confidence"))
         more = named.join(sure, record, "left_anti").join(found.select(record, "master"), [record, "master"], "left_anti")
         found = found.unionByName(more.select(record, "master", F.lit("title_similarity").alias("method"), F.round("confidence", 4).alias("confidence"), F.lit("POSSIBLE").alias("status")))
-    order = Window.partitionBy(record).orderBy("status", F.desc("confidence"), "master")
-    return found.withColumn("rank", F.row_number().over(order))
+        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(record).orderBy(*order)))
+    return found
 
 
 def decide(queue: DataFrame, decisions: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -70,3 +70,22 @@ def test_as_of_takes_the_last_value(spark, rows):
     left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c")], "k long, t long, x string")
     right = spark.createDataFrame([(1, 2, 10.0, 1), (1, 5, 20.0, 2), (1, 5, 30.0, 3), (1, 6, 40.0, 4), (2, 3, None, 5)], "k long, t long, v double, tie long")
     assert rows(scopes.as_of(left, right, ["k"], "t", "v", "tie").select("k", "t", "x", "v")) == [(1, 1, "b", None), (1, 5, "a", 30.0), (2, 9, "c", None)]
+
+
+def test_master_matches_of_profiles_equal_loops(spark):
+    import random
+
+    r = random.Random(5)
+    ids = [(rec, kind, f"{kind}{r.randrange(4)}", r.choice([0.6, 0.95]), nth) for rec in range(60) for nth, kind in enumerate(r.sample(["CTR", "ProtocolNumber", "Other"], r.randrange(1, 4)))]
+    ids += [(100 + i, "Other", "own", 0.6, 1) for i in range(1)] + [(i, "CTR", "all", 0.7, 1) for i in range(200, 230)]
+    masters = [(rec, f"m{rec % 7}") for rec in sorted({x[0] for x in ids})]
+    of = dict(masters)
+    want = []
+    for rec in of:
+        best = {}
+        for _, kind, value, confidence, nth in sorted((x for x in ids if x[0] == rec), key=lambda x: (x[4], x[1], x[2])):
+            for m in {of[y[0]] for y in ids if y[1:3] == (kind, value) and y[0] != rec}:
+                best.setdefault(m, ("AUTO_CONFIRMED" if kind == "CTR" or confidence >= 0.9 else "POSSIBLE", -confidence, m, f"identifier_match {kind}"))
+        want += [(rec, m, how, -c, status, k) for k, (status, c, m, how) in enumerate(sorted(best.values()), 1)]
+    df = resolve.master_matches(spark.createDataFrame(ids, "record long, type string, value string, confidence double, nth int"), spark.createDataFrame(masters, "record long, master string"), "record")
+    assert sorted(tuple(x) for x in df.select("record", "master", "method", "confidence", "status", "rank").collect()) == sorted(want) and len(want) > 200
