@@ -107,8 +107,17 @@ def canary(text: Column, labels: Sequence[str], least: int) -> Column:
 def false_merges(records: DataFrame, master: str, sets: Sequence[str], id_col: str) -> DataFrame:
     """Masters whose records differ in a listed column, or in the alphabetic prefix of their id."""
     prefix = F.regexp_extract(F.col(id_col).cast("string"), r"^([A-Za-z]*)", 1)
-    agg = records.groupBy(master).agg(F.count("*").alias("n_records"), *[F.count_distinct(c).alias(f"n_{c}") for c in sets], F.count_distinct(prefix).alias("n_prefixes"))
-    return agg.filter((F.col("n_records") > 1) & reduce(lambda a, b: a | b, [F.col(f"n_{c}") > 1 for c in [*sets, "prefixes"]]))
+    names = [*sets, "prefixes"]
+    at = range(len(names))
+    rows = records.select(F.col(master).alias("master"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(sets)], prefix.alias(f"c{len(sets)}"))
+    # equal rows meet first, so a large master is few rows when its own meet in one task
+    alike = rows.groupBy("master", *[f"c{i}" for i in at]).agg(F.count("*").alias("n")).repartition("master")
+    # a row per column with its values alone; columns keep their types
+    each = [F.struct(F.lit(i).alias("at"), *[(F.struct(F.col(f"c{j}").alias("v")) if i == j else F.lit(None)).alias(f"v{j}") for j in at], F.col("n").alias("n")) for i in at]
+    held = alike.select("master", F.explode(F.array(*each)).alias("x")).select("master", "x.*").groupBy("master", "at", *[f"v{j}" for j in at]).agg(F.sum("n").alias("n"))
+    known = [(F.col("at") == i) & F.col(f"v{i}.v").isNotNull() for i in range(len(names))]
+    agg = held.groupBy("master").agg(F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n_records"), *[F.count_if(k).alias(f"n_{c}") for k, c in zip(known, names)]).withColumnRenamed("master", master)
+    return agg.filter((F.col("n_records") > 1) & reduce(lambda a, b: a | b, [F.col(f"n_{c}") > 1 for c in names]))
 
 
 def ratio_outliers(records: DataFrame, master: str, value: str, ratio: float) -> DataFrame:

@@ -346,3 +346,11 @@ def test_false_merges_by_id_prefix_alone(spark, rows):
     df = spark.createDataFrame(data, "master long, id string, phase string")
     assert rows(quality.false_merges(df, "master", ["phase"], "id")) == [(1, 2, 1, 2), (3, 2, 2, 1)]
     assert rows(quality.false_merges(df, "master", [], "id").select("master")) == [(1,)]
+
+
+def test_false_merges_shuffle_rows_once_per_kind(spark, rows):
+    data = [(1, "P1", 1.0, "NCT1"), (1, "P1", 1.0, "NCT2"), (1, None, 2.0, "CTR3"), (2, "P1", 0.0, "NCT4"), (2, "P1", -0.0, "NCT5"), (3, "P1", None, "NCT6"), (3, "P2", None, "NCT7"), (None, "P1", 1.0, "A1"), (None, "P2", 1.0, "A2")]
+    df = quality.false_merges(spark.createDataFrame(data, "master long, phase string, size double, id string"), "master", ["phase", "size"], "id")
+    assert rows(df.select("master", "n_records", "n_phase", "n_size", "n_prefixes")) == [(1, 3, 1, 2, 2), (3, 2, 2, 0, 1), (None, 2, 2, 1, 1)]
+    # no row per distinct count goes through a shuffle
+    assert "Expand" not in df._jdf.queryExecution().executedPlan().toString()
