@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from .versions import LISTED, first_members
 
 
@@ -92,15 +93,25 @@ def canonical_record(records: DataFrame, entity: str, priority: Column, tie: str
 def conflict_counts(records: DataFrame, master: str, source: str, fields: Sequence[str]) -> DataFrame:
     """``(field_name, source_a, source_b, masters, pairs)``: how often two sources disagree about a field.
 
-    The distinct values of a master and field are one array, as long as there are sources and
-    values; pairs of it are counted, so no join multiplies records.
+    The distinct rows of a master are one array, as long as there are sources and values.  Its values by source give
+    each pair of sources once, with the number of pairs of values, so only pairs of sources are counted after it.
     """
-    long = records.select(master, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(source).alias("s"), F.col(f).cast("string").alias("v")) for f in fields])).alias("x"))
-    known = long.filter("x.v is not null").groupBy(master, "x.field_name").agg(F.collect_set(F.struct("x.s", "x.v")).alias("held")).filter(F.size("held") > 1)
-    later = lambda held, a: F.filter(held, lambda b: (b["s"] > a["s"]) & (b["v"] != a["v"]))
-    pairs = F.flatten(F.transform("held", lambda a: F.transform(later(F.col("held"), a), lambda b: F.struct(a["s"].alias("source_a"), b["s"].alias("source_b")))))
-    counted = known.select("field_name", F.explode(pairs).alias("p"), master).groupBy("field_name", "p", master).agg(F.count("*").alias("n"))
-    return counted.groupBy("field_name", "p.source_a", "p.source_b").agg(F.count("*").alias("masters"), F.sum("n").alias("pairs"))
+    rows = records.filter(F.col(master).isNotNull()).select(F.col(master).alias("m"), F.struct(F.col(source).alias("s"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)]).alias("x"))
+    known = rows.groupBy("m").agg(F.collect_set("x").alias("held")).filter(F.size("held") > 1)
+    sources = F.array_distinct(F.transform("held", lambda x: x["s"]))
+    values = lambda s, i: F.array_compact(F.array_distinct(F.transform(F.filter("held", lambda x: x["s"] == s), lambda x: x[f"f{i}"])))
+    differ = lambda a, b: F.size(a["vs"]) * F.size(b["vs"]) - F.size(F.array_intersect(a["vs"], b["vs"]))
+    met = lambda a, b: F.struct(a["s"].alias("source_a"), b["s"].alias("source_b"), differ(a, b).alias("n"))
+    of = lambda by: F.flatten(F.transform(by, lambda a: F.transform(F.filter(by, lambda b: b["s"] > a["s"]), lambda b: met(a, b))))
+
+    def conflicts(i: int, f: str) -> Column:
+        by_source = F.transform(sources, lambda s: F.struct(s.alias("s"), values(s, i).alias("vs")))
+        found = let(by_source, lambda by: F.filter(of(by), lambda p: p["n"] > 0))
+        return F.transform(found, lambda p: F.struct(F.lit(f).alias("field_name"), p.alias("p")))
+
+    parts = [conflicts(i, f) for i, f in enumerate(fields)]
+    each = known.select(F.explode(F.concat(*parts)).alias("x")).select("x.field_name", "x.p.*")
+    return each.groupBy("field_name", "source_a", "source_b").agg(F.count("*").alias("masters"), F.sum("n").alias("pairs"))
 
 
 def source_priority(source: Column, order: Sequence[str]) -> Column:
