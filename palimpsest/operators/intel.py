@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let
@@ -76,11 +76,23 @@ def conflict_values(records: DataFrame, master: str, source: str, fields: Sequen
 
     A row per value, so a master costs as many rows as it has values; ``conflict_counts`` has the pairs of sources.
     """
-    long = records.select(master, source, F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select(master, source, "x.*")
-    held = long.filter(F.col("value").isNotNull() & F.col(source).isNotNull()).groupBy(master, "field_name", "value").agg(F.count_distinct(source).alias("n_sources"), F.min(source).alias("first_source"), F.max(source).alias("last_source"))
+    held = _by_master(records, master, source, fields).select("m", "s", _fields(fields)).select("m", "s", "x.*").filter("v is not null and s is not null")
+    # all groups are parts of a master's rows, which stand in one task
+    values = held.groupBy("m", "field_name", "v").agg(F.count_distinct("s").alias("n_sources"), F.min("s").alias("first_source"), F.max("s").alias("last_source"))
+    w = Window.partitionBy("m", "field_name")
     # two values of one source alone are no conflict of sources
-    apart = held.groupBy(master, "field_name").agg(F.count("*").alias("n"), F.min("first_source").alias("lo"), F.max("last_source").alias("hi")).filter("n > 1 and lo < hi").select(master, "field_name")
-    return held.join(apart, [master, "field_name"], "left_semi").select(master, "field_name", "value", "n_sources", "first_source")
+    seen = values.withColumns({"__n": F.count("*").over(w), "__lo": F.min("first_source").over(w), "__hi": F.max("last_source").over(w)}).filter("__n > 1 and __lo < __hi")
+    return seen.select(F.col("m").alias(master), "field_name", F.col("v").alias("value"), "n_sources", "first_source")
+
+
+def _by_master(records: DataFrame, master: str, source: str, fields: Sequence[str]) -> DataFrame:
+    """``(m, s, f0, f1, ..)``: distinct rows of master, source and fields (as text), those of a master in one task."""
+    rows = records.filter(F.col(master).isNotNull()).select(F.col(master).alias("m"), F.col(source).alias("s"), *[F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
+    return rows.distinct().repartition("m")
+
+
+def _fields(fields: Sequence[str]) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"f{i}").alias("v")) for i, f in enumerate(fields)])).alias("x")
 
 
 def canonical_record(records: DataFrame, entity: str, priority: Column, tie: str) -> DataFrame:

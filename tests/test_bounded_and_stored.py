@@ -30,6 +30,30 @@ def test_conflict_values(spark):
     assert got == [(1, "f", "x", 1, "a"), (1, "f", "y", 2, "b")]
 
 
+def test_conflicts_equal_loops(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 2, 3, 4]), r.choice([None, "a", "b", "c"]), r.choice([None, "x", "y", "z"]), r.choice([None, 1, 2])) for _ in range(40)]
+    df = spark.createDataFrame(rows, "m long, s string, f string, g int")
+    values, pairs = {}, {}
+    for i, name in ((2, "f"), (3, "g")):
+        for m in {x[0] for x in rows} - {None}:
+            held = {(x[1], str(x[i])) for x in rows if x[0] == m and x[1] is not None and x[i] is not None}
+            if len({v for _, v in held}) > 1 and len({s for s, _ in held}) > 1:
+                values |= {(m, name, v): (len({s for s, w in held if w == v}), min(s for s, w in held if w == v)) for _, v in held}
+            for a, b in {(a[0], b[0]) for a in held for b in held if a[0] < b[0] and a[1] != b[1]}:
+                masters, n = pairs.get((name, a, b), (0, 0))
+                pairs[name, a, b] = (masters + 1, n + sum(x[0] == a and y[0] == b and x[1] != y[1] for x in held for y in held))
+    got = intel.conflict_values(df, "m", "s", ["f", "g"])
+    assert {tuple(x)[:3]: tuple(x)[3:] for x in got.collect()} == values and values
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    counted = intel.conflict_counts(df, "m", "s", ["f", "g"])
+    assert {tuple(x)[:3]: tuple(x)[3:] for x in counted.select("field_name", "source_a", "source_b", "masters", "pairs").collect()} == pairs and pairs
+    # after the arrays only pairs of sources are grouped, not masters
+    last = counted._jdf.queryExecution().executedPlan().toString().split("ObjectHashAggregate")[0]
+    assert "HashAggregate(keys=[field_name" in last and ", m#" not in last
+
+
 def test_digest_of_many_groups(spark):
     counts = spark.range(30).select(F.col("id").cast("string").alias("g"), F.col("id").alias("n"))
     assert sinks.digest_text(counts, "g", "n", "T").split("\n")[:2] == ["T", "- 29: 29"]
