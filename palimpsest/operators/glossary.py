@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,8 +23,8 @@ STOP_WORDS = ("a", "an", "and", "by", "for", "from", "in", "of", "on", "or", "th
 EVIDENCE = 2
 #: Characters of a mined phrase, as in ``word_ngrams``.
 SHORTEST, LONGEST = 3, 60
-#: Sizes of work that change no result: words of a slice, and rows of an Arrow batch.
-SLICE_WORDS, ROWS_OUT = 1_000_000, 100_000
+#: Sizes of work that change no result: words of a slice, characters of text whose phrases are one bucket.  An odd factor of hashes.
+SLICE_WORDS, BUCKET_CHARS, FOLD = 2_000_000, 5_000_000, 0x9E3779B97F4A7C15
 
 
 def sibling_pairs(records: DataFrame, entity: str, record: str, title: str) -> DataFrame:
@@ -35,30 +37,81 @@ def sibling_pairs(records: DataFrame, entity: str, record: str, title: str) -> D
 def mine_phrases(texts: DataFrame, key: str, text: Column, low: int = 1, high: int = 4, stop: Sequence[str] = STOP_WORDS, least: int = EVIDENCE) -> DataFrame:
     """``(phrase, n_texts)``: n-grams of at least ``least`` texts; repetition within a text counts once.
 
-    Rows of keys that no other row has are counted by slices, so that a phrase costs a row per task and
-    not one per text; those that may share their key (a bounded bitmap says so) by phrase and key.
+    Rows of keys that no other row has are counted by slices; those that may share their key (a bounded
+    bitmap says so) by phrase and key.  A slice's phrases are dealt to buckets by their hash and shuffled as
+    compressed Arrow batches, a row per bucket; a bucket holds what ``BUCKET_CHARS`` of text give, and is added up
+    at once.
     """
     held = texts.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), text.alias("t"))
     several = held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    hashed = F.xxhash64("key")
+    buckets = (held.agg(F.sum(F.length("t")).alias("n")).first()["n"] or 0) // BUCKET_CHARS + 1
     if several.isEmpty():
-        counts = _slice_counts(held, low, high, stop)
+        counts = _slice_counts(held, buckets, low, high, stop)
     else:
+        hashed = F.xxhash64("key")
         marked = KeyBitmap(several, hashed).mark(held, hashed)
         shared = marked.filter(F.coalesce("maybe", F.lit(False))).select("key", F.explode(word_ngrams(F.col("t"), low, high, stop)).alias("phrase")).distinct()
-        counts = _slice_counts(marked.filter(~F.coalesce("maybe", F.lit(False))), low, high, stop).unionByName(shared.groupBy("phrase").agg(F.count("*").alias("n")))
-    return counts.groupBy("phrase").agg(F.sum("n").alias("n_texts")).filter(F.col("n_texts") >= least)
+        lone = _slice_counts(marked.filter(~F.coalesce("maybe", F.lit(False))), buckets, low, high, stop)
+        counts = lone.unionByName(_dealt(shared.groupBy("phrase").agg(F.count("*").alias("n")), buckets))
 
+    def add(bucket: pa.Table) -> pa.Table:
+        found = pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in bucket.column("phrases").combine_chunks()])
+        each = found.column("phrase").combine_chunks().dictionary_encode()
+        total = np.zeros(len(each.dictionary), np.int64)
+        np.add.at(total, each.indices.to_numpy(), found.column("n").to_numpy())
+        enough = np.flatnonzero(total >= least)
+        return pa.table({"phrase": each.dictionary.take(pa.array(enough)).cast(pa.string()), "n_texts": total[enough]})
 
-def _slice_counts(rows: DataFrame, low: int, high: int, stop: Sequence[str]) -> DataFrame:
-    """``(phrase, n)``: rows of a slice of ``t`` that hold an n-gram; a phrase comes once per slice."""
+    return counts.groupBy("bucket").applyInArrow(add, "phrase string, n_texts long")
+
+
+def _slice_counts(rows: DataFrame, buckets: int, low: int, high: int, stop: Sequence[str]) -> DataFrame:
+    """``(bucket, phrases)``: the n-grams of slices of ``t`` with the number of the slice's rows that hold them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lists in _slices_of_words(batch.column(0)):
-                yield from _count_grams(lists, low, high, stop, LONGEST)
+                yield from _packed(list(_count_grams(lists, low, high, stop, LONGEST)), buckets)
+
+    return rows.select(ngram_words(F.col("t")).alias("w")).filter("size(w) > 0").mapInArrow(count, "bucket long, phrases binary")
 
-    return rows.select(ngram_words(F.col("t")).alias("w")).filter("size(w) > 0").mapInArrow(count, "phrase string, n long")
+
+def _dealt(counts: DataFrame, buckets: int) -> DataFrame:
+    """``(phrase, n)`` in the form of ``_slice_counts``."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            phrases = batch.column(0).cast(pa.large_string())
+            hashes = np.array([reduce(_fold, (crc32(w.encode()) for w in p.split(" "))) for p in phrases.to_pylist()], dtype=np.uint64)
+            yield from _packed([(phrases, batch.column(1), hashes)], buckets)
+
+    return counts.mapInArrow(deal, "bucket long, phrases binary")
+
+
+def _fold(h: int, word: int) -> int:
+    """The hash of an n-gram and a further word's."""
+    return (h * FOLD + word) & (2**64 - 1)
+
+
+def _packed(parts: Sequence[tuple[pa.Array, pa.Array, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Phrases, numbers and hashes as a compressed batch per bucket."""
+    if not parts:
+        return
+    hashes = np.concatenate([h for _, _, h in parts])
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(FOLD)
+    bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    table = pa.table({"phrase": pa.chunked_array([p for p, _, _ in parts]).combine_chunks(), "n": pa.chunked_array([n for _, n, _ in parts]).combine_chunks()}).take(pa.array(order)).combine_chunks()
+    bucket = bucket[order]
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+    packed, start = [], 0
+    for end in ends:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(table.slice(start, end - start))
+        packed.append(sink.getvalue().to_pybytes())
+        start = end
+    yield pa.RecordBatch.from_arrays([pa.array(bucket[ends - 1]), pa.array(packed, pa.binary())], names=["bucket", "phrases"])
 
 
 def _slices_of_words(lists: pa.Array) -> Iterator[pa.Array]:
@@ -72,8 +125,8 @@ def _slices_of_words(lists: pa.Array) -> Iterator[pa.Array]:
         start = stop
 
 
-def _count_grams(lists: pa.Array, low: int, high: int, stop: Sequence[str], longest: int) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of a slice with the number of its texts that hold them, numbered from those of ``n - 1`` words."""
+def _count_grams(lists: pa.Array, low: int, high: int, stop: Sequence[str], longest: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """Distinct n-grams of a slice, the number of its texts that hold them, and hashes; numbered from those of ``n - 1`` words."""
     words = lists.flatten().cast(pa.large_string()).dictionary_encode()
     known = words.dictionary
     ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -81,6 +134,7 @@ def _count_grams(lists: pa.Array, low: int, high: int, stop: Sequence[str], long
     doc = np.repeat(np.arange(len(lists), dtype=np.int32), sizes)
     width = np.asarray(pc.utf8_length(known), dtype=np.int64)
     allowed = ~np.asarray(pc.is_in(known, value_set=pa.array(stop, pa.large_string())), dtype=bool)
+    marks = np.array([crc32(w.encode()) for w in known.to_pylist()], dtype=np.uint64)
     good = allowed[ids]
     at = np.flatnonzero(good)  # where an n-gram begins
     code = ids[at]
@@ -113,10 +167,12 @@ def _count_grams(lists: pa.Array, low: int, high: int, stop: Sequence[str], long
         spot = order[starts]
         long_enough = chars[spot] >= SHORTEST
         spot, held = at[spot[long_enough]], held[long_enough]
-        for cut in range(0, len(spot), ROWS_OUT):
-            part = spot[cut : cut + ROWS_OUT]
-            phrase = pc.binary_join_element_wise(*[known.take(pa.array(ids[part + k])) for k in range(n)], pa.scalar(" ", pa.large_string()))
-            yield pa.RecordBatch.from_arrays([phrase.cast(pa.string()), pa.array(held[cut : cut + ROWS_OUT])], names=["phrase", "n"])
+        if len(spot):
+            hashes = marks[ids[spot]]
+            for k in range(1, n):
+                hashes = hashes * np.uint64(FOLD) + marks[ids[spot + k]]
+            phrase = pc.binary_join_element_wise(*[known.take(pa.array(ids[spot + k])) for k in range(n)], pa.scalar(" ", pa.large_string()))
+            yield phrase, pa.array(held), hashes
 
 
 @F.pandas_udf(StringType())

@@ -58,7 +58,8 @@ def test_phrase_mining_equals_brute_force(spark, sf):
     assert got == want and {"plain rare words", "rare"} <= set(got)
 
 
-def test_mined_phrases_count_keys_once(spark):
+def test_mined_phrases_count_keys_once(spark, monkeypatch):
+    monkeypatch.setattr(glossary, "BUCKET_CHARS", 900)
     r = random.Random(3)
     words = ["heart", "lung", "of", "a", "x", "Trial.", "(phase", "äther", "y" * 31, "z" * 29, "...", "x" * 58]
     rows = [(r.choice([None, 0, 1, 2, *range(3, 60)]), r.choice([None, "", *(" ".join(r.choice(words) for _ in range(r.randrange(1, 30))) for _ in range(8))])) for _ in range(90)]
@@ -79,7 +80,7 @@ def test_mined_phrases_count_keys_once(spark):
 
 def test_slices_count_a_phrase_once(spark):
     lists = pa.array([["aaa", "bbb"] * 20, None, [], ["aaa", "bbb", "ccc"], ["bbb", "aaa"]], pa.list_(pa.string()))
-    found = {x["phrase"]: x["n"] for b in glossary._count_grams(lists, 1, 2, ("ccc",), 60) for x in b.to_pylist()}
+    found = {p: n for phrases, counts, _ in glossary._count_grams(lists, 1, 2, ("ccc",), 60) for p, n in zip(phrases.to_pylist(), counts.to_pylist())}
     assert found == {"aaa": 3, "bbb": 3, "aaa bbb": 2, "bbb aaa": 2}
-    many = pa.array([["w"] * 400_000] * 6, pa.list_(pa.string()))
+    many = pa.array([["w"] * 900_000] * 6, pa.list_(pa.string()))
     assert [len(x) for x in glossary._slices_of_words(many)] == [2, 2, 2]
